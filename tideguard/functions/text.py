@@ -109,7 +109,7 @@ def match_ratio(expected: Column, actual: Column) -> Column:
     want = F.lower(F.replace(expected, F.lit(" "), F.lit("")))
     have = F.lower(F.replace(actual, F.lit(" "), F.lit("")))
     # Characters not found are what is left after deleting every character of `have`.
-    missing = F.length(F.translate(want, have, F.lit("")))
+    missing = F.length(F.call_function("translate", want, have, F.lit("")))
     ratio = (F.length(want) - missing) / F.length(want)
     return (
         F.when(F.coalesce(expected, F.lit("")) == "", 1.0)

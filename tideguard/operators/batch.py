@@ -81,6 +81,7 @@ def moderate(
     broken = F.col("content_id").isNull() | F.col("ts").isNull()
     usable, failed = content.where(~broken), content.where(broken)
     prepared = gateway.prepare(usable, dictionary, mode)
+    prepared = cut(prepared) if cut else prepared
     if share_copies:
         # The key of an image is its own row: only texts are shared.
         keyed = prepared.withColumn(

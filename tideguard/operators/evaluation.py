@@ -115,8 +115,8 @@ def by_group(results: DataFrame, groups: list[str], high: float = 0.95) -> DataF
         _ratio(_n(ok), total).alias("accuracy"),
         _ratio(_n(ok & safe), _n(safe)).alias("safe_accuracy"),
         _ratio(_n(ok & unsafe), _n(unsafe)).alias("unsafe_accuracy"),
-        F.round(F.avg(F.when(safe, F.col("confidence"))), 4).alias("avg_safe_conf"),
-        F.round(F.avg(F.when(unsafe, F.col("confidence"))), 4).alias("avg_unsafe_conf"),
+        F.round(F.avg(F.when(safe, F.col("confidence"))), 6).alias("avg_safe_conf"),
+        F.round(F.avg(F.when(unsafe, F.col("confidence"))), 6).alias("avg_unsafe_conf"),
         _ratio(_n(F.col("confidence") >= high), total).alias("skip_rate"),
     )
 

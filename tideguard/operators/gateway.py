@@ -94,9 +94,11 @@ def check(
     An image is looked up by known hash, by hash and by reference and never by its text. A
     text is answered when blank, by the local store, the shared store, the whitelist, a sure
     keyword, and for texts without keyword by the nearest stored vector. Only content no
-    earlier stage answered is sent to the vector search. `cut` may store the state before
-    that search, which otherwise is planned twice.
+    earlier stage answered is sent to the vector search. `cut` (such as
+    `session.materialise`) stores the slim rows where several stages start from them: the
+    texts are then scanned once. Without it Spark plans the shared part once per use.
     """
+    prepared = cut(prepared) if cut else prepared
     images = prepared.where("has_image")
     blanks = prepared.where("not has_image and not has_text")
     texts = prepared.where("not has_image and has_text")
@@ -139,7 +141,7 @@ def _image_stages(images, known, image_hashes, image_refs, threshold) -> DataFra
     for store, key, prefix in ((image_hashes, "image_hash", "ph"), (image_refs, "image_ref", "ref")):
         columns = {"decision": "string", "confidence": "double", "reason": "string", "tier": "string"}
         if store is not None:
-            out = reuse_by_key(out, store, key, prefix)
+            out = reuse_by_key(out, store, key, prefix, hot_from=images)
         else:
             for name, kind in columns.items():
                 out = out.withColumn(f"{prefix}_{name}", F.lit(None).cast(kind))

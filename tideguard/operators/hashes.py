@@ -48,23 +48,16 @@ def candidates_within(
             ]
         )
     )
-    flips = F.array(*[F.lit(m).cast("long") for m in _flips(width, radius)])
-    entry = F.explode(
-        F.flatten(
-            F.array(
-                *[
-                    F.transform(
-                        flips,
-                        lambda m, b=b: F.struct(
-                            F.lit(b).alias("band"),
-                            _band(F.col("known_hash"), b, width).bitwiseXOR(m).alias("part"),
-                        ),
-                    )
-                    for b in range(bands)
-                ]
-            )
+    flips = F.expr("array(" + ", ".join(f"{m}L" for m in _flips(width, radius)) + ")")
+
+    def entries_of(band: int) -> Column:
+        value = _band(F.col("known_hash"), band, width)
+        return F.transform(
+            flips,
+            lambda m: F.struct(F.lit(band).alias("band"), value.bitwiseXOR(m).alias("part")),
         )
-    )
+
+    entry = F.explode(F.flatten(F.array(*[entries_of(b) for b in range(bands)])))
     probes = images.select("image_hash").select("image_hash", part.alias("_p")).select(
         "image_hash", "_p.*"
     )
@@ -109,10 +102,7 @@ def match_known(
             "image_hash", "_best.known_hash", "_best.distance", *[f"_best._meta.{c}" for c in meta]
         )
     )
-    hashed = images.where(F.col("image_hash").isNotNull())
-    unhashed = images.where(F.col("image_hash").isNull())
-    joined = salted_join(hashed, best, ["image_hash"], F.col(spread))
-    return joined.unionByName(unhashed, allowMissingColumns=True)
+    return salted_join(images, best, ["image_hash"], F.col(spread))
 
 
 def references(images: DataFrame, group: str = "label", order: str = "image_id") -> DataFrame:
@@ -149,8 +139,8 @@ def distance_summary(
     similar = variants.select(
         F.lit("similar").alias("pairs"), hamming(F.col("image_hash"), F.col("reference")).alias("d")
     )
-    later = F.filter(_all_references(originals, group), lambda r: r["g"] > F.col(group))
-    apart = originals.select(
+    later = F.filter("_refs", lambda r: r["g"] > F.col(group))
+    apart = originals.withColumn("_refs", _all_references(originals, group)).select(
         F.lit("different").alias("pairs"),
         F.explode(F.transform(later, lambda r: hamming(F.col("reference"), r["h"]))).alias("d"),
     )

@@ -222,7 +222,7 @@ def with_matches(
         )
 
     def judged(m: Column) -> Column:
-        alone = F.when(subject.rlike(m["pattern"]), "standalone").otherwise("embedded")
+        alone = F.when(F.rlike(subject, m["pattern"]), "standalone").otherwise("embedded")
         kept = [m[f].alias(f) for f in ("word", "category", "severity", "n")]
         return F.struct(*kept, alone.alias("context"))
 

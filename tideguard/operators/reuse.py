@@ -136,16 +136,14 @@ def reuse_by_key(
     key: str,
     prefix: str,
     id_column: str = "content_id",
+    hot_from: DataFrame | None = None,
 ) -> DataFrame:
     """Left equi join with a store that has one row per key (image hash or reference).
 
     Adds the payload columns as `{prefix}_{column}`; null keys never match.
     """
     entries = store.select(key, *[F.col(c).alias(f"{prefix}_{c}") for c in PAYLOAD])
-    keyed = requests.where(F.col(key).isNotNull())
-    unkeyed = requests.where(F.col(key).isNull())
-    joined = salted_join(keyed, entries, [key], F.col(id_column))
-    return joined.unionByName(unkeyed, allowMissingColumns=True)
+    return salted_join(requests, entries, [key], F.col(id_column), hot_from=hot_from)
 
 
 def first_of_copies(

@@ -26,12 +26,12 @@ BLOCK_ROWS = 8192
 def _pivots(vectors: DataFrame, n: int) -> list[list[float]]:
     """`n` stored vectors in hash order: a sample of fixed size, the same on every run."""
     rows = (
-        vectors.select("embedding", F.xxhash64("embedding").alias("_h"))
+        vectors.select("vector", F.xxhash64("vector").alias("_h"))
         .orderBy("_h")
         .limit(n)
         .collect()
     )
-    return [list(r["embedding"]) for r in rows]
+    return [list(r["vector"]) for r in rows]
 
 
 def nearest(
@@ -51,8 +51,10 @@ def nearest(
     """
     cos = 2.0 * threshold - 1.0
     radius = math.sqrt(max(0.0, 2.0 - 2.0 * cos)) + 1e-6
-    entries = store.where(F.exists("embedding", lambda x: x != 0)).groupBy("embedding").agg(
-        F.min("entry_id").alias("entry_id")
+    entries = (
+        store.where(F.exists("embedding", lambda x: x != 0))
+        .groupBy(F.col("embedding").alias("vector"))
+        .agg(F.min("entry_id").alias("entry_id"))
     )
     asked = queries.where(F.exists("embedding", lambda x: x != 0)).select("query_id", "embedding")
     pivots = _pivots(entries, n_pivots)
@@ -96,7 +98,7 @@ def nearest(
         )
 
     placed = (
-        entries.withColumn("_at", cell_of("embedding"))
+        entries.withColumn("_at", cell_of("vector"))
         .withColumn("cell", F.col("_at.cell"))
         .withColumn("ring", F.floor(F.col("_at.distance") / radius).cast("int"))
         .drop("_at")
@@ -145,7 +147,7 @@ def nearest(
         if not len(q) or not len(s):
             return pd.DataFrame({"query_id": [], "entry_id": [], "similarity": []})
         s = s.sort_values("entry_id")
-        ids, stored = s["entry_id"].to_numpy(), unit(s["embedding"]).T
+        ids, stored = s["entry_id"].to_numpy(), unit(s["vector"]).T
         parts = []
         for start in range(0, len(q), 1024):
             some = q.iloc[start : start + 1024]

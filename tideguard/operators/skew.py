@@ -13,6 +13,19 @@ HOT_SHARE = 200
 SALTS = 64
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """True if Spark's own size estimate lets it broadcast `df` (estimates err upwards)."""
+    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= _bytes(limit)
+
+
+def _bytes(setting: str) -> int:
+    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    text = setting.lower().removesuffix("b") or "0"
+    return int(text[:-1]) * units[text[-1]] if text[-1] in units else int(text)
+
+
 def hot_keys(df: DataFrame, keys: list[str], share: int = HOT_SHARE) -> DataFrame:
     """Keys with more than 1/share of the rows (fewer than `share` of them by definition)."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -29,19 +42,27 @@ def salted_join(
     spread: Column,
     how: str = "left",
     salts: int = SALTS,
-    share: int = HOT_SHARE,
+    hot_from: DataFrame | None = None,
 ) -> DataFrame:
     """Equi join in which a hot key of `left` is spread over `salts` tasks.
 
+    A `right` that Spark may broadcast by its size estimate is joined plainly: no row of
+    `left` moves, so no key can be hot. Otherwise hot keys are counted and salted.
     `spread` must differ between the rows of one key (a row id); the few rows of `right`
-    with a hot key are repeated once per salt. `how` is "left" or "inner".
+    with a hot key are repeated once per salt. Null keys match nothing and are spread too.
+    `how` is "left" or "inner". `hot_from` is the frame whose keys are counted, where that
+    is cheaper than `left` itself: the frame a chain of joins starts from.
     """
     if how not in ("left", "inner"):
         raise ValueError("salted_join supports left and inner joins")
-    hot = F.broadcast(hot_keys(left.select(*keys), keys, share))
+    if fits_broadcast(right):
+        return left.join(right, keys, how)
+    counted = (left if hot_from is None else hot_from).select(*keys).dropna()
+    hot = F.broadcast(hot_keys(counted, keys))
+    anywhere = F.pmod(F.xxhash64(spread), F.lit(salts))
+    loose = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys]) | F.col("_hot")
     salted_left = left.join(hot, keys, "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(0).cast("int"),
+        "_salt", F.when(loose, anywhere).otherwise(0).cast("int")
     )
     every = F.sequence(F.lit(0), F.lit(salts - 1))
     salted_right = (
@@ -80,7 +101,3 @@ def first_rows(
     cut = split.withColumn("_rank", rank).where(F.col("_before") + F.col("_rank") <= F.col("_limit"))
     helper = ["_bucket", "_limit", "_before", "_size"]
     return whole.drop(*helper).unionByName(cut.drop("_rank", *helper))
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))
