@@ -47,7 +47,8 @@ def dhash(grey: Column, rows: int = 8, columns: int = 9) -> Column:
         darker = F.get(grey, at) < F.get(grey, at + 1)
         return F.shiftleft(bits, 1).bitwiseOR(F.when(darker, F.lit(1)).otherwise(0).cast("long"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(last)), F.lit(0).cast("long"), add)
+    bits = F.aggregate(F.sequence(F.lit(0), F.lit(last)), F.lit(0).cast("long"), add)
+    return F.when(grey.isNotNull(), bits)
 
 
 def hash_hex(value: Column, bits: int = 64) -> Column:

@@ -48,7 +48,8 @@ def candidates_within(
             ]
         )
     )
-    flips = F.expr("array(" + ", ".join(f"{m}L" for m in _flips(width, radius)) + ")")
+    masks = _flips(width, radius)
+    flips = F.expr("array(" + ", ".join(f"{m}L" for m in masks) + ")")
 
     def entries_of(band: int) -> Column:
         value = _band(F.col("known_hash"), band, width)
@@ -64,7 +65,14 @@ def candidates_within(
     entries = known.select("known_hash").select("known_hash", entry.alias("_p")).select(
         "known_hash", "_p.*"
     )
-    met = salted_join(probes, entries, ["band", "part"], F.col("image_hash"), "inner")
+    met = salted_join(
+        probes,
+        entries,
+        ["band", "part"],
+        F.col("image_hash"),
+        "inner",
+        expansion=bands * len(masks),
+    )
     differing = F.col("image_hash").bitwiseXOR(F.col("known_hash"))
     first = F.coalesce(
         *[F.when(F.bit_count(_band(differing, b, width)) <= radius, b) for b in range(bands)]

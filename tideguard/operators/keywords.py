@@ -50,8 +50,8 @@ def joined_tokens(tokens: Column) -> Column:
 
 def _count(text: Column, word: Column) -> Column:
     """Occurrences of a word that cannot overlap itself."""
-    left = F.length(F.replace(text, word, F.lit("")))
-    return F.floor((F.length(text) - left) / F.length(word)).cast("int")
+    left = F.octet_length(F.replace(text, word, F.lit("")))
+    return F.floor((F.octet_length(text) - left) / F.octet_length(word)).cast("int")
 
 
 def _dictionary_literal(words: dict[str, str], mode: str) -> Column:
@@ -200,12 +200,16 @@ def with_matches(
     tokens: str | None = None,
     strategy: str = "auto",
 ) -> DataFrame:
-    """Adds `kw_found` (all matches), `kw_matches` (after the whitelist, with context)."""
+    """Adds `kw_found` (all matches), `kw_matches` (after the whitelist, with context).
+
+    Also adds `_lower`, the lower-case text: its own column, so that it is computed once per
+    row and not once per word inside the lambdas.
+    """
     many = len(dictionary.word_category) > COLUMN_WORDS
     scan = automaton_matches if strategy == "automaton" or (strategy == "auto" and many) else matches
-    lower = F.lower(F.col("_text"))
+    lower = F.col("_lower")
     subject = joined_tokens(F.col(tokens)) if mode == "token" else lower
-    out = df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn(
+    out = df.withColumn("_lower", F.lower(F.coalesce(F.col(text), F.lit("")))).withColumn(
         "kw_found", scan(lower, dictionary, mode)
     )
     hit = F.size("kw_found") > 0
@@ -214,7 +218,9 @@ def with_matches(
         spans = F.when(hit, F.regexp_extract_all(lower, pattern, 1)).otherwise(
             F.array().cast("array<string>")
         )
-        kept = _surviving(F.col("kw_found"), F.col("_spans"))
+        kept = F.when(F.size("_spans") == 0, F.col("kw_found")).otherwise(
+            _surviving(F.col("kw_found"), F.col("_spans"))
+        )
         out = out.withColumn("_spans", spans).withColumn("_kept", kept)
     else:
         out = out.withColumn("_spans", F.array().cast("array<string>")).withColumn(
@@ -253,7 +259,7 @@ def with_verdict(
     n_categories = F.size(F.array_distinct(F.transform("kw_matches", lambda m: m["category"])))
     standalone = F.exists("kw_matches", lambda m: m["context"] == "standalone")
     out = (
-        out.withColumn("_combo", combo_hit(F.lower(F.col("_text")), dictionary))
+        out.withColumn("_combo", combo_hit(F.col("_lower"), dictionary))
         .withColumn("_n", n_matches)
         .withColumn("_cats", n_categories)
         .withColumn("_alone", standalone)
@@ -280,7 +286,7 @@ def with_verdict(
         F.when(whitelisted, F.transform("kw_found", lambda m: m["word"])).alias("suppressed"),
     )
     return out.withColumn("kw", verdict).drop(
-        "_text", "_combo", "_n", "_cats", "_alone", "kw_found", "kw_matches"
+        "_lower", "_combo", "_n", "_cats", "_alone", "kw_found", "kw_matches"
     )
 
 
@@ -304,7 +310,9 @@ def positions(lower_text: Column, word: str) -> Column:
 
 def occurrences(df: DataFrame, dictionary: KeywordDictionary, text: str = "text") -> DataFrame:
     """One row per text and matched word with category and number of occurrences."""
-    found = matches(F.lower(F.col(text)), dictionary)
-    return df.select("*", F.explode(found).alias("_m")).select(
+    found = df.withColumn("_lower", F.lower(F.col(text))).withColumn(
+        "_found", matches(F.col("_lower"), dictionary)
+    )
+    return found.select(*df.columns, F.explode("_found").alias("_m")).select(
         *df.columns, "_m.word", "_m.category", "_m.n"
     )

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from tideguard.config import SIMILARITY_THRESHOLD
 from tideguard.operators.skew import salted_join
 
-PIVOTS = 32
+# One pivot per this many stored vectors, up to a limit that keeps the pivot table small.
+ROWS_PER_PIVOT = 2000
+MAX_PIVOTS = 512
 BLOCK_ROWS = 8192
 
 
@@ -39,7 +41,7 @@ def nearest(
     store: DataFrame,
     threshold: float = SIMILARITY_THRESHOLD,
     earlier_only: bool = False,
-    n_pivots: int = PIVOTS,
+    n_pivots: int | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(query_id, entry_id, similarity) of the best match per query; no row without one.
@@ -57,6 +59,8 @@ def nearest(
         .agg(F.min("entry_id").alias("entry_id"))
     )
     asked = queries.where(F.exists("embedding", lambda x: x != 0)).select("query_id", "embedding")
+    if n_pivots is None:
+        n_pivots = min(MAX_PIVOTS, 1 + store.count() // ROWS_PER_PIVOT)
     pivots = _pivots(entries, n_pivots)
     out_schema = "query_id long, entry_id long, similarity double"
     if not pivots:

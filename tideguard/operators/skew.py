@@ -13,11 +13,15 @@ HOT_SHARE = 200
 SALTS = 64
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """True if Spark's own size estimate lets it broadcast `df` (estimates err upwards)."""
+def fits_broadcast(df: DataFrame, expansion: int = 1) -> bool:
+    """True if `df` is small enough to broadcast by Spark's size estimate.
+
+    The estimate errs upwards except for exploded arrays, which it does not count:
+    `expansion` is the number of rows one row became.
+    """
     limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= _bytes(limit)
+    return int(str(size)) * expansion <= _bytes(limit)
 
 
 def _bytes(setting: str) -> int:
@@ -43,6 +47,7 @@ def salted_join(
     how: str = "left",
     salts: int = SALTS,
     hot_from: DataFrame | None = None,
+    expansion: int = 1,
 ) -> DataFrame:
     """Equi join in which a hot key of `left` is spread over `salts` tasks.
 
@@ -51,11 +56,12 @@ def salted_join(
     `spread` must differ between the rows of one key (a row id); the few rows of `right`
     with a hot key are repeated once per salt. Null keys match nothing and are spread too.
     `how` is "left" or "inner". `hot_from` is the frame whose keys are counted, where that
-    is cheaper than `left` itself: the frame a chain of joins starts from.
+    is cheaper than `left` itself: the frame a chain of joins starts from. `expansion`: see
+    `fits_broadcast`.
     """
     if how not in ("left", "inner"):
         raise ValueError("salted_join supports left and inner joins")
-    if fits_broadcast(right):
+    if fits_broadcast(right, expansion):
         return left.join(right, keys, how)
     counted = (left if hot_from is None else hot_from).select(*keys).dropna()
     hot = F.broadcast(hot_keys(counted, keys))
@@ -70,7 +76,12 @@ def salted_join(
         .withColumn("_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0)))))
         .drop("_hot")
     )
-    return salted_left.drop("_hot").join(salted_right, [*keys, "_salt"], how).drop("_salt")
+    # "merge" keeps Spark from broadcasting by an estimate that has just been overruled.
+    return (
+        salted_left.drop("_hot")
+        .join(salted_right.hint("merge"), [*keys, "_salt"], how)
+        .drop("_salt")
+    )
 
 
 def first_rows(
