@@ -90,7 +90,9 @@ def discover_keywords(
         F.col(order).alias("_ord"),
         F.substring(F.coalesce("text", F.lit("")), 1, 100).alias("example_text"),
         F.col("reason").alias("example_reason"),
-        F.posexplode(F.regexp_extract_all("reason", F.lit(QUOTED_TERM), 1)).alias("_pos", "term"),
+        F.posexplode_outer(F.regexp_extract_all("reason", F.lit(QUOTED_TERM), 1)).alias(
+            "_pos", "term"
+        ),
     )
     seen = F.struct("_ord", "_pos")
     ranked = (

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tideguard.config import HAMMING_THRESHOLD, HASH_SWEEP_THRESHOLDS
 from tideguard.functions.vectors import hamming
-from tideguard.operators.skew import salted_join
+from tideguard.operators.skew import rows_of, salted_join
 
 HASH_BITS = 64
 BANDS = 4
@@ -40,7 +40,7 @@ def candidates_within(
     """
     width = HASH_BITS // bands
     radius = threshold // bands
-    part = F.explode(
+    part = rows_of(
         F.array(
             *[
                 F.struct(F.lit(b).alias("band"), _band(F.col("image_hash"), b, width).alias("part"))
@@ -58,7 +58,7 @@ def candidates_within(
             lambda m: F.struct(F.lit(band).alias("band"), value.bitwiseXOR(m).alias("part")),
         )
 
-    entry = F.explode(F.flatten(F.array(*[entries_of(b) for b in range(bands)])))
+    entry = rows_of(F.flatten(F.array(*[entries_of(b) for b in range(bands)])))
     probes = images.select("image_hash").select("image_hash", part.alias("_p")).select(
         "image_hash", "_p.*"
     )

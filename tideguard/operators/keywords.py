@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideguard.config import SEVERITY_ORDER, KeywordDictionary, overlaps_itself
+from tideguard.operators.skew import rows_of
 
 # Beyond this many words one automaton pass beats one pass per word.
 COLUMN_WORDS = 400
@@ -313,6 +314,7 @@ def occurrences(df: DataFrame, dictionary: KeywordDictionary, text: str = "text"
     found = df.withColumn("_lower", F.lower(F.col(text))).withColumn(
         "_found", matches(F.col("_lower"), dictionary)
     )
-    return found.select(*df.columns, F.explode("_found").alias("_m")).select(
+    rows = found.select(*df.columns, rows_of(F.col("_found")).alias("_m"))
+    return rows.where(F.col("_m").isNotNull()).select(
         *df.columns, "_m.word", "_m.category", "_m.n"
     )

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideguard.config import SIMILARITY_THRESHOLD
-from tideguard.operators.skew import salted_join
+from tideguard.operators.skew import rows_of, salted_join
 
 # One pivot per this many stored vectors, up to a limit that keeps the pivot table small.
 ROWS_PER_PIVOT = 2000
@@ -108,7 +108,7 @@ def nearest(
         .drop("_at")
     )
     sent = (
-        asked.withColumn("_to", F.explode(reach_of("embedding")))
+        asked.withColumn("_to", rows_of(reach_of("embedding")))
         .withColumn("cell", F.col("_to.cell"))
         .withColumn("ring", F.col("_to.ring"))
         .drop("_to")

@@ -13,6 +13,15 @@ HOT_SHARE = 200
 SALTS = 64
 
 
+def rows_of(items: Column) -> Column:
+    """One row per array element; follow with `where(element is not null)` if arrays may be empty.
+
+    Spark turns `explode` of a computed array into a filter on its size and pushes that down,
+    which computes the array twice. The outer form is not rewritten.
+    """
+    return F.explode_outer(items)
+
+
 def fits_broadcast(df: DataFrame, expansion: int = 1) -> bool:
     """True if `df` is small enough to broadcast by Spark's size estimate.
 

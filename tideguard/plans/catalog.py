@@ -28,6 +28,7 @@ from tideguard.operators import (
     review,
     semantic,
 )
+from tideguard.operators.skew import rows_of
 from tideguard.plans.views import DICTIONARY, START, Views
 from tideguard.session import materialise, scratch_path
 from tideguard.sources import readers, writers
@@ -406,7 +407,8 @@ def kw_whitelist(v: Views) -> DataFrame:
     kept = F.transform("kw_matches", lambda m: m["word"])
     return (
         _matched(v)
-        .select("content_id", F.explode("kw_found").alias("_m"), kept.alias("_kept"))
+        .select("content_id", rows_of(F.col("kw_found")).alias("_m"), kept.alias("_kept"))
+        .where("_m is not null")
         .select(
             "content_id",
             "_m.word",
@@ -419,7 +421,8 @@ def kw_whitelist(v: Views) -> DataFrame:
 def kw_context(v: Views) -> DataFrame:
     return (
         _matched(v)
-        .select("content_id", F.explode("kw_matches").alias("_m"))
+        .select("content_id", rows_of(F.col("kw_matches")).alias("_m"))
+        .where("_m is not null")
         .select("content_id", "_m.word", "_m.context")
     )
 
@@ -427,7 +430,8 @@ def kw_context(v: Views) -> DataFrame:
 @query
 def kw_positions(v: Views) -> DataFrame:
     at = keywords.positions(F.lower(F.col("text")), "idiot")
-    return v.content.select("content_id", F.explode(at).alias("position"))
+    rows = v.content.select("content_id", rows_of(at).alias("position"))
+    return rows.where("position is not null")
 
 
 @query
@@ -755,8 +759,10 @@ def skip_audit(v: Views) -> DataFrame:
 
 @query
 def text_funnel(v: Views) -> DataFrame:
-    judged = keywords.with_verdict(v.content, DICTIONARY).join(v.signals, "content_id")
-    out = funnel.with_text_signal(judged)
+    seen = keywords.with_verdict(v.content, DICTIONARY).select(
+        "content_id", "kw", X.blank(F.col("text")).alias("is_blank")
+    )
+    out = funnel.with_text_signal(seen.join(v.signals, "content_id"), is_blank=F.col("is_blank"))
     return out.select(
         "content_id", "text_signal.label", "text_signal.confidence", "text_signal.reason",
         "text_signal.tier", "text_signal.cost", "text_signal.preliminary",
