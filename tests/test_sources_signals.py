@@ -167,13 +167,11 @@ def test_image_files_to_hashes(spark, tmp_path):
     (tmp_path / "down.bmp").write_bytes(bmp(72, 64, lambda x, y: 255 - rise(x, y)))
     (tmp_path / "broken.bmp").write_bytes(b"no image")
     images = readers.read_images(spark, str(tmp_path))
-    grey = V.grey_matrix_udf(9, 8)(F.struct("height", "width", "nChannels", "data"))
-    wide = V.grey_matrix_udf(32, 32)(F.struct("height", "width", "nChannels", "data"))
     got = {
-        os.path.basename(r["origin"]): (r["d"], r["p"])
-        for r in images.select(
-            "origin", V.hash_hex(V.dhash(grey)).alias("d"), V.phash_udf()(wide).alias("p")
-        ).collect()
+        os.path.basename(r["origin"]): (r["d"], r["phash"])
+        for r in V.image_hashes(images)
+        .select("origin", V.hash_hex(F.col("dhash")).alias("d"), "phash")
+        .collect()
     }
     assert set(got) == {"up.bmp", "large.bmp", "down.bmp"}
     assert got["up.bmp"][0] == got["large.bmp"][0] == "f" * 16

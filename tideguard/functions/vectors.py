@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INVALID_DISTANCE = 999
@@ -150,3 +150,21 @@ def grey_matrix_udf(columns: int, rows: int):
         return pd.Series(out)
 
     return grey
+
+
+def image_hashes(images: DataFrame) -> DataFrame:
+    """(origin, dhash, phash) of images read by `readers.read_images`.
+
+    The grey grids are columns of their own: a Python function cannot run inside a lambda.
+    """
+    image = F.struct("height", "width", "nChannels", "data")
+    grids = images.select(
+        "origin",
+        grey_matrix_udf(9, 8)(image).alias("_small"),
+        grey_matrix_udf(32, 32)(image).alias("_large"),
+    )
+    return grids.select(
+        "origin",
+        dhash(F.col("_small")).alias("dhash"),
+        phash_udf()(F.col("_large")).alias("phash"),
+    )
