@@ -148,17 +148,11 @@ def test_streams_equal_batch(spark):
     jobs.run(writer, scratch_path(spark, "cp"))
     assert spark.read.parquet(out).count() == 7
 
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, jobs.ROCKSDB)
-    try:
-        out = scratch_path(spark, "ttl")
-        writer = jobs.ttl_cache(stream, ttl=2801).writeStream.format("parquet").option("path", out)
-        jobs.run(writer, scratch_path(spark, "cp"))
-    finally:
-        spark.conf.set(provider, before)
-    hits = {r["content_id"]: r["hit"] for r in spark.read.parquet(out).collect()}
-    assert hits == {i: i >= 7 for i in range(40)}
+    out = scratch_path(spark, "ttl")
+    lives = jobs.ttl_cache(stream, ttl=2801)
+    jobs.upsert_sink(lives, out, scratch_path(spark, "cp"), mode="complete")
+    found = jobs.read_upserts(spark, out, ["key", "started"]).collect()
+    assert len(found) == 7 and sum(r["hits"] for r in found) == 33
 
     out = scratch_path(spark, "counts")
     jobs.upsert_sink(jobs.windowed_counts(stream, "source"), out, scratch_path(spark, "cp"))

@@ -1277,15 +1277,9 @@ def stream_moderate(v: Views) -> DataFrame:
 @query
 def stream_ttl_cache(v: Views) -> DataFrame:
     path, checkpoint = scratch_path(v.spark, "cache"), scratch_path(v.spark, "checkpoint")
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = v.spark.conf.get(provider)
-    v.spark.conf.set(provider, jobs.ROCKSDB)
-    try:
-        found = jobs.ttl_cache(_content_stream(v), ttl=36000)
-        jobs.run(found.writeStream.format("parquet").option("path", path), checkpoint)
-    finally:
-        v.spark.conf.set(provider, before)
-    return v.spark.read.parquet(path).select("content_id", "hit")
+    lives = jobs.ttl_cache(_content_stream(v), ttl=36000)
+    jobs.upsert_sink(lives, path, checkpoint, mode="complete")
+    return jobs.read_upserts(v.spark, path, ["key", "started"])
 
 
 @query

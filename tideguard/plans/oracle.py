@@ -1375,9 +1375,11 @@ _oracle("stream_moderate", """
 SELECT content_id, decision, confidence, reason, tier, path, resolved_by, shared FROM v_s_moderated
 """)
 _oracle("stream_ttl_cache", """
-SELECT content_id, coalesce(ts - lag(ts) OVER (PARTITION BY key ORDER BY ts, content_id) < 36000,
-  false) AS hit
-FROM v_requests
+SELECT key, min(ts) AS started, count(*) AS requests, count(*) - 1 AS hits
+FROM (SELECT key, ts, sum(fresh) OVER (PARTITION BY key ORDER BY ts) AS life
+  FROM (SELECT key, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY key ORDER BY ts) < 36000
+    THEN 0 ELSE 1 END AS fresh FROM v_requests))
+GROUP BY key, life
 """)
 _oracle("stream_dedup", "SELECT DISTINCT key FROM v_requests")
 _oracle("stream_stats", """

@@ -6,18 +6,15 @@ the folder for its sink and its checkpoint; all use `availableNow` unless told o
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from tideguard.config import LOCAL_TTL_SECONDS
 from tideguard.functions.text import content_key
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def event_time(stream: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """Adds `at`, the time of `ts`, with the watermark on it."""
@@ -91,14 +88,21 @@ def daily_labels(stream: DataFrame) -> DataFrame:
 
 
 def upsert_sink(
-    stream: DataFrame, path: str, checkpoint: str, available_now: bool = True
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    available_now: bool = True,
+    mode: str = "update",
 ) -> StreamingQuery:
-    """Writes the changed rows of an aggregation per micro-batch; see `read_upserts`."""
+    """Writes the changed rows of an aggregation per micro-batch; see `read_upserts`.
+
+    Session windows know no "update": use "append" (closed ones) or "complete" there.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return run(stream.writeStream.outputMode("update").foreachBatch(write), checkpoint, available_now)
+    return run(stream.writeStream.outputMode(mode).foreachBatch(write), checkpoint, available_now)
 
 
 def read_upserts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
@@ -110,33 +114,20 @@ def read_upserts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     )
 
 
-def ttl_cache(stream: DataFrame, ttl: int = LOCAL_TTL_SECONDS) -> DataFrame:
-    """Per request whether its text was seen less than `ttl` seconds before.
+def ttl_cache(
+    stream: DataFrame, ttl: int = LOCAL_TTL_SECONDS, lateness: str = "1 hour"
+) -> DataFrame:
+    """Life of every cache entry: (key, started, requests, hits).
 
-    Every request writes the entry anew, which restarts its time to live. The last time is
-    kept in the state and compared with event time; the state's own time to live only
-    bounds its size, so needs the RocksDB provider.
+    Every request writes the entry anew, which restarts its time to live, so one life is a
+    session of requests less than `ttl` seconds apart; all but its first are hits. The state
+    holds one row per open session and the watermark closes it.
     """
-    schema = "content_id long, key string, ts long, hit boolean"
-
-    class Cache(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.last = handle.getValueState("last", "ts long", ttlDurationMs=ttl * 1000)
-
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-            batch = pd.concat(list(rows)).sort_values(["ts", "content_id"])
-            previous = self.last.get()[0] if self.last.exists() else None
-            before = batch["ts"].shift(1)
-            if previous is not None:
-                before.iloc[0] = previous
-            batch["hit"] = (batch["ts"] - before < ttl) & before.notna()
-            self.last.update((int(batch["ts"].iloc[-1]),))
-            yield batch[["content_id", "key", "ts", "hit"]]
-
-        def close(self) -> None:
-            pass
-
-    keyed = stream.select("content_id", content_key(F.col("text")).alias("key"), "ts")
-    return keyed.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=Cache(), outputStructType=schema, outputMode="Append", timeMode="ProcessingTime"
+    keyed = event_time(stream, lateness).withColumn("key", content_key(F.col("text")))
+    lives = keyed.groupBy(F.session_window("at", f"{ttl} seconds").alias("life"), "key")
+    return lives.agg(F.count(F.lit(1)).alias("requests")).select(
+        "key",
+        F.unix_timestamp("life.start").alias("started"),
+        "requests",
+        (F.col("requests") - 1).alias("hits"),
     )
