@@ -14,9 +14,9 @@ differ) nor to the left (the interval's members differ) and is a maximal repeat,
 occurrences. What is covered by repeats of at least LENGTH bytes goes.
 
 An anchor sees LENGTH bytes to the right and as many to the left as any stretch around it can
-hold; longer repeats have anchors all along. A hash with more than CROWD occurrences is not
-gathered: every stretch around its anchors is hashed and counted instead, which gives the same
-bytes in proportion to the occurrences.
+hold; longer repeats have anchors all along. Equal contexts are scanned once. A hash with more
+than CROWD different contexts is not gathered: every stretch around its anchors is hashed and
+counted instead, which gives the same bytes in proportion to the contexts.
 
 Defined cases: a null text is empty; texts shorter than LENGTH are kept whole. Of equal texts of
 at least LENGTH bytes all are removed whole, as each repeats the others; they are scanned once.
@@ -39,7 +39,9 @@ from tideguard.session import materialise, scratch_path
 
 LENGTH = 400
 GRAM = 96
-CROWD = 5_000
+CROWD = 200_000
+# Contexts whose bytes a task remembers to have sent.
+REMEMBERED = 200_000
 # Bytes whose anchors are looked for at once; positions take 20 bits.
 CHUNK = 1 << 20
 KEY = ["k0", "k1"]
@@ -82,29 +84,30 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return hashes
 
 
+def picked(part: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each place, place picked for each stretch): the leftmost of the smallest hash."""
+    wide = length - gram + 1
+    found = gram_hashes(part.astype(np.uint64), gram)
+    # The place makes equal hashes differ, so that the leftmost is the smallest.
+    least = (found & ~np.uint64(CHUNK - 1)) | np.arange(len(found), dtype=np.uint64)
+    done = 1
+    while done * 2 <= wide:
+        least = np.minimum(least[:-done], least[done:])
+        done *= 2
+    if done < wide:
+        least = np.minimum(least[: len(least) - (wide - done)], least[wide - done :])
+    return found, (least & np.uint64(CHUNK - 1)).astype(np.int64)
+
+
 def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """(places, hashes): for each stretch of `length` bytes the place with the smallest hash."""
-    places, hashes = [], []
-    wide = length - gram + 1
-    for low in range(0, max(1, len(data) - length + 1), CHUNK - length + 1):
-        part = np.frombuffer(data, np.uint8, min(CHUNK, len(data) - low), low).astype(np.uint64)
-        if len(part) < length:
-            break
-        found = gram_hashes(part, gram)
-        # The place makes equal hashes differ, so that the leftmost is the smallest.
-        least = (found & ~np.uint64(CHUNK - 1)) | np.arange(len(found), dtype=np.uint64)
-        done = 1
-        while done * 2 <= wide:
-            least = np.minimum(least[:-done], least[done:])
-            done *= 2
-        if done < wide:
-            least = np.minimum(least[: len(least) - (wide - done)], least[wide - done :])
-        at = (least & np.uint64(CHUNK - 1)).astype(np.int64)
+    places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for low in range(0, len(data) - length + 1, CHUNK - length + 1):
+        part = np.frombuffer(data, np.uint8, min(CHUNK, len(data) - low), low)
+        found, at = picked(part, length, gram)
         at = at[np.concatenate([[True], at[1:] != at[:-1]])]
         places.append(at + low)
         hashes.append(found[at])
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     at, first = np.unique(np.concatenate(places), return_index=True)
     return at, np.concatenate(hashes)[first]
 
@@ -154,33 +157,28 @@ def maximal_repeats(
         if max(before) < need:
             continue
         for left, low, high in intervals(before):
+            if left < need:
+                continue
             group = members[low : high + 1]
-            if left >= need and any(child[i] != child[group[0]] for i in group):
+            if any(child[i] != child[group[0]] for i in group):
                 yield left, right, group
 
 
-def around(rights: list[bytes], lefts: list[bytes], length: int = LENGTH) -> tuple[list[int], list[int]]:
-    """For each occurrence the bytes before and from the anchor on that repeats cover; 0, 0: none.
+def around(rights: list[bytes], lefts: list[bytes], copies: list[int], length: int = LENGTH) -> tuple[list[int], list[int]]:
+    """For each distinct context the bytes before and from the anchor on that repeats cover.
 
-    All repeats hold the anchor's bytes, so together they cover one run.
+    0, 0: none. `copies` says how often a context occurs. All repeats hold the anchor's bytes, so
+    together they cover one run.
     """
-    same: dict[tuple[bytes, bytes], list[int]] = {}
-    for i, pair in enumerate(zip(rights, lefts, strict=True)):
-        same.setdefault(pair, []).append(i)
-    distinct = sorted(same)
-    before, after = [0] * len(distinct), [0] * len(distinct)
-    for k, (right, left) in enumerate(distinct):
-        if len(same[right, left]) > 1 and len(right) + len(left) >= length:
-            before[k], after[k] = len(left), len(right)
-    if len(distinct) > 1:
-        for left, right, members in maximal_repeats([r for r, _ in distinct], [x for _, x in distinct], length):
+    before, after = [0] * len(rights), [0] * len(rights)
+    for k, n in enumerate(copies):
+        if n > 1 and len(rights[k]) + len(lefts[k]) >= length:
+            before[k], after[k] = len(lefts[k]), len(rights[k])
+    if len(rights) > 1:
+        for left, right, members in maximal_repeats(rights, lefts, length):
             for k in members:
                 before[k], after[k] = max(before[k], left), max(after[k], right)
-    out_before, out_after = [0] * len(rights), [0] * len(rights)
-    for k, pair in enumerate(distinct):
-        for i in same[pair]:
-            out_before[i], out_after[i] = before[k], after[k]
-    return out_before, out_after
+    return before, after
 
 
 def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -224,43 +222,61 @@ def _find_anchors(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _contexts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    reach = LENGTH - GRAM
+    """Every anchor with its context's digest; the bytes only where the task first meets them.
+
+    Periodic text has an anchor in every period, nearly all with one context.
+    """
+    reach, sent = LENGTH - GRAM, set()
     for batch in batches:
         for k0, k1, data, hits in zip(batch["k0"], batch["k1"], batch["data"], batch["hits"], strict=True):
-            rows = [
-                (x["h"], k0, k1, x["place"], x["n"], data[x["place"] : x["place"] + LENGTH], data[max(0, x["place"] - reach) : x["place"]][::-1])
-                for x in hits
-            ]
-            yield pd.DataFrame(rows, columns=["h", "k0", "k1", "place", "n", "rights", "lefts"])
+            if len(sent) > REMEMBERED:
+                sent.clear()
+            rows = []
+            for x in hits:
+                at = x["place"]
+                right, left = data[at : at + LENGTH], data[max(0, at - reach) : at][::-1]
+                c = hashlib.blake2b(left, digest_size=16, key=len(left).to_bytes(4, "big"))
+                c.update(right)
+                c = c.digest()
+                rows.append((x["h"], k0, k1, at, c, *((None, None) if c in sent else (right, left))))
+                sent.add(c)
+            yield pd.DataFrame(rows, columns=["h", "k0", "k1", "place", "c", "rights", "lefts"])
 
 
 def _scan(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Spans of sorted suffixes; the occurrences of one hash are at most CROWD."""
+    """What is covered around sorted contexts; those of one hash are at most CROWD."""
 
     def rows():
         for b in batches:
-            yield from zip(b["h"], b["rights"], b["lefts"], b["k0"], b["k1"], b["place"], strict=True)
+            yield from zip(b["h"], b["c"], b["rights"], b["lefts"], b["copies"], strict=True)
 
     out = []
     for _, group in groupby(rows(), key=lambda r: r[0]):
-        members = list(group)
-        before, after = around([r[1] for r in members], [r[2] for r in members])
-        out += [(r[3], r[4], r[5] - b, r[5] + a) for r, b, a in zip(members, before, after, strict=True) if a + b]
+        _, names, rights, lefts, copies = map(list, zip(*group, strict=True))
+        found = zip(names, *around(rights, lefts, copies), strict=True)
+        out += [r for r in found if r[1] + r[2]]
         if len(out) > 10_000:
-            yield pd.DataFrame(out, columns=["k0", "k1", "start", "stop"])
+            yield pd.DataFrame(out, columns=["c", "before", "after"])
             out = []
-    yield pd.DataFrame(out, columns=["k0", "k1", "start", "stop"])
+    yield pd.DataFrame(out, columns=["c", "before", "after"])
 
 
 def _stretches(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The stretches of LENGTH bytes that picked the context's anchor, by digest and distance.
+
+    A stretch belongs to the one anchor that it picked, so it is counted once.
+    """
     for b in batches:
-        for right, left, k0, k1, place in zip(b["rights"], b["lefts"], b["k0"], b["k1"], b["place"], strict=True):
-            data, start = left[::-1] + right, place - len(left)
+        for c, right, left, copies in zip(b["c"], b["rights"], b["lefts"], b["copies"], strict=True):
+            data = left[::-1] + right
+            if len(data) < LENGTH:
+                continue
+            _, at = picked(np.frombuffer(data, np.uint8), LENGTH, GRAM)
             rows = [
-                (hashlib.blake2b(data[i : i + LENGTH], digest_size=16).digest(), k0, k1, place, start + i)
-                for i in range(len(data) - LENGTH + 1)
+                (hashlib.blake2b(data[i : i + LENGTH], digest_size=16).digest(), c, copies, len(left) - i)
+                for i in np.flatnonzero(at == len(left)).tolist()
             ]
-            yield pd.DataFrame(rows, columns=["digest", "k0", "k1", "place", "start"])
+            yield pd.DataFrame(rows, columns=["digest", "c", "copies", "before"])
 
 
 def _cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -281,28 +297,32 @@ def repeated_spans(texts: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(k0, k1, start, stop): covered bytes of `texts(k0, k1, text)`, spans of one text may overlap."""
     data = texts.select(*KEY, F.col("text").cast("binary").alias("data"))
     found = materialise(data.mapInPandas(_find_anchors, "k0 long, k1 long, place long, h long"), "anchors")
-    again = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    hits = found.join(again, "h").groupBy(*KEY).agg(F.collect_list(F.struct("place", "h", "n")).alias("hits"))
-    columns = "h long, k0 long, k1 long, place long, n long, rights binary, lefts binary"
-    suffixes = data.join(hits, KEY).mapInPandas(_contexts, columns)
-    suffixes = materialise(suffixes, "suffixes")
-    few = suffixes.where(F.col("n") <= crowd).drop("n")
-    spans = "k0 long, k1 long, start long, stop long"
-    scanned = few.repartition("h").sortWithinPartitions("h", "rights").mapInPandas(_scan, spans)
-    if crowd_free(suffixes, crowd):
-        return scanned
-    many = suffixes.where(F.col("n") > crowd)
-    stretches = many.mapInPandas(_stretches, "digest binary, k0 long, k1 long, place long, start long")
-    stretches = materialise(stretches, "stretches")
-    twice = stretches.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    covered = stretches.join(twice, "digest").groupBy(*KEY, "place").agg(
-        F.min("start").alias("start"), (F.max("start") + LENGTH).alias("stop")
+    again = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    hits = found.join(again, "h").groupBy(*KEY).agg(F.collect_list(F.struct("place", "h")).alias("hits"))
+    columns = "h long, k0 long, k1 long, place long, c binary, rights binary, lefts binary"
+    suffixes = materialise(data.join(hits, KEY).mapInPandas(_contexts, columns), "suffixes")
+    # Equal contexts are reduced before the shuffle: each occurs once in what follows.
+    contexts = suffixes.groupBy("h", "c").agg(
+        F.max("rights").alias("rights"), F.max("lefts").alias("lefts"), F.count(F.lit(1)).alias("copies")
     )
-    return scanned.unionByName(covered.drop("place"))
-
-
-def crowd_free(suffixes: DataFrame, crowd: int) -> bool:
-    return not suffixes.where(F.col("n") > crowd).select("h").take(1)
+    contexts = materialise(contexts, "contexts")
+    crowds = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("h")
+    crowds = materialise(crowds, "crowds")
+    few = contexts.join(crowds, "h", "left_anti") if crowds.take(1) else contexts
+    covered = few.repartition("h").sortWithinPartitions("h", "rights", "lefts").mapInPandas(
+        _scan, "c binary, before long, after long"
+    )
+    if crowds.take(1):
+        many = contexts.join(crowds, "h", "left_semi").select("c", "rights", "lefts", "copies")
+        stretches = materialise(many.mapInPandas(_stretches, "digest binary, c binary, copies long, before long"), "stretches")
+        twice = stretches.groupBy("digest").agg(F.sum("copies").alias("n")).where("n > 1").select("digest")
+        covered = covered.unionByName(
+            stretches.join(twice, "digest").groupBy("c").agg(
+                F.max("before").alias("before"), (F.lit(LENGTH) - F.min("before")).alias("after")
+            )
+        )
+    spans = suffixes.select(*KEY, "place", "c").join(covered, "c")
+    return spans.select(*KEY, (F.col("place") - F.col("before")).alias("start"), (F.col("place") + F.col("after")).alias("stop"))
 
 
 def without_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
