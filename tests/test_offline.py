@@ -162,3 +162,13 @@ def test_streams_equal_batch(spark):
     log = scratch_path(spark, "log")
     jobs.append_log(stream, log, scratch_path(spark, "cp"))
     assert spark.read.parquet(log).count() == 40
+
+
+def test_ttl_ends_an_entry_on_the_second(spark, tmp_path):
+    rows = [("a", "same", 0.0), ("b", "same", 3599.0), ("c", "same", 7199.0)]
+    spark.createDataFrame(rows, "content_id string, text string, ts double").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("content_id string, text string, ts double").parquet(str(tmp_path / "in"))
+    out = scratch_path(spark, "edge")
+    jobs.upsert_sink(jobs.ttl_cache(stream, ttl=3600), out, scratch_path(spark, "cp"), mode="complete")
+    lives = jobs.read_upserts(spark, out, ["key", "started"]).collect()
+    assert sorted((r["started"], r["hits"]) for r in lives) == [(0, 1), (7199, 0)]

@@ -65,9 +65,9 @@ def sample_id(text: Column) -> Column:
 
 
 def image_ref_key(image_url: Column, image_base64: Column) -> Column:
-    """Key of an image by reference: its URL, else the first 128 characters of its data."""
+    """Key of an image by reference: its URL, else the whole of its data."""
     url = F.coalesce(image_url, F.lit(""))
-    data = F.substring(F.coalesce(image_base64, F.lit("")), 1, 128)
+    data = F.coalesce(image_base64, F.lit(""))
     return F.substring(F.sha2(F.when(url != "", url).otherwise(data), 256), 1, 16)
 
 

@@ -323,7 +323,7 @@ FROM v_gateway_content
 _oracle("content_keys", """
 SELECT content_id, sha256(text) AS key, 'mod:v1:' || sha256(text) AS shared_key,
   substr(sha256(text), 1, 12) AS sample_id,
-  substr(sha256(CASE WHEN lang = 'en' THEN source ELSE substr(text, 1, 128) END), 1, 16)
+  substr(sha256(CASE WHEN lang = 'en' THEN source ELSE text END), 1, 16)
     AS image_ref
 FROM v_content
 """)

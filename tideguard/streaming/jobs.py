@@ -124,7 +124,9 @@ def ttl_cache(
     holds one row per open session and the watermark closes it.
     """
     keyed = event_time(stream, lateness).withColumn("key", content_key(F.col("text")))
-    lives = keyed.groupBy(F.session_window("at", f"{ttl} seconds").alias("life"), "key")
+    # Sessions that touch are merged, so the gap ends just before the time to live does.
+    gap = f"{ttl * 1000 - 1} milliseconds"
+    lives = keyed.groupBy(F.session_window("at", gap).alias("life"), "key")
     return lives.agg(F.count(F.lit(1)).alias("requests")).select(
         "key",
         F.unix_timestamp("life.start").alias("started"),
