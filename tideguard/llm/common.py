@@ -30,6 +30,16 @@ def wrapped(docs: DataFrame, *columns: Column) -> DataFrame:
     return docs.select(F.struct("*").alias("doc"), *columns)
 
 
+def place_of(docs: DataFrame) -> Column:
+    """Which row of a stored Parquet table a row is: its file and its number in that file.
+
+    Unlike a number by partition, it stays the same when the table is read again, also after
+    executors were lost or gained and Spark cuts the files into other splits.
+    """
+    meta = docs.metadataColumn("_metadata")
+    return F.struct(F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("at"))
+
+
 def running_totals(rows: DataFrame, group: list[str], block: str, order: list, totals: dict):
     """Adds, or replaces, each `out` of `totals {out: value column}`: the sum over the group's rows before.
 

@@ -14,7 +14,8 @@ run of one class costs time in proportion and no stack.
 
 Defined cases: a null or empty text has no spans. Repeated rows have the same spans each and
 count once as instances. An empty table gives an empty result. Columns other than doc_id and text
-are not read. Everything is DataFrame functions; `docs` is read twice and must be a stored table.
+are not read. Everything is DataFrame functions; `docs` is read twice and must be a stored
+Parquet table.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideguard.llm.common import text_of
+from tideguard.llm.common import place_of, text_of
 from tideguard.session import materialise
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -94,7 +95,7 @@ def _matches(kind: str, pattern: str, text: Column) -> Column:
 def found_spans(docs: DataFrame) -> DataFrame:
     """row, kind, start, stop, value, pattern (the two words before) of all matches and candidates."""
     text = F.col("text")
-    some = docs.select(F.monotonically_increasing_id().alias("row"), text_of().alias("text")).where(
+    some = docs.select(place_of(docs).alias("row"), text_of().alias("text")).where(
         F.rlike(text, F.lit("[0-9@]"))
     )
     nothing = F.array().cast("array<struct<kind:string,number:int,gap:int,tail:string,value:string>>")
@@ -197,7 +198,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
         _listed(F.collect_list(place)).alias("spans"),
         F.sum(F.col("discovered").cast("long")).alias("n_discovered"),
     )
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id")
+    rows = docs.select(place_of(docs).alias("row"), "doc_id")
     zero = F.lit(0).cast("long")
     return rows.join(by_row, "row", "left").select(
         "doc_id", *[F.coalesce(f"n_{k}", zero).alias(f"n_{k}") for k in KINDS],

@@ -5,7 +5,8 @@ first. Two lines whose Jaccard similarity reaches 0.8 share a word within their
 prefix), so prefixes are joined by word; pairs are dropped where the lengths, the places of the
 shared word, or a parity sketch of the sets rule the similarity out. What is left is verified on
 the words themselves, and the later line of each match is removed. Later means by document
-number (null last), then by row and place in the text.
+number (null last), then by row and place in the text. Rows are told apart by their place in
+the stored table.
 
 Rarity comes from counts of all words in a table of fixed size. It only has to be one order for
 all lines, so words that share a counter cost time, never results.
@@ -20,7 +21,7 @@ document may lose all its lines and stays, with an empty text. Repeated rows los
 the later row. An empty table gives an empty result. Columns other than doc_id and text are kept
 by `without_repeated_lines` as they are, but for `n_chars`, which is counted again.
 
-Everything is DataFrame functions; `docs` is read several times and must be a stored table.
+Everything is DataFrame functions; `docs` is read several times and must be a stored Parquet table.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideguard.llm.common import SPACE, text_of, words_of, wrapped
+from tideguard.llm.common import SPACE, place_of, text_of, words_of, wrapped
 from tideguard.session import materialise
 
 # Jaccard similarity of 4/5: shared words o of lines of x and y words reach it if 9 o >= 4 (x + y).
@@ -87,9 +88,9 @@ def _prefix_length(n: Column) -> Column:
 
 
 def line_sets(docs: DataFrame, ranks: str) -> DataFrame:
-    """id, row, doc, line, n (words), key, s0, s1 (sketch) and prefix of every line with words."""
+    """Of `docs(row, doc_id, text)`: id, row, doc, line, n (words), key, s0, s1 (sketch) and prefix of every line with words."""
     lines = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc"), text_of().alias("text")
+        "row", F.col("doc_id").cast("long").alias("doc"), text_of().alias("text")
     ).select("row", "doc", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     table = F.from_json(F.lit(ranks), "array<bigint>")
     hashes = F.array_remove(
@@ -154,7 +155,7 @@ def _verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame) -> DataFrame:
     every = docs.sparkSession.range(FLAGS // 63 + 1).withColumnRenamed("id", "word")
     filled = every.join(flags, "word", "left").select("word", F.coalesce("bits", F.lit(0)).alias("bits"))
     table = filled.agg(F.transform(words, lambda x: x["bits"]).alias("bits")).scalar()
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), text_of().alias("text"))
+    texts = docs.select("row", text_of().alias("text"))
     bits = F.get(table, F.floor(flag / 63).cast("int"))
     texts = texts.where(F.call_function("shiftright", bits, (flag % 63).cast("int")).bitwiseAND(1) == 1)
     line = F.element_at(F.split("text", "\n"), F.col("line") + 1)
@@ -171,8 +172,8 @@ def _verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(row, line): the lines to remove; `row` is monotonically_increasing_id over `docs`."""
-    docs = docs.select("doc_id", "text")
+    """(row, line): the lines to remove; `row` is place_of `docs`."""
+    docs = docs.select(place_of(docs).alias("row"), "doc_id", "text")
     with _short_plan_texts(docs.sparkSession):
         lines = materialise(line_sets(docs, rarity_ranks(docs)), "lines").where("n > 0")
     same = ["key", "n", "s0", "s1"]
@@ -228,7 +229,7 @@ def _settle_crowds(docs: DataFrame, lines: DataFrame, words: DataFrame, crowd: i
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and the numbers of the lines removed (from 0) of every document."""
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id",
+        place_of(docs).alias("row"), "doc_id",
         F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"),
     )
     gone = _by_row(repeated_lines(docs))
@@ -246,7 +247,7 @@ def _by_row(removed: DataFrame) -> DataFrame:
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """`docs` without the lines that repeat earlier ones."""
     gone = _by_row(repeated_lines(docs)).withColumnRenamed("row", "of_row")
-    rows = wrapped(docs, F.monotonically_increasing_id().alias("row"))
+    rows = wrapped(docs, place_of(docs).alias("row"))
     joined = rows.join(gone, F.col("row") == F.col("of_row"), "left")
     lines = F.split(F.col("doc.text"), "\n")
     kept = F.filter(lines, lambda x, i: ~F.array_contains("gone", i))

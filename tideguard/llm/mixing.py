@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideguard.llm.common import hash_range, running_totals, shuffled_order, text_of, words_of, wrapped
+from tideguard.llm.common import hash_range, place_of, running_totals, shuffled_order, text_of, words_of, wrapped
 from tideguard.session import materialise
 
 # Rows of a source that one window task sorts, on average.
@@ -148,9 +148,10 @@ def mix_documents(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5) -> Dat
 def mixture(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5) -> DataFrame:
     """`docs` as mixed: every document as many times as it is taken.
 
-    The queue holds row numbers, not texts. `docs` is read twice and must be a stored table.
+    The queue holds places of rows, not texts. `docs` is read twice and must be a stored Parquet
+    table.
     """
-    row = F.monotonically_increasing_id().alias("row")
+    row = place_of(docs).alias("row")
     numbered = materialise(docs.select(*_sized(F.struct(row))), "mix-sizes")
     taken = fair_mix(numbered, list(weights), share).where("copies > 0").select(F.col("doc.row").alias("of_row"), "copies")
     mixed = wrapped(docs, row).join(taken, F.col("row") == F.col("of_row"))
