@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideguard.llm.common import components, text_of, wrapped
+from tideguard.llm.common import components, place_of, text_of, wrapped
 from tideguard.session import materialise
 
 SHINGLE = 3
@@ -188,12 +188,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """`docs` with one document of each group: that of the smallest number.
 
-    Rows are numbered as they are written, so that of equal rows one stays.
+    Rows are told apart by their place in the table, so that of equal rows one stays. `docs` is
+    read twice and must be a stored Parquet table; its texts are not written again.
     """
-    row = F.monotonically_increasing_id().alias("row")
-    numbered = wrapped(docs, row, F.col("doc_id").alias("doc_id"), fingerprint_of(text_of()).alias("fp"))
-    numbered = materialise(numbered, "numbered")
-    groups = grouped(numbered.select("row", "doc_id", "fp"))
+    row = place_of(docs).alias("row")
+    prints = docs.select(row, F.col("doc_id").alias("doc_id"), fingerprint_of(text_of()).alias("fp"))
+    groups = grouped(materialise(prints, "simhash"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     stay = groups.groupBy("group").agg(first.alias("s")).select("s.row")
-    return numbered.join(stay, "row", "left_semi").select("doc.*")
+    return wrapped(docs, row).join(stay, "row", "left_semi").select("doc.*")
