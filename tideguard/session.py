@@ -53,12 +53,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
+def materialise(df: DataFrame, name: str = "stage", codec: str = "snappy") -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
     Cuts the lineage where several outputs hang on one expensive result. The files survive
-    the loss of executors, which a cached copy does not.
+    the loss of executors, which a cached copy does not. `codec` zstd takes some more time and
+    less disk, which pays for whole texts.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
