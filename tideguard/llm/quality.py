@@ -125,16 +125,21 @@ def _prior(n: int, hosts: int, failed: int, weighted_square: float) -> tuple[flo
     return mean * weight, (1 - mean) * weight
 
 
-def _judged(rows: DataFrame) -> DataFrame:
-    """`rows(doc, host, text)` with figures, rules, base_failed, host_rate and kept.
-
-    The rated rows are written once, without `text`; hosts are counted from them and joined back.
-    """
+def _rated(rows: DataFrame) -> DataFrame:
+    """`rows(doc, host, text)` with figures, rules and base_failed, without `text`."""
     rated = rows.select("doc", "host", _figures("text").alias("f")).select("doc", "host", "f.*")
     tests = rules()
     failed = reduce(lambda x, y: x | y, [tests[r] for r in BASE_RULES])
-    rated = materialise(rated.withColumns(tests).withColumn("base_failed", failed), "rated")
-    hosts = host_verdicts(rated, list(tests))
+    return rated.withColumns(tests).withColumn("base_failed", failed)
+
+
+def _judged(rated: DataFrame) -> DataFrame:
+    """`rated` with host_rate and kept.
+
+    The rated rows are written once; hosts are counted from them and joined back.
+    """
+    rated = materialise(rated, "rated", codec="zstd")
+    hosts = host_verdicts(rated, list(rules()))
     judged = rated.join(hosts, F.col("host").eqNullSafe(F.col("of_host")), "left")
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= HOST_LIMIT))
 
@@ -144,15 +149,20 @@ RESULTS = [*FIGURES, "base_failed", "host_rate", "kept"]
 
 def host_rules(docs: DataFrame, host: str = "source") -> DataFrame:
     """`docs` with the figures, base_failed, host_rate and kept (replacing columns so named)."""
-    judged = _judged(wrapped(docs, F.col(host).alias("host"), text_of().alias("text")))
+    judged = _judged(_rated(wrapped(docs, F.col(host).alias("host"), text_of().alias("text"))))
     own = [F.col("doc")[c].alias(c) for c in docs.columns if c not in RESULTS]
     return judged.select(*own, *RESULTS)
 
 
 def passing(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The documents that are kept, as they came."""
-    judged = _judged(wrapped(docs, F.col(host).alias("host"), text_of().alias("text")))
-    return judged.where("kept").select("doc.*")
+    """The documents that are kept, as they came.
+
+    Documents that fail a base rule go whatever their host's verdict: they count for the host,
+    but are not carried along.
+    """
+    rated = _rated(wrapped(docs, F.col(host).alias("host"), text_of().alias("text")))
+    doc = F.when(~F.col("base_failed"), F.col("doc")).alias("doc")
+    return _judged(rated.select(doc, "host", *rules(), "base_failed")).where("kept").select("doc.*")
 
 
 def judge_documents(docs: DataFrame) -> DataFrame:
@@ -161,4 +171,4 @@ def judge_documents(docs: DataFrame) -> DataFrame:
         F.struct("doc_id").alias("doc"), F.col("source").alias("host"), text_of().alias("text")
     )
     rate = F.round("host_rate", 6).alias("host_rate")
-    return _judged(rows).select("doc.*", *FIGURES, "base_failed", "kept", F.col("host").alias("source"), rate)
+    return _judged(_rated(rows)).select("doc.*", *FIGURES, "base_failed", "kept", F.col("host").alias("source"), rate)
