@@ -173,16 +173,21 @@ def threshold_sweep(
     """Recovery and false-match rate per Hamming threshold.
 
     Recovery: images, the originals aside, within the threshold of their own original. False
-    match: pairs of an image and another group's original within it. Distances to the originals are taken
-    inside the row and summed up, no pairs are produced.
+    match: pairs of two originals within it, as in `distance_summary`. Distances to the originals
+    are taken inside the row and summed up, no pairs are produced.
     """
     thresholds = thresholds or HASH_SWEEP_THRESHOLDS
     originals = references(images, group, order)
     rows = images.where(F.col("image_hash").isNotNull()).select(
         group, order, "image_hash", _all_references(originals, group).alias("_refs")
     )
+    rows = rows.withColumn("_is_first", F.exists("_refs", lambda r: r["_ref_id"] == F.col(order)))
     distances = F.transform(
-        F.filter("_refs", lambda r: r["_ref_id"] != F.col(order)),
+        F.filter(
+            "_refs",
+            lambda r: (r["_ref_id"] != F.col(order))
+            & ((r["g"] == F.col(group)) | (F.col("_is_first") & (r["g"] > F.col(group)))),
+        ),
         lambda r: F.struct(
             (r["g"] == F.col(group)).alias("own"), hamming(F.col("image_hash"), r["h"]).alias("d")
         ),

@@ -560,8 +560,11 @@ SELECT CAST(t AS INTEGER) AS threshold,
     AS recovery_rate,
   round(count(*) FILTER (NOT own AND d <= t) / CAST(count(*) FILTER (NOT own) AS DOUBLE), 4)
     AS false_match_rate
-FROM (SELECT i.label = o.label AS own, bit_count(xor(i.image_hash, o.image_hash)) AS d
-  FROM v_images i JOIN v_originals o ON o.image_id <> i.image_id),
+FROM (SELECT true AS own, bit_count(xor(i.image_hash, o.image_hash)) AS d
+  FROM v_images i JOIN v_originals o ON o.label = i.label AND o.image_id <> i.image_id
+  UNION ALL
+  SELECT false, bit_count(xor(a.image_hash, b.image_hash))
+  FROM v_originals a JOIN v_originals b ON a.label < b.label),
   (VALUES (2), (5), (8), (10), (12), (15), (20)) x(t)
 GROUP BY t
 """)
