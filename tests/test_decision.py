@@ -79,3 +79,23 @@ def test_tenant_parameters(spark):
     table = config_table(spark, {"a": strict}).withColumnRenamed("tenant", "name")
     got = with_decision(frame(spark, rows).join(table, "name", "left"), placeholder_image=False)
     assert {r["name"]: r["decision"] for r in got.collect()} == {"a": "review", "b": "pass"}
+
+
+def test_tenant_maps_decide_like_the_config_given_directly(spark):
+    base = DecisionConfig()
+    own = base.with_updates({
+        "score_thresholds": {"toxic": 0.9, "spam": 0.9, "gambling": 0.95},
+        "label_severity": {"unsafe": 0.55},
+        "agent_weights": {"text": 0.1, "image": 0.9},
+    })
+    df = frame(spark, RULES)
+    table = config_table(spark, {"a": own, "b": base}).where("tenant = 'a'")
+    joined = df.crossJoin(table)
+    for placeholder in (True, False):
+        columns = ["name", "score", "agg_label", "decision", "confidence", "reason", "rule"]
+        got = with_decision(joined, placeholder_image=placeholder).select(columns)
+        direct = with_decision(df, own, placeholder_image=placeholder).select(columns)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, direct.collect()))
+    assert {r["agg_label"] for r in got.collect()} != {
+        r["agg_label"] for r in with_decision(df, base, placeholder_image=False).collect()
+    }

@@ -8,10 +8,24 @@ from pyspark.sql import functions as F
 from tideguard.config import DecisionConfig
 
 
-def severity_of(label: Column, config: DecisionConfig, unknown: float) -> Column:
-    table = config["label_severity"]
-    entries = [F.lit(x) for k, v in table.items() for x in (k, float(v))]
-    return F.coalesce(F.try_element_at(F.create_map(*entries), label), F.lit(unknown))
+# Maps that a tenant may set; columns so named override the parameters row by row.
+MAPS = ["agent_weights", "label_severity", "score_thresholds"]
+
+
+def _numbers(config: DecisionConfig, name: str) -> dict[str, float]:
+    return {k: float(v) for k, v in config[name].items()}
+
+
+def _setting(df: DataFrame, name: str, config: DecisionConfig) -> Column:
+    """A map of the parameters: the row's own where it has one."""
+    entries = [F.lit(x) for pair in _numbers(config, name).items() for x in pair]
+    general = F.create_map(*entries).cast("map<string,double>")
+    return F.coalesce(F.col(name), general) if name in df.columns else general
+
+
+def _looked_up(table: Column, key: Column | str, unknown: float) -> Column:
+    key = F.lit(key) if isinstance(key, str) else key
+    return F.coalesce(F.try_element_at(table, key), F.lit(unknown))
 
 
 def _weighed(
@@ -19,20 +33,21 @@ def _weighed(
     text_confidence: Column,
     image_label: Column,
     image_confidence: Column,
-    config: DecisionConfig,
+    weights: Column,
+    severity: Column,
 ) -> tuple[Column, Column]:
     """(score, smallest confidence) over the signals that are present.
 
     Weights are renormalised over the signals present.
     """
-    w_text = float(config["agent_weights"]["text"])
-    w_image = float(config["agent_weights"]["image"])
+    w_text, w_image = (_looked_up(weights, k, 0.0) for k in ("text", "image"))
     has_text, has_image = text_label.isNotNull(), image_label.isNotNull()
-    both = w_text + w_image
-    text_score = severity_of(text_label, config, 0.5) * text_confidence
-    image_score = severity_of(image_label, config, 0.0) * image_confidence
+    both = F.nullif(w_text + w_image, F.lit(0.0))
+    text_share, image_share = (F.coalesce(w / both, F.lit(0.0)) for w in (w_text, w_image))
+    text_score = _looked_up(severity, text_label, 0.5) * text_confidence
+    image_score = _looked_up(severity, image_label, 0.0) * image_confidence
     score = (
-        F.when(has_text & has_image, text_score * (w_text / both) + image_score * (w_image / both))
+        F.when(has_text & has_image, text_score * text_share + image_score * image_share)
         .when(has_text, text_score)
         .when(has_image, image_score)
         .otherwise(0.0)
@@ -45,20 +60,26 @@ def _weighed(
     return score, least
 
 
-def score_label(score: Column, config: DecisionConfig) -> Column:
-    """Label of a severity score.
+def score_label(score: Column, config: DecisionConfig, thresholds: Column | None = None) -> Column:
+    """Label of a severity score, under the parameters or a map column of thresholds.
 
     With a "politics" threshold set, the top band is always "politics": the same threshold
     opens the band and tells the two labels apart.
     """
-    t = config["score_thresholds"]
-    top = F.when(score >= t.get("politics", 0.95), "politics").otherwise("violence")
+    t = _numbers(config, "score_thresholds")
+
+    def at_least(label: str, unset: float) -> Column:
+        if thresholds is None:
+            return score >= t.get(label, unset)
+        return score >= _looked_up(thresholds, label, unset)
+
+    top = F.when(at_least("politics", 0.95), "politics").otherwise("violence")
     return (
-        F.when(score >= t.get("politics", 0.85), top)
-        .when(score >= t.get("porn", 0.65), "porn")
-        .when(score >= t.get("gambling", 0.45), "gambling")
-        .when(score >= t.get("toxic", 0.25), "toxic")
-        .when(score >= t.get("spam", 0.10), "spam")
+        F.when(at_least("politics", 0.85), top)
+        .when(at_least("porn", 0.65), "porn")
+        .when(at_least("gambling", 0.45), "gambling")
+        .when(at_least("toxic", 0.25), "toxic")
+        .when(at_least("spam", 0.10), "spam")
         .otherwise("safe")
     )
 
@@ -70,7 +91,8 @@ def aggregate_signals(
 
     Reads text_label, text_confidence, image_label, image_confidence (null = no signal).
     With `placeholder_image` an absent image counts as a normal one at confidence 1, as on
-    the full path; without, only signals that are present weigh in.
+    the full path; without, only signals that are present weigh in. Map columns named as in
+    MAPS override the parameters row by row.
     """
     cfg = config or DecisionConfig()
     image_label, image_confidence = F.col("image_label"), F.col("image_confidence")
@@ -79,11 +101,13 @@ def aggregate_signals(
         image_confidence = F.when(absent, 1.0).otherwise(image_confidence)
         image_label = F.when(absent, "normal").otherwise(image_label)
     score, least = _weighed(
-        F.col("text_label"), F.col("text_confidence"), image_label, image_confidence, cfg
+        F.col("text_label"), F.col("text_confidence"), image_label, image_confidence,
+        _setting(df, "agent_weights", cfg), _setting(df, "label_severity", cfg),
     )
+    thresholds = _setting(df, "score_thresholds", cfg) if "score_thresholds" in df.columns else None
     return (
         df.withColumn("score", score)
-        .withColumn("agg_label", score_label(F.col("score"), cfg))
+        .withColumn("agg_label", score_label(F.col("score"), cfg, thresholds))
         .withColumn("agg_confidence", least)
     )
 
@@ -98,7 +122,7 @@ def with_decision(
     Reads the signal columns of `aggregate_signals` plus, where the frame has them:
     cached_decision, cached_confidence, cached_reason (an earlier decision to reuse),
     keyword_label, keyword_confidence, text_reason. Columns grey_low / grey_high /
-    zero_tolerance override the parameters row by row.
+    zero_tolerance and those of MAPS override the parameters row by row.
     """
     cfg = config or DecisionConfig()
     out = aggregate_signals(df, cfg, placeholder_image)
@@ -232,8 +256,10 @@ def config_table(spark, configs: dict[str, DecisionConfig]) -> DataFrame:
             float(c["grey_zone"]["low"]),
             float(c["grey_zone"]["high"]),
             list(c["zero_tolerance"]),
+            *[_numbers(c, name) for name in MAPS],
         )
         for tenant, c in configs.items()
     ]
     schema = "tenant string, grey_low double, grey_high double, zero_tolerance array<string>"
+    schema += "".join(f", {name} map<string,double>" for name in MAPS)
     return spark.createDataFrame(rows, schema)
