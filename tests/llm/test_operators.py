@@ -167,6 +167,25 @@ def test_patterns_discover_what_forms_miss(spark, tmp_path):
     assert all(got[i]["spans"] == plain_spans(texts[i]) for i in (*range(8), 12))
 
 
+def spans_of(spark, tmp_path, texts):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    got = identifiers.personal_data(spark.read.parquet(str(tmp_path / "t"))).collect()
+    return [r["spans"] for r in sorted(got, key=lambda r: r["doc_id"])]
+
+
+def test_patterns_discover_identifiers_written_with_spaces(spark, tmp_path):
+    seeds = [f"please call me +1 555 010 {i:04}" for i in range(8)] + [f"my card no {c}" for c in ("4111111111111111", "5500000000000004", "340000000000009", "30000000000004")]
+    missed = [
+        ("so call me (555) 010-7733, ok", "phone:11:25"), ("so call me 555 010 7733", "phone:11:23"),
+        ("call me 555 - 010 - 7733. 24 hours", "phone:8:24"), ("call me 555 010 7733 +1 555 010 0000", "phone:8:20,phone:21:36"),
+        ("call me 555-010-77-33 24 hours", "phone:8:21"), ("card no 4111 1111  1111 1112.", "card:8:28"),
+        ("call me 555 010\n7733", ""), ("call me 1 2 3", ""), ("call me " + "12 " * 5000, ""),
+    ]
+    got = spans_of(spark, tmp_path, seeds + [t for t, _ in missed])
+    assert got[: len(seeds)] == [plain_spans(t) for t in seeds]
+    assert got[len(seeds) :] == [s for _, s in missed]
+
+
 # --- 4 ----------------------------------------------------------------------------------
 
 

@@ -7,6 +7,12 @@ instances it introduces, an instance that no form vouches for as good as its pat
 that stay above CONFIDENCE with SEEDS different seeds discover further identifiers: words of the
 kind's make-up in the same place that the forms do not cover. Forms always stay.
 
+A word that has not the make-up itself is taken together with the digit words that follow it:
+words of digits, brackets, dots, hyphens and slashes, between which are only spaces, brackets,
+dots and hyphens. The run goes on as far as it can and has the make-up as a whole or not at all.
+A plus sign, a line break, other punctuation after a word and a span of a form end it. Runs may
+start at any of their words, so discovered spans of different patterns may overlap.
+
 Matches are leftmost and do not overlap within a kind; a match that fails its check (parts,
 digits, Luhn) is dropped and nothing is tried again inside it. Positions are code points, ends
 exclusive. Repetitions are possessive and may only start where a run starts, so that a very long
@@ -36,6 +42,12 @@ FORMS = {
 }
 # A word with a digit or an at sign: what a pattern may discover.
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+# Between two words of a run, the end of a word that others may follow, and a word that may follow.
+GLUE = r"^[\x20().-]++$"
+LEADS = r"^[^\p{L}0-9@]*+[0-9][0-9().+/-]*(?<=[0-9)-])$"
+FOLLOWS = r"^[(.-]*+[0-9][0-9().+/-]*+[^\p{L}0-9@]*+$"
+# Digits that an identifier may have at most; a word of a run has one at least.
+LONGEST = 19
 PART = r"0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 CONTEXT = r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$"
 TAIL = 64
@@ -67,25 +79,29 @@ def passes(kind: Column, value: Column) -> Column:
 
 
 def could_be(kind: str, value: Column) -> Column:
-    """Whether a word has the make-up of the kind, without its form."""
+    """Whether a word, or a run of words, has the make-up of the kind, without its form."""
     n = F.length(_digits(value))
     return {
         "email": F.rlike(value, F.lit(r"^[^@]+@[^@]+$")),
         "ip": F.rlike(value, F.lit(r"^[0-9]+(?:[.:_-][0-9]+){3}$")),
-        "card": F.rlike(value, F.lit(r"^[0-9-]+$")) & n.between(13, 19),
-        "phone": F.rlike(value, F.lit(r"^[0-9().+/-]+$")) & n.between(9, 15),
+        "card": F.rlike(value, F.lit(r"^[0-9\x20.-]+$")) & n.between(13, LONGEST),
+        "phone": F.rlike(value, F.lit(r"^[0-9\x20().+/-]+$")) & n.between(9, 15),
     }[kind]
 
 
 def _matches(kind: str, pattern: str, text: Column) -> Column:
-    """Array of (kind, number, gap, tail, value): a match, the length and end of what is before it."""
+    """Array of (kind, number, gap, tail, glue, value): a match, the length and end of what is before it.
+
+    `glue` is all that is before it since the last match, where a run may go on over that.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(found.alias("value"), F.split(text, pattern).alias("gap"))
     rows = F.transform(
         pairs,
         lambda x, i: F.struct(
             F.lit(kind).alias("kind"), i.alias("number"), F.length(x["gap"]).alias("gap"),
-            F.right(x["gap"], F.lit(TAIL)).alias("tail"), x["value"].alias("value"),
+            F.right(x["gap"], F.lit(TAIL)).alias("tail"),
+            F.when(F.rlike(x["gap"], F.lit(GLUE)), x["gap"]).alias("glue"), x["value"].alias("value"),
         ),
     )
     # The part after the last match has no value.
@@ -93,12 +109,12 @@ def _matches(kind: str, pattern: str, text: Column) -> Column:
 
 
 def found_spans(docs: DataFrame) -> DataFrame:
-    """row, kind, start, stop, value, pattern (the two words before) of all matches and candidates."""
+    """row, kind, start, stop, value, pattern (the two words before), number, glue of matches and candidates."""
     text = F.col("text")
     some = docs.select(place_of(docs).alias("row"), text_of().alias("text")).where(
         F.rlike(text, F.lit("[0-9@]"))
     )
-    nothing = F.array().cast("array<struct<kind:string,number:int,gap:int,tail:string,value:string>>")
+    nothing = F.array().cast("array<struct<kind:string,number:int,gap:int,tail:string,glue:string,value:string>>")
     has = {"email": "@", "phone": "+", "ip": "."}
     kinds = [
         F.when(F.contains(text, F.lit(has.get(k, ""))), _matches(k, p, text)).otherwise(nothing)
@@ -110,12 +126,30 @@ def found_spans(docs: DataFrame) -> DataFrame:
     stop = F.sum(F.col("gap") + length).over(till).cast("long")
     words = [F.lower(F.regexp_extract("tail", CONTEXT, i)) for i in (1, 2)]
     pattern = F.when(words[1] != "", F.concat_ws(" ", *words))
-    placed = rows.select("row", "kind", (stop - length).alias("start"), stop.alias("stop"), "value", pattern.alias("pattern"))
+    placed = rows.select(
+        "row", "kind", (stop - length).alias("start"), stop.alias("stop"), "value", pattern.alias("pattern"), "number", "glue"
+    )
     return placed.where((F.col("kind") == "") | passes(F.col("kind"), F.col("value")))
 
 
+def _core(value: Column) -> Column:
+    """A candidate without the punctuation around it."""
+    return F.regexp_replace(F.regexp_replace(value, r"^[^\p{L}0-9+(]+", ""), r"[^\p{L}0-9]+$", "")
+
+
+def _any_kind(value: Column) -> Column:
+    fits = F.lit(False)
+    for kind in KINDS:
+        fits = fits | could_be(kind, value)
+    return fits
+
+
 def uncovered(spans: DataFrame) -> DataFrame:
-    """Candidates that no base span touches, with the punctuation around them cut off."""
+    """row, start, value, run, pattern of candidates that no base span touches.
+
+    The punctuation around them is cut off. `run` is the word with those that follow it, where
+    these have the make-up of a kind together.
+    """
     near = Window.partitionBy("row").orderBy("start", "stop")
     base = F.col("kind") != ""
     before = F.max(F.when(base, F.col("stop"))).over(near.rowsBetween(Window.unboundedPreceding, -1))
@@ -124,10 +158,25 @@ def uncovered(spans: DataFrame) -> DataFrame:
         ~base & (F.coalesce("before", F.lit(0)) <= F.col("start"))
         & (F.col("after").isNull() | (F.col("after") >= F.col("stop")))
     )
+    follows = (
+        F.col("glue").isNotNull() & F.rlike("value", F.lit(FOLLOWS))
+        & (F.lag("number").over(near) == F.col("number") - 1) & F.lag(F.rlike("value", F.lit(LEADS))).over(near)
+    )
+    first = F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1)
+    parted = free.withColumn("first", first).withColumn("part", F.sum("first").over(near))
+    ahead = Window.partitionBy("row", "part").orderBy("number")
+    words = F.collect_list(F.struct(F.when(F.col("first") == 0, F.col("glue")).alias("glue"), "value"))
+    led = parted.select(
+        "row", "start", "value", "pattern", words.over(ahead.rowsBetween(0, LONGEST - 1)).alias("words"),
+        F.sum(F.length(_digits(F.col("value")))).over(ahead.rowsBetween(0, LONGEST)).alias("digits"),
+    )
+    rest = F.transform(F.slice("words", 2, LONGEST), lambda w: F.concat(w["glue"], w["value"]))
+    run = F.when(
+        (F.size("words") > 1) & (F.col("digits") <= LONGEST), _core(F.concat("value", F.array_join(rest, "")))
+    )
     head = F.length(F.regexp_extract("value", r"^[^\p{L}0-9+(]*", 0))
-    core = F.regexp_replace(F.regexp_replace("value", r"^[^\p{L}0-9+(]+", ""), r"[^\p{L}0-9]+$", "")
-    start = F.col("start") + head
-    return free.select("row", start.alias("start"), (start + F.length(core)).alias("stop"), core.alias("value"), "pattern")
+    cut = led.select("row", (F.col("start") + head).alias("start"), _core(F.col("value")).alias("value"), run.alias("run"), "pattern")
+    return cut.withColumn("run", F.when(_any_kind(F.col("run")), F.col("run")))
 
 
 def confident_patterns(seeds: DataFrame, others: DataFrame) -> DataFrame:
@@ -168,14 +217,19 @@ def spans(docs: DataFrame) -> DataFrame:
     found = materialise(found_spans(docs), "forms")
     base = found.where("kind != ''")
     free = materialise(uncovered(found), "candidates")
-    good = confident_patterns(base.select("kind", "pattern", "value"), free.select("pattern", "value"))
-    new = free.join(good, "pattern")
-    fits = F.lit(False)
+    word, run = F.col("value"), F.col("run")
+    # A word that is only the beginning of a run is no instance.
+    instance = F.when(_any_kind(word), word).otherwise(F.coalesce(run, word))
+    good = confident_patterns(base.select("kind", "pattern", "value"), free.select("pattern", instance.alias("value")))
+    fitting = F.lit(None).cast("string")
     for kind in KINDS:
-        fits = fits | ((F.col("kind") == kind) & could_be(kind, F.col("value")))
+        of_kind = F.when(could_be(kind, word), word).when(could_be(kind, run), run)
+        fitting = F.when(F.col("kind") == kind, of_kind).otherwise(fitting)
+    new = free.join(good, "pattern").withColumn("value", fitting).where("value is not null")
+    new = new.withColumn("stop", F.col("start") + F.length("value"))
     columns = ["row", "kind", "start", "stop", "value"]
     return base.select(*columns, F.lit(False).alias("discovered")).unionByName(
-        new.where(fits).select(*columns, F.lit(True).alias("discovered"))
+        new.select(*columns, F.lit(True).alias("discovered"))
     )
 
 
