@@ -186,6 +186,20 @@ def test_patterns_discover_identifiers_written_with_spaces(spark, tmp_path):
     assert got[len(seeds) :] == [s for _, s in missed]
 
 
+def test_patterns_are_the_two_words_before_whatever_they_hold(spark, tmp_path):
+    far, cards = "x" * 90, ("4111111111111111", "5500000000000004", "340000000000009", "30000000000004")
+    seeds = [f"24/7 hotline +1 555 010 {i:04}" for i in range(8)] + [f"mail me <u{i}@example.com>" for i in range(8)]
+    seeds += [f"dial {far} +1 555 020 {i:04}" for i in range(8)] + [f"in 2024 card {c}" for c in cards] + [f"a1b22c a@b +1 555 030 {i:04}" for i in range(8)]
+    missed = [
+        ("24/7 hotline 555-010-77-33", "phone:13:26"), ("mail me <root@local>", "email:9:19"), ("mail me root@local", "email:8:18"),
+        (f"dial {far} 555-010-77-33", "phone:96:109"), ("in 2024 card 4111.1111.1111.1112", "card:13:32"),
+        ("a1b22c a@b 555-010-77-33", "phone:11:24"), ("b22c a@b 555-010-77-33", ""), (f"dial x{far} 555-010-77-33", ""), ("hotline 555-010-77-33", ""),
+    ]
+    got = spans_of(spark, tmp_path, seeds + [t for t, _ in missed])
+    assert got[: len(seeds)] == [plain_spans(t) for t in seeds]
+    assert got[len(seeds) :] == [s for _, s in missed]
+
+
 # --- 4 ----------------------------------------------------------------------------------
 
 

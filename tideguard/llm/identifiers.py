@@ -1,7 +1,8 @@
 """Personal data by bootstrapped contextual extraction.
 
 Patterns of form find the seeds: e-mail addresses, IP addresses, card numbers (Luhn) and phone
-numbers. The two words before an identifier are a lexical pattern of its kind. Patterns and the
+numbers. The two words before the word that an identifier begins in are a lexical pattern of its
+kind, whatever these words hold and whatever punctuation the identifier stands in. Patterns and the
 instances they occur with are a graph that is scored in rounds: a pattern is as good as the
 instances it introduces, an instance that no form vouches for as good as its patterns. Patterns
 that stay above CONFIDENCE with SEEDS different seeds discover further identifiers: words of the
@@ -49,8 +50,8 @@ FOLLOWS = r"^[(.-]*+[0-9][0-9().+/-]*+[^\p{L}0-9@]*+$"
 # Digits that an identifier may have at most; a word of a run has one at least.
 LONGEST = 19
 PART = r"0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
-CONTEXT = r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$"
-TAIL = 64
+# The last two words of a reversed text.
+CONTEXT = r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++([^\x20\x09-\x0D]++)"
 ROUNDS, CONFIDENCE, SEEDS = 3, 0.8, 3
 # Doubt that every pattern starts with, in instances.
 DOUBT = 0.25
@@ -90,20 +91,33 @@ def could_be(kind: str, value: Column) -> Column:
 
 
 def _matches(kind: str, pattern: str, text: Column) -> Column:
-    """Array of (kind, number, gap, tail, glue, value): a match, the length and end of what is before it.
+    """Array of (kind, number, gap, context, glue, value): a match and the length of what is before it.
 
-    `glue` is all that is before it since the last match, where a run may go on over that.
+    Candidates have a `context`, the two words before them in reverse: candidates are whole words,
+    so that the last two of them, and what is between, hold two words. `glue` is all that is
+    before a candidate since the last one, where a run may go on over that.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(found.alias("value"), F.split(text, pattern).alias("gap"))
-    rows = F.transform(
-        pairs,
-        lambda x, i: F.struct(
+    none = F.lit(None).cast("string")
+
+    def row(all_: Column, x: Column, i: Column) -> Column:
+        context, glue = none, none
+        if kind == "":
+            last = F.slice(all_, F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2)))
+            # The gap before the first of them is not needed where there are two.
+            words = F.transform(last, lambda y, j: F.concat(F.when((j == 0) & (i > 1), "").otherwise(y["gap"]), y["value"]))
+            before = F.reverse(F.concat(F.array_join(words, ""), x["gap"]))
+            two = [F.reverse(F.regexp_extract(before, CONTEXT, n)) for n in (2, 1)]
+            context = F.when(two[0] != "", F.lower(F.concat_ws(" ", *two)))
+            glue = F.when(F.rlike(x["gap"], F.lit(GLUE)), x["gap"])
+        return F.struct(
             F.lit(kind).alias("kind"), i.alias("number"), F.length(x["gap"]).alias("gap"),
-            F.right(x["gap"], F.lit(TAIL)).alias("tail"),
-            F.when(F.rlike(x["gap"], F.lit(GLUE)), x["gap"]).alias("glue"), x["value"].alias("value"),
-        ),
-    )
+            context.alias("context"), glue.alias("glue"), x["value"].alias("value"),
+        )
+
+    # As a variable, the array is made once and not for every element that looks back in it.
+    rows = F.transform(F.array(pairs), lambda all_: F.transform(all_, lambda x, i: row(all_, x, i)))[0]
     # The part after the last match has no value.
     return F.filter(rows, lambda x: x["value"].isNotNull())
 
@@ -114,22 +128,24 @@ def found_spans(docs: DataFrame) -> DataFrame:
     some = docs.select(place_of(docs).alias("row"), text_of().alias("text")).where(
         F.rlike(text, F.lit("[0-9@]"))
     )
-    nothing = F.array().cast("array<struct<kind:string,number:int,gap:int,tail:string,glue:string,value:string>>")
+    nothing = F.array().cast("array<struct<kind:string,number:int,gap:int,context:string,glue:string,value:string>>")
     has = {"email": "@", "phone": "+", "ip": "."}
     kinds = [
         F.when(F.contains(text, F.lit(has.get(k, ""))), _matches(k, p, text)).otherwise(nothing)
         for k, p in [*FORMS.items(), ("", CANDIDATE)]
     ]
-    rows = some.select("row", F.explode(F.concat(*kinds)).alias("m")).select("row", "m.*")
+    rows = some.select("row", F.explode(F.concat(*kinds)).alias("m")).select("row", "m.*").repartition("row")
     till = Window.partitionBy("row", "kind").orderBy("number")
     length = F.length("value")
     stop = F.sum(F.col("gap") + length).over(till).cast("long")
-    words = [F.lower(F.regexp_extract("tail", CONTEXT, i)) for i in (1, 2)]
-    pattern = F.when(words[1] != "", F.concat_ws(" ", *words))
     placed = rows.select(
-        "row", "kind", (stop - length).alias("start"), stop.alias("stop"), "value", pattern.alias("pattern"), "number", "glue"
-    )
-    return placed.where((F.col("kind") == "") | passes(F.col("kind"), F.col("value")))
+        "row", "kind", (stop - length).alias("start"), stop.alias("stop"), "value", "context", "number", "glue"
+    ).where((F.col("kind") == "") | passes(F.col("kind"), F.col("value")))
+    # A match begins in a word with a digit or an at sign: that candidate's context is its own.
+    candidate = F.col("kind") == ""
+    so_far = Window.partitionBy("row").orderBy("start", ~candidate).rowsBetween(Window.unboundedPreceding, 0)
+    word = F.last(F.when(candidate, F.struct("context")), ignorenulls=True).over(so_far)
+    return placed.select("row", "kind", "start", "stop", "value", word["context"].alias("pattern"), "number", "glue")
 
 
 def _core(value: Column) -> Column:
