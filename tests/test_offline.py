@@ -1,11 +1,14 @@
 """Feedback, monitoring, evaluation, classifier and streaming on small frames."""
 
+from types import SimpleNamespace
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tideguard.config import KeywordDictionary
 from tideguard.operators import classifier, evaluation, feedback, funnel, monitoring
+from tideguard.plans import catalog
 from tideguard.session import scratch_path
 from tideguard.streaming import jobs
 
@@ -76,6 +79,22 @@ def test_discovery_ranks_by_frequency_then_first_seen(spark):
     ]
 
 
+def test_discovery_reads_human_events_after_those_of_the_ai(spark):
+    ai = [(5, 50, "t5", "block", "'alpha' and 'beta'"), (6, 60, "t6", "pass", "'delta'")]
+    human = [
+        (9, "t9", "reviewed", "block", "'beta' or 'gamma'"), (7, "t7", "reviewed", "block", "'gamma', 'omega'"),
+        (2, "t2", "reviewed", "pass", "'alpha'"), (1, "t1", "pending", "block", "'alpha'"),
+    ]
+    views = SimpleNamespace(
+        mod_events=spark.createDataFrame(ai, "event_id long, content_id long, text string, decision string, reason string")
+        .withColumn("source_label", F.lit("ai")),
+        reviews=spark.createDataFrame(human, "content_id long, text string, status string, human_decision string, human_reason string")
+        .withColumns({"ai_decision": F.lit("review"), "ai_confidence": F.lit(0.5)}),
+    )
+    got = [(r["term"], r["frequency"], r["example_text"]) for r in catalog.kw_discovery(views).collect()]
+    assert got == [("beta", 2, "t5"), ("gamma", 2, "t7"), ("alpha", 1, "t5"), ("omega", 1, "t7")]
+
+
 def test_hard_cases_are_null_safe(spark):
     rows = [
         (1, 0.5, "block", None, None),

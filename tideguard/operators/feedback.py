@@ -83,18 +83,21 @@ def discover_keywords(
 ) -> DataFrame:
     """Terms quoted in the reasons of blocks and not in the dictionary, most frequent first.
 
-    Equal frequencies rank by first occurrence, whose text and reason serve as example.
+    Equal frequencies rank by first occurrence, whose text and reason serve as example. Events
+    without `order`, as those of humans, come after the others, by content.
     """
     known = F.array(*[F.lit(w) for w in dictionary.word_category]).cast("array<string>")
+    content = F.col("content_id") if "content_id" in events.columns else F.lit(None).cast("string")
     terms = events.where((F.col("decision") == "block") & F.col("reason").isNotNull()).select(
-        F.col(order).alias("_ord"),
+        F.struct(F.col(order).isNull(), F.col(order), content).alias("_ord"),
         F.substring(F.coalesce("text", F.lit("")), 1, 100).alias("example_text"),
         F.col("reason").alias("example_reason"),
         F.posexplode_outer(F.regexp_extract_all("reason", F.lit(QUOTED_TERM), 1)).alias(
             "_pos", "term"
         ),
     )
-    seen = F.struct("_ord", "_pos")
+    # The last two only matter to events of one content.
+    seen = F.struct("_ord", "example_reason", "example_text", "_pos")
     ranked = (
         terms.where((F.length("term") >= 2) & ~F.array_contains(known, F.col("term")))
         .groupBy("term")

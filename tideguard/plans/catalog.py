@@ -969,7 +969,7 @@ def labelled_summary(v: Views) -> DataFrame:
 
 @query
 def kw_discovery(v: Views) -> DataFrame:
-    return feedback.discover_keywords(v.mod_events, DICTIONARY)
+    return feedback.discover_keywords(_events(v), DICTIONARY)
 
 
 @query
