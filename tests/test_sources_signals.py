@@ -1,3 +1,5 @@
+import csv
+import io
 import json
 import os
 import struct
@@ -32,6 +34,34 @@ def test_csv_upload(spark, tmp_path):
     assert got == [("1", "a"), ("b5", "d"), ("k", 'b, "c"')]
 
 
+def plain_csv(content):
+    rows = []
+    for i, row in enumerate(csv.reader(io.StringIO(content))):
+        header = i == 0 and row and row[0].lower() in readers.CSV_HEADERS
+        if not header and row and row[0].strip():
+            rows.append((row[1].strip() if len(row) > 1 else f"b{i}", row[0].strip()))
+    return sorted(rows)
+
+
+@pytest.mark.parametrize("block", [16, 100, 1 << 20])
+def test_csv_texts_with_line_breaks(spark, tmp_path, block):
+    some = [
+        'text,id\n', '"hello\nworld",1\n', '"a ""b"",\n\n\n""\n c",2\n', '\n', 'plain "x" y,3\n', '"one\r\ntwo"\r\n', '"\n"",\n",4\n',
+        'p,"q\nr"\n', '5" disk\n', '"",6\n', '"x,y\n1,""\n2""",7\n', 'é "ü\n', '""""\n', '"l\n"\n',
+    ]
+    content = "".join(some) * 20 + '"last\nline",9'
+    path = tmp_path / "a.csv"
+    path.write_bytes(content.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = sorted(tuple(r) for r in readers.read_batch_csv(spark, str(path)).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == plain_csv(content)
+
+
 def test_positions_run_over_partitions(spark, tmp_path):
     path = write(tmp_path / "n.txt", "".join(f"{i}\n" for i in range(5000)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")

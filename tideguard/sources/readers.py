@@ -1,4 +1,5 @@
-"""Readers. Files are split by line, so one large upload is read by many tasks."""
+"""Readers. Files are split by line, so one large upload is read by many tasks; CSV records of
+several lines are put together afterwards."""
 
 from __future__ import annotations
 
@@ -16,6 +17,13 @@ CSV_HEADERS = ["text", "content", "内容"]
 TRAINING_LABELS = {"safe": 0, "pass": 0, "normal": 0, "unsafe": 1, "block": 1}
 # --- end of fixed values ------------------------------------------------------------
 
+# Text in quotes up to its closing quote or the end of the line; cells with their commas.
+_QUOTED = r'[^"]*+(?:""[^"]*+)*+'
+_CELLS = rf'(?:(?:[^",][^,]*+|"{_QUOTED}"[^,]*+)?+,)*+'
+# Lines after which a quote is open: when none was open before, and when one was.
+_OPENS = rf'^{_CELLS}"{_QUOTED}\z'
+_STAYS = rf'^{_QUOTED}(?:\z|"[^,]*+,{_CELLS}"{_QUOTED}\z)'
+
 EVENT_SCHEMA = (
     "event_id string, timestamp double, timestamp_iso string, content_id string, text string, "
     "user_id string, source string, decision string, confidence double, reason string, "
@@ -64,15 +72,98 @@ def read_batch_jsonl(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _with_open_quotes(rows: DataFrame, group: list[str], order: str) -> DataFrame:
+    """Adds before0, after0, before1 and after1: whether (1 or 0) a quote is open before and after
+    a row, if none or one is open before the group.
+
+    `opens` and `stays` say the same after the row alone. Where they are equal, nothing before
+    matters; else the row keeps the state or turns it round.
+    """
+    here = Window.partitionBy(*group).orderBy(order)
+    through = here.rowsBetween(Window.unboundedPreceding, 0)
+    turned = F.sum(F.when(F.expr("opens and not stays"), 1).otherwise(0)).over(through)
+    fixed = F.when(F.expr("opens = stays"), (F.col("opens").cast("int") + F.col("_turned")) % 2)
+    rows = rows.withColumn("_turned", turned)
+    rows = rows.withColumn("_fixed", F.last(fixed, ignorenulls=True).over(through))
+    for state in (0, 1):
+        after = (F.coalesce("_fixed", F.lit(state)) + F.col("_turned")) % 2
+        rows = rows.withColumn(f"after{state}", after.cast("int"))
+        rows = rows.withColumn(f"before{state}", F.lag(f"after{state}", 1, state).over(here))
+    return rows.drop("_turned", "_fixed")
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """(position, value): the records of CSV files, with the line breaks inside quotes.
+
+    Quotes are read as by Python's csv: a cell that begins with one goes on to its closing
+    quote, over line ends too; other quotes are text. Blank lines count as records. Files are
+    in the order of their names and begin outside quotes.
+
+    Each part of a file is looked at as if it began outside quotes and as if it began inside;
+    one row per part then tells which holds.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path)
+    meta, value = lines.metadataColumn("_metadata"), F.col("value")
+    has_quote = F.contains(value, F.lit('"'))
+    tagged = lines.select(
+        meta["file_path"].alias("file"), meta["file_block_start"].alias("part"),
+        F.monotonically_increasing_id().alias("line"), "value",
+        (has_quote & F.rlike(value, F.lit(_OPENS))).alias("opens"),
+        (~has_quote | F.rlike(value, F.lit(_STAYS))).alias("stays"),
+    )
+    part = ["file", "part"]
+    tagged = _with_open_quotes(tagged, part, "line").drop("opens", "stays")
+    through = Window.partitionBy(*part).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    for state in (0, 1):
+        begins = F.sum(1 - F.col(f"before{state}")).over(through)
+        tagged = tagged.withColumn(f"begun{state}", begins)
+    parts = tagged.groupBy(*part).agg(
+        F.max_by(F.col("after0") == 1, "line").alias("opens"),
+        F.max_by(F.col("after1") == 1, "line").alias("stays"),
+        F.max("begun0").alias("n0"),
+        F.max("begun1").alias("n1"),
+    )
+    # A file begins outside quotes.
+    parts = _with_open_quotes(parts, ["file"], "part")
+    n = F.when(F.col("before0") == 0, F.col("n0")).otherwise(F.col("n1"))
+    earlier = Window.orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(
+        *part, F.col("before0").alias("state"), F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias("records")
+    )
+
+    def held(name: str) -> Column:
+        return F.when(F.col("state") == 0, F.col(f"{name}0")).otherwise(F.col(f"{name}1"))
+
+    placed = tagged.join(F.broadcast(parts), part).select(
+        *part, "line", "value", (F.col("records") + held("begun") - 1).alias("position"),
+        (held("before") == 0).alias("first"), (held("after") == 0).alias("last"),
+    )
+
+    def joined(rows: Column) -> Column:
+        return F.array_join(F.transform(rows, lambda x: x["value"]), "\n")
+
+    # The lines of a part are in one place already: only records over several parts move again.
+    pieces = placed.groupBy(*part, "position").agg(
+        F.array_sort(F.collect_list(F.struct("line", "value"))).alias("_lines"),
+        (F.max("first") & F.max("last")).alias("whole"),
+    ).select("part", "position", joined(F.col("_lines")).alias("value"), "whole")
+    gathered = pieces.where("not whole").groupBy("position").agg(
+        F.array_sort(F.collect_list(F.struct("part", "value"))).alias("_pieces")
+    ).select("position", joined(F.col("_pieces")).alias("value"))
+    records = pieces.where("whole").select("position", "value").unionByName(gathered)
+    return records.withColumn("value", F.regexp_replace("value", r"\r\z", ""))
+
+
 def read_batch_csv(spark: SparkSession, path: str) -> DataFrame:
     """(id, text) of a CSV upload: text first, optional id second.
 
-    A header line is recognised by its first cell; rows with blank text are skipped; a
-    missing id becomes b followed by the line number. One record per line.
+    A header is recognised by its first cell; rows with blank text are skipped; a missing id
+    becomes b followed by the number of the record. Texts in quotes may have line breaks.
     """
-    lines = with_position(spark.read.text(path))
-    row = F.from_csv("value", "text string, id string", {"mode": "PERMISSIVE", "escape": "\""})
-    cells = lines.where(filled(F.col("value"))).select("position", row.alias("_r")).select(
+    # A line separator of its own keeps the parser from changing line breaks in quotes.
+    options = {"mode": "PERMISSIVE", "escape": "\"", "lineSep": "\n"}
+    row = F.from_csv("value", "text string, id string", options)
+    cells = csv_records(spark, path).where(filled(F.col("value"))).select("position", row.alias("_r")).select(
         "position", "_r.text", "_r.id"
     )
     header = (F.col("position") == 0) & F.lower("text").isin(*CSV_HEADERS)
