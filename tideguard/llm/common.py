@@ -66,6 +66,33 @@ def running_totals(rows: DataFrame, group: list[str], block: str, order: list, t
     )
 
 
+def numbered(rows: DataFrame, groups: list[str], order: list[str], name: str = "numbered") -> DataFrame:
+    """`rows` with `idx`, the number from 0 within the group by `order`, and `n`, the group's rows.
+
+    `rows` must be a stored table: rows equal in `order` are told apart by their places, so that
+    no range of rows is too large for its task. The sorted rows are written; what is joined to
+    them has one row per group and range. Groups must not be null.
+    """
+    keys = [*groups, *order]
+    placed = rows.withColumn("_place", place_of(rows))
+    ranges = placed.repartitionByRange(*keys, "_place").sortWithinPartitions(*keys, "_place")
+    ranges = ranges.drop("_place").withColumn("_at", F.monotonically_increasing_id())
+    ranges = materialise(ranges, name).withColumn("_range", F.shiftright("_at", 33))
+    ends = ranges.groupBy(*groups, "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    group = Window.partitionBy(*groups)
+    earlier = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select(
+        *groups, "_range", "_first",
+        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_rows").over(group).alias("n"),
+    )
+    starts = materialise(starts, f"{name}-starts")
+    idx = F.col("_at") - F.col("_first") + F.col("_before")
+    return ranges.join(starts, [*groups, "_range"]).withColumn("idx", idx).drop(
+        "_at", "_range", "_first", "_before"
+    )
+
+
 def shuffled_order(key: Column, seed: int = 0) -> Column:
     """60 bits of a hash of the key, the same in every engine that has MD5."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))

@@ -161,3 +161,116 @@ SELECT q.doc_id, CAST(q.size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS
 FROM queued q JOIN targets g ON q.source IS NOT DISTINCT FROM g.source
 LEFT JOIN taken t ON q.doc_id IS NOT DISTINCT FROM t.doc_id AND q.source IS NOT DISTINCT FROM t.source AND q.before = t.before AND q.size = t.size
 """
+
+# CRC 32 bit by bit over the digits of doc_id.
+CRC32 = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) WHEN s % 2 = 1 THEN xor(s // 2, 3988292384) ELSE s // 2 END), 4294967295)"""
+
+# Equal words of a text at the same lag, one after the other, are stretches of a diagonal.
+ORACLE["op11_online_periodic_runs"] = rf"""
+WITH texts AS (
+  SELECT doc_id, {WORDS} AS given, {CRC32} AS h FROM documents
+), places AS (
+  SELECT doc_id, given, h, len(given) AS n, (h // 10) % len(given) AS a FROM texts WHERE h % 10 = 0 AND len(given) > 0
+), periods AS (
+  SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM places
+), planted AS (
+  SELECT doc_id, list_transform(range(n), lambda i: CASE WHEN i < a THEN given[i + 1] ELSE given[a + (i - a) % p + 1] END) AS words FROM periods
+), docs AS (
+  SELECT t.doc_id, coalesce(p.words, t.given) AS words FROM texts t LEFT JOIN planted p ON t.doc_id = p.doc_id
+), words AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS i FROM docs
+), matched AS (
+  SELECT x.doc_id, y.i AS i, y.i - x.i AS lag FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i
+), islands AS (
+  SELECT doc_id, lag, i, i - row_number() OVER (PARTITION BY doc_id, lag ORDER BY i) AS island FROM matched
+), diagonals AS (
+  SELECT doc_id, lag, min(i) - lag AS start, count(*) + lag AS length FROM islands GROUP BY doc_id, lag, island
+), runs AS (
+  SELECT doc_id, start, length, min(lag) AS period FROM diagonals WHERE length >= greatest(12, 2 * lag) GROUP BY doc_id, start, length
+), dropped AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (
+  SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.i) AS text FROM words w LEFT JOIN dropped d ON w.doc_id = d.doc_id AND w.i = d.i
+  WHERE d.i IS NULL GROUP BY w.doc_id
+), listed AS (
+  SELECT doc_id, count(*) AS n, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY doc_id
+), longest AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) AS place FROM runs
+)
+SELECT d.doc_id, CAST(coalesce(l.n, 0) AS BIGINT) AS n_runs, CAST(r.start AS BIGINT) AS start, CAST(r.length AS BIGINT) AS length,
+  CAST(r.period AS BIGINT) AS period, CAST(1000 * r.length // r.period AS BIGINT) AS exponent_milli,
+  sha256(coalesce(l.lines, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM docs d LEFT JOIN listed l ON d.doc_id = l.doc_id LEFT JOIN kept k ON d.doc_id = k.doc_id
+LEFT JOIN (SELECT * FROM longest WHERE place = 1) r ON d.doc_id = r.doc_id
+"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(CAST(octet_length(encode(CAST({value} AS VARCHAR))) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+# Levels of all languages, then of their subroots, one number of the tree (`tree`) after the other.
+_UP = """
+  SELECT level + 1, lang, idx // 8, sha256(string_agg(digest, '' ORDER BY idx)), count(*) OVER (PARTITION BY lang)
+  FROM {nodes} WHERE n > 1 GROUP BY level, lang, idx // 8
+"""
+_SIBLINGS = """
+  SELECT x.level, x.lang, x.idx, coalesce(string_agg(y.digest, '' ORDER BY y.idx) FILTER (WHERE y.idx < x.idx), '') AS before,
+    coalesce(string_agg(y.digest, '' ORDER BY y.idx) FILTER (WHERE y.idx > x.idx), '') AS after
+  FROM {nodes} x JOIN {nodes} y ON x.level = y.level AND x.lang IS NOT DISTINCT FROM y.lang AND x.idx // 8 = y.idx // 8
+  WHERE x.n > 1 GROUP BY x.level, x.lang, x.idx
+"""
+ORACLE["op12_cogrouped_merkle"] = f"""
+WITH RECURSIVE rows AS (
+  SELECT doc_id, lang, {_leaf("text")} AS leaf, {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS other,
+    {CRC32} % 3 = 0 AS tampered FROM documents
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM rows
+), nodes(level, lang, idx, digest, n) AS (
+  SELECT 0, lang, idx, leaf, n FROM leaves
+  UNION ALL
+  {_UP.format(nodes="nodes")}
+), subroots AS (
+  SELECT lang, digest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1
+), top(level, lang, idx, digest, n) AS (
+  SELECT 0, '', idx, digest, n FROM subroots
+  UNION ALL
+  {_UP.format(nodes="top")}
+), inner_siblings AS ({_SIBLINGS.format(nodes="nodes")}
+), outer_siblings AS ({_SIBLINGS.format(nodes="top")}
+), steps AS (
+  SELECT l.doc_id, l.leaf, 0 AS part, s.level, s.before, s.after FROM leaves l JOIN inner_siblings s
+    ON s.lang IS NOT DISTINCT FROM l.lang AND s.idx = l.idx // CAST(power(8, s.level) AS BIGINT)
+  UNION ALL
+  SELECT l.doc_id, l.leaf, 1, s.level, s.before, s.after FROM leaves l JOIN subroots r ON r.lang IS NOT DISTINCT FROM l.lang
+    JOIN outer_siblings s ON s.idx = r.idx // CAST(power(8, s.level) AS BIGINT)
+), proofs AS (
+  SELECT doc_id, leaf, sha256(string_agg(before || after, '' ORDER BY part, level)) AS proof_sha256,
+    list([before, after] ORDER BY part, level) AS path FROM steps GROUP BY doc_id, leaf
+), folded AS (
+  SELECT p.*, l.lang, list_reduce(list_prepend([CASE WHEN tampered THEN other ELSE l.leaf END, ''], path),
+    lambda s, x: [sha256(x[1] || s[1] || x[2]), ''])[1] AS folded_root
+  FROM proofs p JOIN leaves l ON p.doc_id = l.doc_id AND p.leaf = l.leaf
+)
+SELECT f.doc_id, f.leaf, s.digest AS subroot, t.digest AS root, proof_sha256, folded_root, folded_root = t.digest AS verified
+FROM folded f JOIN subroots s ON s.lang IS NOT DISTINCT FROM f.lang JOIN top t ON t.n = 1
+"""
+
+ORACLE["op13_segment_topk"] = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""

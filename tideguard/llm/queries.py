@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideguard.llm import chat, identifiers, lines, mixing, packing, quality, repeats, sharding, simhash, vectors
+from tideguard.llm import (
+    chat,
+    identifiers,
+    lines,
+    merkle,
+    mixing,
+    packing,
+    periods,
+    quality,
+    repeats,
+    sharding,
+    simhash,
+    topk,
+    vectors,
+)
 from tideguard.llm.common import table
 
 SHARDS = 16
@@ -62,6 +76,19 @@ def op10_prefix_interval_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("removed")
 
 
+def op11_online_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periods.with_planted_runs(table(spark, sf_dir, "documents"))
+    return periods.digests(periods.collapse_runs(docs))
+
+
+def op12_cogrouped_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_manifest(table(spark, sf_dir, "documents")).drop("levels")
+
+
+def op13_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -75,5 +102,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_fair_queue_mix,
         op9_flow_reshard,
         op10_prefix_interval_repeats,
+        op11_online_periodic_runs,
+        op12_cogrouped_merkle,
+        op13_segment_topk,
     )
 }
