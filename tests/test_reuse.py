@@ -145,8 +145,11 @@ def unit(rng, n, dims):
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-@pytest.mark.parametrize("threshold,earlier", [(0.95, False), (0.9, True), (0.6, False)])
-def test_nearest_equals_full_comparison(spark, no_broadcast, threshold, earlier):
+@pytest.mark.parametrize(
+    "threshold,earlier,cell_rows,top_pivots",
+    [(0.95, False, 40, 512), (0.9, True, 20, 4), (0.6, False, 20, 4), (0.9, True, 1000, 512)],
+)
+def test_nearest_equals_full_comparison(spark, no_broadcast, threshold, earlier, cell_rows, top_pivots):
     rng = np.random.default_rng(7)
     centres = unit(rng, 20, 16)
     # A third of the vectors lie around one centre, some are equal, one is zero.
@@ -158,7 +161,7 @@ def test_nearest_equals_full_comparison(spark, no_broadcast, threshold, earlier)
     df = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(300)], "id long, embedding array<float>")
     out = semantic.nearest(
         df.withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "entry_id"),
-        threshold, earlier, n_pivots=8, block_rows=16,
+        threshold, earlier, cell_rows=cell_rows, top_pivots=top_pivots, block_rows=16,
     )
     got = {r["query_id"]: (r["entry_id"], round(r["similarity"], 9)) for r in out.collect()}
     w = v.astype("float64")
@@ -175,3 +178,67 @@ def test_nearest_equals_full_comparison(spark, no_broadcast, threshold, earlier)
         if s and max(s)[0] >= threshold:
             want[i] = (-max(s)[1], max(s)[0])
     assert got == want
+
+
+def on_a_manifold(rng, n, dims=48, inner=6):
+    """Vectors with few degrees of freedom and a little noise, as texts of a few themes have."""
+    base = np.random.default_rng(0).normal(size=(inner, dims))
+    v = rng.normal(size=(n, inner)) @ base + 0.05 * rng.normal(size=(n, dims))
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("top_pivots", [512, 8])
+def test_pairs_scored_grow_less_than_the_square(spark, top_pivots):
+    """Four times the queries and four times the store: 16 times the pairs if all were scored."""
+    rng, scored = np.random.default_rng(3), []
+    for n in (1000, 4000):
+        rows = [[float(x) for x in r] for r in on_a_manifold(rng, n)]
+        asked = [[float(x) for x in r] for r in on_a_manifold(rng, n // 2)]
+        store = spark.createDataFrame(list(enumerate(rows)), "entry_id long, embedding array<float>")
+        queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, embedding array<float>")
+        index = semantic.build_index(store, cell_rows=32, top_pivots=top_pivots)
+        home, _, further = semantic.routes(index, queries, 0.95)
+        sizes = index.entries.groupBy(*semantic.CELL).agg(F.count(F.lit(1)).alias("n"))
+        sent = home.select(*semantic.CELL).unionByName(further.select(*semantic.CELL))
+        scored.append(sent.join(sizes, semantic.CELL).agg(F.sum("n")).first()[0])
+        assert scored[-1] < 0.3 * n * n / 2
+    assert scored[1] < 7 * scored[0]
+
+
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
+@pytest.mark.parametrize("bits,threshold", [(64, 10), (56, 10), (56, 15), (12, 3), (6, 7)])
+def test_hash_candidates_equal_full_comparison(spark, no_broadcast, bits, threshold):
+    draw = random.Random(bits + threshold)
+    images = [draw.getrandbits(bits) for _ in range(120)]
+    known = [draw.getrandbits(bits) for _ in range(40)] + [images[0]]
+    for h in images[:40]:
+        for b in draw.sample(range(bits), draw.randint(0, min(bits, threshold + 2))):
+            h ^= 1 << b
+        known.append(h)
+    images, known = sorted(set(images)), sorted(set(known))
+    want = sorted(
+        (signed(i), signed(k), (i ^ k).bit_count())
+        for i in images for k in known if (i ^ k).bit_count() <= threshold
+    )
+    left = spark.createDataFrame([(signed(h),) for h in images], "image_hash long")
+    right = spark.createDataFrame([(signed(h),) for h in known], "known_hash long")
+    plans = [None]
+    if bits == 12:
+        # Flips on both sides.
+        plans = [None, [hashes.Band(0, 6, 1, 1), hashes.Band(6, 6, 0, 0)], [hashes.Band(0, 12, 1, 2)], [hashes.Band(0, 12, 0, 3)]]
+    for bands in plans:
+        got = hashes.candidates_within(left, right, threshold, bands)
+        assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_few_hashes_meet_by_chance(spark):
+    """Under one percent of all pairs of 56-bit hashes come out of the join for 10 bits."""
+    draw = random.Random(1)
+    left = spark.createDataFrame([(draw.getrandbits(56),) for _ in range(2000)], "image_hash long")
+    right = spark.createDataFrame([(draw.getrandbits(56),) for _ in range(200)], "known_hash long")
+    bands = hashes.plan_bands(56, 10, 200, 2000)
+    assert hashes.meetings(left, right, bands).count() < 0.01 * 2000 * 200
+    assert sum(b.share for b in hashes.plan_bands(64, 10, 10**6, 10**8)) < 0.002

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,74 +13,171 @@ from tideguard.config import HAMMING_THRESHOLD, HASH_SWEEP_THRESHOLDS
 from tideguard.functions.vectors import hamming
 from tideguard.operators.skew import rows_of, salted_join
 
-HASH_BITS = 64
-BANDS = 4
+# What a plan may put out: rows per hash, and its share of all pairs if any plan keeps to it.
+MOST_ROWS = 1 << 13
+CANDIDATE_SHARE = 0.0075
 
 
-def _flips(width: int, radius: int) -> list[int]:
-    """All masks with at most `radius` of `width` bits set."""
+@dataclass(frozen=True)
+class Band:
+    """`width` bits from `start`; parts of two hashes may differ in `stored + asked` of them.
+
+    The stored hash is entered with up to `stored` bits flipped, the other one with up to `asked`.
+    """
+
+    start: int
+    width: int
+    stored: int
+    asked: int
+
+    @property
+    def stored_rows(self) -> int:
+        rows = sum(comb(self.width, n) for n in range(self.stored + 1))
+        return rows + self.asked * comb(self.width, self.stored)
+
+    @property
+    def asked_rows(self) -> int:
+        return sum(comb(self.width, n) for n in range(self.asked + 1))
+
+    @property
+    def share(self) -> float:
+        """The part of all pairs of random hashes that meets in this band."""
+        far = comb(self.width, self.stored) * (self.asked_rows - 1)
+        near = sum(comb(self.width, n) for n in range(self.stored + 1))
+        return (near + far) / 2.0**self.width
+
+
+def plan_bands(width: int, threshold: int, stored: int, asked: int) -> list[Band]:
+    """The cheapest way to find all pairs of hashes within `threshold` bits of `width`.
+
+    Cut in m parts, two such hashes differ in some part i by at most r_i bits if the r_i add up to
+    threshold - m + 1. Few parts mean few pairs that meet by chance and many flipped entries, so
+    the number of parts and who is flipped follow from the numbers of hashes on both sides. Plans
+    whose chance pairs stay under CANDIDATE_SHARE come first, whatever the others would save.
+    """
+    if threshold >= width:
+        return [Band(0, 0, 0, 0)]
+    best = None
+    for parts in range(1, min(width, threshold + 1) + 1):
+        spare = threshold - parts + 1
+        radii = [spare // parts + (i < spare % parts) for i in range(parts)]
+        widths = [width // parts + (i < width % parts) for i in range(parts)]
+        for flipped in range(max(radii) + 1):
+            start, bands = 0, []
+            for w, r in zip(widths, radii, strict=True):
+                bands.append(Band(start, w, r - min(flipped, r), min(flipped, r)))
+                start += w
+            entries, probes = sum(b.stored_rows for b in bands), sum(b.asked_rows for b in bands)
+            if max(entries, probes) > MOST_ROWS:
+                continue
+            share = sum(b.share for b in bands)
+            cost = stored * entries + asked * probes + stored * asked * share
+            key = (share > CANDIDATE_SHARE, cost)
+            if best is None or key < best[0]:
+                best = (key, bands)
+    return best[1]
+
+
+def _flips(width: int, least: int, most: int) -> list[int]:
+    """All masks with `least` to `most` of `width` bits set."""
     return [
         sum(1 << b for b in bits)
-        for n in range(radius + 1)
+        for n in range(least, most + 1)
         for bits in combinations(range(width), n)
     ]
 
 
-def _band(value: Column, band: int, width: int) -> Column:
-    return F.shiftrightunsigned(value, band * width).bitwiseAND(F.lit((1 << width) - 1))
+def _part(value: Column, band: Band) -> Column:
+    whole = F.shiftrightunsigned(value, band.start)
+    return whole if band.width >= 64 else whole.bitwiseAND(F.lit((1 << band.width) - 1))
 
 
-def candidates_within(
-    images: DataFrame, known: DataFrame, threshold: int = HAMMING_THRESHOLD, bands: int = BANDS
-) -> DataFrame:
-    """All (image_hash, known_hash, distance) with distance <= threshold, each pair once.
+def _longs(masks: list[int]) -> Column:
+    # As signed numbers, which is what a mask of 64 bits has to be.
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    return F.expr("array(" + ", ".join(f"{m}L" if m > -(1 << 63) else "bigint('-9223372036854775808')" for m in signed) + ")")
+
+
+def _varying(images: DataFrame, known: DataFrame) -> tuple[int, int, int]:
+    """(bits in use, hashes on the left, hashes on the right)."""
+    bits, counts = 0, []
+    for df, name in ((images, "image_hash"), (known, "known_hash")):
+        row = df.agg(F.expr(f"bit_or({name})").alias("b"), F.count(name).alias("n")).first()
+        bits |= (row["b"] or 0) & ((1 << 64) - 1)
+        counts.append(row["n"])
+    return max(bits.bit_length(), 1), *counts
 
-    Exact: of `bands` equal parts of two hashes within `threshold` bits, at least one part
-    is within threshold // bands bits. Every known hash is therefore entered under all its
-    part values within that radius and met by equality; the rest is verified. A pair met in
-    several parts is kept in the first only. Parts shared by many hashes are salted.
+
+def meetings(images: DataFrame, known: DataFrame, bands: list[Band]) -> DataFrame:
+    """(image_hash, known_hash, band, _asked, _stored): the pairs that share a part of a band.
+
+    Both sides are entered under their parts with some bits flipped and met by equality. A part
+    that differs in no more bits than the stored side has flipped meets the plain part; one that
+    differs in more meets the entry with all its flips, at the probe with the lowest of the
+    differing bits flipped. Parts shared by many hashes are salted.
     """
-    width = HASH_BITS // bands
-    radius = threshold // bands
-    part = rows_of(
-        F.array(
-            *[
-                F.struct(F.lit(b).alias("band"), _band(F.col("image_hash"), b, width).alias("part"))
-                for b in range(bands)
-            ]
-        )
-    )
-    masks = _flips(width, radius)
-    flips = F.expr("array(" + ", ".join(f"{m}L" for m in masks) + ")")
 
-    def entries_of(band: int) -> Column:
-        value = _band(F.col("known_hash"), band, width)
+    def rows(value: Column, masks: Column, number: int, band: Band, far: int) -> Column:
+        part = _part(value, band)
         return F.transform(
-            flips,
-            lambda m: F.struct(F.lit(band).alias("band"), value.bitwiseXOR(m).alias("part")),
+            masks,
+            lambda m: F.struct(
+                F.lit(number * 64 + far).alias("band"), part.bitwiseXOR(m).alias("part"), m.alias("flipped")
+            ),
         )
 
-    entry = rows_of(F.flatten(F.array(*[entries_of(b) for b in range(bands)])))
-    probes = images.select("image_hash").select("image_hash", part.alias("_p")).select(
-        "image_hash", "_p.*"
+    def asked_rows(number: int, band: Band) -> list[Column]:
+        value = F.col("image_hash")
+        return [
+            rows(value, _longs(_flips(band.width, n, n)), number, band, n) for n in range(band.asked + 1)
+        ]
+
+    def stored_rows(number: int, band: Band) -> list[Column]:
+        value = F.col("known_hash")
+        near = rows(value, _longs(_flips(band.width, 0, band.stored)), number, band, 0)
+        full = _longs(_flips(band.width, band.stored, band.stored)) if band.asked else None
+        return [near, *[rows(value, full, number, band, n) for n in range(1, band.asked + 1)]]
+
+    def entered(df: DataFrame, column: str, lists: list[Column], flip: str) -> DataFrame:
+        out = df.select(column, rows_of(F.concat(*lists)).alias("_p"))
+        return out.select(column, "_p.band", "_p.part", F.col("_p.flipped").alias(flip))
+
+    probes = entered(
+        images.select("image_hash"), "image_hash",
+        [c for i, b in enumerate(bands) for c in asked_rows(i, b)], "_asked",
     )
-    entries = known.select("known_hash").select("known_hash", entry.alias("_p")).select(
-        "known_hash", "_p.*"
+    entries = entered(
+        known.select("known_hash"), "known_hash",
+        [c for i, b in enumerate(bands) for c in stored_rows(i, b)], "_stored",
     )
     met = salted_join(
-        probes,
-        entries,
-        ["band", "part"],
-        F.col("image_hash"),
-        "inner",
-        expansion=bands * len(masks),
+        probes, entries, ["band", "part"], F.col("image_hash"), "inner",
+        expansion=sum(b.stored_rows for b in bands),
     )
+    return met.withColumn("band", F.expr("band div 64"))
+
+
+def candidates_within(
+    images: DataFrame, known: DataFrame, threshold: int = HAMMING_THRESHOLD, bands: list[Band] | None = None
+) -> DataFrame:
+    """All (image_hash, known_hash, distance) with distance <= threshold, each pair once.
+
+    Exact: see `plan_bands` and `meetings`. A band yields a pair once; a pair met in several
+    bands is kept in the first only.
+    """
+    if bands is None:
+        width, asked, stored = _varying(images, known)
+        bands = plan_bands(width, threshold, stored, asked)
+    met = meetings(images, known, bands)
+    # The probe's flips are the lowest of the differing bits.
+    lowest = F.col("_stored").bitwiseAND(-F.col("_stored"))
+    canonical = (F.col("_asked") == 0) | (F.col("_stored") == 0) | (F.col("_asked") < lowest)
     differing = F.col("image_hash").bitwiseXOR(F.col("known_hash"))
     first = F.coalesce(
-        *[F.when(F.bit_count(_band(differing, b, width)) <= radius, b) for b in range(bands)]
+        *[F.when(F.bit_count(_part(differing, b)) <= b.stored + b.asked, i) for i, b in enumerate(bands)]
     )
     distance = hamming(F.col("image_hash"), F.col("known_hash"))
-    return met.where((distance <= threshold) & (F.col("band") == first)).select(
+    return met.where((distance <= threshold) & canonical & (F.col("band") == first)).select(
         "image_hash", "known_hash", distance.alias("distance")
     )
 

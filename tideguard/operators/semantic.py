@@ -1,16 +1,20 @@
 """Semantic reuse: the nearest stored vector above a similarity threshold.
 
-Exact and without comparing everything to everything. Vectors on the unit sphere are
-assigned to the nearest of a few pivots and ringed by their distance to it. By the triangle
-inequality a match within distance r of a query can only lie in a cell whose pivot is at
-most 2r further away than the nearest one, and there only in rings that reach from d-r to
-d+r. Queries are sent to those (cell, ring) groups; large groups are cut into blocks on both
-sides, and a block task multiplies two matrices and returns the best match per query.
+Exact, and without comparing everything to everything. Stored vectors lie in cells: each goes to
+the nearest of up to TOP_PIVOTS pivots and, in stores that need more cells, to the nearest of that
+pivot's own ones, so cells keep about `cell_rows` vectors whatever the store holds.
+
+A query first asks the cell it would lie in itself. What it finds there, or else the threshold,
+is the radius within which a better match can only lie. A cell may hold one if the ball of that
+radius reaches over the planes that part its pivot from the others (the hyperplane bound), and
+into the ring between its nearest and its furthest vector. Only (query, cell) pairs that pass
+both are sent, and a block task multiplies two matrices and returns the best match per query.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,109 +22,243 @@ from pyspark.sql import functions as F
 
 from tideguard.config import SIMILARITY_THRESHOLD
 from tideguard.operators.skew import rows_of, salted_join
+from tideguard.session import materialise
 
-# One pivot per this many stored vectors, up to a limit that keeps the pivot table small.
-ROWS_PER_PIVOT = 2000
-MAX_PIVOTS = 512
+# Vectors per cell, pivots per level: two levels hold TOP_PIVOTS * SUB_PIVOTS cells.
+CELL_ROWS = 1024
+TOP_PIVOTS = 512
+SUB_PIVOTS = 512
 BLOCK_ROWS = 8192
+# Of a query's pivots this many of the nearest are held against every cell.
+RIVALS = 4
+SLACK = 1e-6
+CELL = ["cell", "sub"]
+
+
+@dataclass(frozen=True)
+class VectorIndex:
+    """Stored vectors in their cells.
+
+    `entries`: entry_id, vector, cell, sub. `pivots` and `rings` (nearest, furthest vector) of
+    the top level, at most TOP_PIVOTS of each. `subs`: cell, sub, pivot, near, far; null if one
+    level is enough.
+    """
+
+    entries: DataFrame
+    pivots: list[list[float]]
+    rings: list[tuple[float, float]]
+    subs: DataFrame | None
+
+
+def _unit(rows):
+    import numpy as np
+
+    m = np.stack([np.asarray(v, dtype="float64") for v in rows])
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+def _distances(vectors, pivots):
+    import numpy as np
+
+    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * vectors @ pivots.T))
 
 
-def _pivots(vectors: DataFrame, n: int) -> list[list[float]]:
+def _reached(vectors, radius, pivots, near, far):
+    """Which cells (columns) may hold a vector within `radius` of each of `vectors` (rows)."""
+    import numpy as np
+
+    products = vectors @ pivots.T
+    d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * products))
+    r = radius[:, None]
+    reach = (d <= far[None, :] + r) & (d >= near[None, :] - r)
+    between = _distances(pivots, pivots)
+    rivals = np.argsort(-products, axis=1, kind="stable")[:, :RIVALS]
+    for k in range(rivals.shape[1]):
+        rival = rivals[:, k]
+        ahead = products[np.arange(len(vectors)), rival][:, None] - products
+        reach &= ahead <= r * between[rival] + SLACK
+    return reach
+
+
+def _sample(vectors: DataFrame, n: int) -> list[list[float]]:
     """`n` stored vectors in hash order: a sample of fixed size, the same on every run."""
-    rows = (
-        vectors.select("vector", F.xxhash64("vector").alias("_h"))
-        .orderBy("_h")
-        .limit(n)
-        .collect()
+    rows = vectors.select("vector", F.xxhash64("vector").alias("_h")).orderBy("_h").limit(n)
+    return [list(r["vector"]) for r in rows.collect()]
+
+
+def _in_chunks(df: DataFrame, row_id: str, rows: int) -> tuple[DataFrame, DataFrame]:
+    """`df` with a `chunk` per cell of about `rows` rows, and the number of chunks per cell."""
+    n = F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("chunks")
+    counts = df.groupBy("cell").agg(n)
+    chunk = F.pmod(F.xxhash64(row_id), F.col("chunks")).cast("int")
+    return df.join(counts, "cell").withColumn("chunk", chunk).drop("chunks"), counts
+
+
+def _per_chunk(subs: DataFrame, counts: DataFrame) -> DataFrame:
+    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    return subs.join(counts, "cell").withColumn("at_chunk", every).drop("chunks")
+
+
+def _with_sub(rows: DataFrame, row_id: str, vector: str, subs: DataFrame, block_rows: int) -> DataFrame:
+    """`rows` with `sub`, the nearest pivot of their cell, and the distance to it."""
+    kept = [row_id, vector, "cell"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*kept).schema)
+
+    def place(some: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        some = some[kept].copy()
+        if not len(some) or not len(pivots):
+            return some.assign(sub=0, distance=0.0).head(0)
+        d = _distances(_unit(some[vector]), _unit(pivots["pivot"]))
+        nearest = d.argmin(axis=1)
+        return some.assign(sub=pivots["sub"].to_numpy()[nearest], distance=d.min(axis=1))
+
+    chunked, counts = _in_chunks(rows.select(*kept), row_id, block_rows)
+    left = chunked.groupBy("cell", "chunk")
+    return left.cogroup(_per_chunk(subs, counts).groupBy("cell", "at_chunk")).applyInPandas(
+        place, f"{schema}, sub int, distance double"
     )
-    return [list(r["vector"]) for r in rows]
 
 
-def nearest(
-    queries: DataFrame,
+def _cell_of(pivots: list[list[float]]):
+    @F.pandas_udf("struct<cell:int,distance:double>")
+    def cell_of(vectors: pd.Series) -> pd.DataFrame:
+        d = _distances(_unit(vectors), _unit(pivots))
+        return pd.DataFrame({"cell": d.argmin(axis=1).astype("int32"), "distance": d.min(axis=1)})
+
+    return cell_of
+
+
+def build_index(
     store: DataFrame,
-    threshold: float = SIMILARITY_THRESHOLD,
-    earlier_only: bool = False,
-    n_pivots: int | None = None,
+    cell_rows: int = CELL_ROWS,
+    top_pivots: int = TOP_PIVOTS,
     block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """(query_id, entry_id, similarity) of the best match per query; no row without one.
+) -> VectorIndex | None:
+    """Cells of a store of entry_id and embedding; None without a vector.
 
-    `queries` has query_id and embedding, `store` entry_id and embedding; ids are numbers
-    and order the entries. similarity = (1 + cosine) / 2 >= threshold. Equal vectors count
-    as one entry, the one with the smallest id, which also wins ties. With `earlier_only`
-    an entry is visible only to queries with a larger id. Zero vectors never match.
+    Equal vectors are one entry, the one with the smallest id. Zero vectors are left out.
     """
-    cos = 2.0 * threshold - 1.0
-    radius = math.sqrt(max(0.0, 2.0 - 2.0 * cos)) + 1e-6
     entries = (
         store.where(F.exists("embedding", lambda x: x != 0))
         .groupBy(F.col("embedding").alias("vector"))
         .agg(F.min("entry_id").alias("entry_id"))
     )
-    asked = queries.where(F.exists("embedding", lambda x: x != 0)).select("query_id", "embedding")
-    if n_pivots is None:
-        n_pivots = min(MAX_PIVOTS, 1 + store.count() // ROWS_PER_PIVOT)
-    pivots = _pivots(entries, n_pivots)
-    out_schema = "query_id long, entry_id long, similarity double"
-    if not pivots:
-        return queries.sparkSession.createDataFrame([], out_schema)
+    entries = materialise(entries, "vector-entries")
+    cells = -(-entries.count() // cell_rows)
+    if not cells:
+        return None
+    two_levels = cells > top_pivots
+    pivots = _sample(entries, math.ceil(math.sqrt(cells)) if two_levels else cells)
+    if len(pivots) == 1:
+        # One cell that everything reaches: nothing has to be measured.
+        one = entries.select("entry_id", "vector", F.lit(0).alias("cell"), F.lit(0).alias("sub"))
+        return VectorIndex(one, pivots, [(0.0, 2.0)], None)
+    placed = entries.withColumn("_at", _cell_of(pivots)("vector")).select(
+        "entry_id", "vector", "_at.cell", F.col("_at.distance").alias("distance")
+    )
+    placed = materialise(placed, "vector-cells")
+    ring = [F.min("distance").alias("near"), F.max("distance").alias("far")]
+    rings = [(math.inf, -math.inf)] * len(pivots)
+    sizes = placed.groupBy("cell").agg(*ring, F.count(F.lit(1)).alias("n"))
+    for r in sizes.collect():
+        rings[r["cell"]] = (r["near"], r["far"])
+    if not two_levels:
+        flat = placed.select("entry_id", "vector", "cell", F.lit(0).alias("sub"))
+        return VectorIndex(flat, pivots, rings, None)
+    wanted = F.least(F.ceil(F.col("n") / cell_rows), F.lit(SUB_PIVOTS))
+    order = F.row_number().over(_by_cell(F.xxhash64("vector")))
+    subs = (
+        placed.withColumn("_rank", order)
+        .where(F.col("_rank") <= SUB_PIVOTS)
+        .join(sizes.select("cell", wanted.alias("_wanted")), "cell")
+        .where(F.col("_rank") <= F.col("_wanted"))
+        .select("cell", (F.col("_rank") - 1).cast("int").alias("sub"), F.col("vector").alias("pivot"))
+    )
+    subs = materialise(subs, "vector-subs")
+    deep = materialise(_with_sub(placed, "entry_id", "vector", subs, block_rows), "vector-entries")
+    subs = materialise(subs.join(deep.groupBy(*CELL).agg(*ring), CELL), "vector-rings")
+    return VectorIndex(deep.drop("distance"), pivots, rings, subs)
 
-    @F.pandas_udf("struct<cell:int,distance:double>")
-    def cell_of(vectors: pd.Series) -> pd.DataFrame:
+
+def _by_cell(order):
+    from pyspark.sql import Window
+
+    return Window.partitionBy("cell").orderBy(order)
+
+
+def home_cells(index: VectorIndex, queries: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query_id, embedding, cell, sub): the cell every query would lie in itself."""
+    if len(index.pivots) == 1:
+        return queries.select("query_id", "embedding", F.lit(0).alias("cell"), F.lit(0).alias("sub"))
+    at = queries.withColumn("_at", _cell_of(index.pivots)("embedding")).select(
+        "query_id", "embedding", "_at.cell"
+    )
+    if index.subs is None:
+        return at.withColumn("sub", F.lit(0))
+    pivots = index.subs.select("cell", "sub", "pivot")
+    return _with_sub(at, "query_id", "embedding", pivots, block_rows).drop("distance")
+
+
+def reached_cells(index: VectorIndex, queries: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query_id, embedding, cell, sub) of all cells that may hold a match.
+
+    `queries` has query_id, embedding and `radius`, the distance of unit vectors that a match
+    must not exceed.
+    """
+    pivots, rings = index.pivots, index.rings
+
+    @F.pandas_udf("array<int>")
+    def top_cells(vectors: pd.Series, radius: pd.Series) -> pd.Series:
         import numpy as np
 
-        def unit(rows):
-            m = np.stack([np.asarray(v, dtype="float64") for v in rows])
-            return m / np.linalg.norm(m, axis=1, keepdims=True)
+        near, far = np.array(rings).T
+        reach = _reached(_unit(vectors), radius.to_numpy() + SLACK, _unit(pivots), near, far)
+        return pd.Series([np.flatnonzero(r).astype("int32") for r in reach])
 
-        d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * unit(vectors) @ unit(pivots).T))
-        cell = d.argmin(axis=1)
-        return pd.DataFrame({"cell": cell.astype("int32"), "distance": d[range(len(d)), cell]})
+    sent = queries.withColumn("cell", rows_of(top_cells("embedding", "radius"))).where("cell is not null")
+    if index.subs is None:
+        return sent.select("query_id", "embedding", "cell", F.lit(0).alias("sub"))
 
-    @F.pandas_udf("array<struct<cell:int,ring:int>>")
-    def reach_of(vectors: pd.Series) -> pd.Series:
+    def sub_cells(some: pd.DataFrame, subs: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        def unit(rows):
-            m = np.stack([np.asarray(v, dtype="float64") for v in rows])
-            return m / np.linalg.norm(m, axis=1, keepdims=True)
-
-        d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * unit(vectors) @ unit(pivots).T))
-        near = d <= d.min(axis=1, keepdims=True) + 2.0 * radius
-        low = np.floor(np.maximum(d - radius, 0.0) / radius).astype(int)
-        high = np.floor((d + radius) / radius).astype(int)
-        return pd.Series(
-            [
-                [
-                    {"cell": int(c), "ring": r}
-                    for c in np.flatnonzero(near[i])
-                    for r in range(low[i, c], high[i, c] + 1)
-                ]
-                for i in range(len(d))
-            ]
+        out = some[["query_id", "embedding", "cell"]]
+        if not len(some) or not len(subs):
+            return out.assign(sub=0).head(0)
+        reach = _reached(
+            _unit(some["embedding"]), some["radius"].to_numpy() + SLACK, _unit(subs["pivot"]),
+            subs["near"].to_numpy(), subs["far"].to_numpy(),
         )
+        q, s = np.nonzero(reach)
+        return out.iloc[q].assign(sub=subs["sub"].to_numpy()[s])
 
-    placed = (
-        entries.withColumn("_at", cell_of("vector"))
-        .withColumn("cell", F.col("_at.cell"))
-        .withColumn("ring", F.floor(F.col("_at.distance") / radius).cast("int"))
-        .drop("_at")
+    kinds = {f.name: f.dataType.simpleString() for f in queries.schema}
+    sent = materialise(sent.select("query_id", "embedding", "radius", "cell"), "vector-sent")
+    chunked, counts = _in_chunks(sent, "query_id", block_rows)
+    right = _per_chunk(index.subs, counts).groupBy("cell", "at_chunk")
+    return chunked.groupBy("cell", "chunk").cogroup(right).applyInPandas(
+        sub_cells, f"query_id {kinds['query_id']}, embedding {kinds['embedding']}, cell int, sub int"
     )
-    sent = (
-        asked.withColumn("_to", rows_of(reach_of("embedding")))
-        .withColumn("cell", F.col("_to.cell"))
-        .withColumn("ring", F.col("_to.ring"))
-        .drop("_to")
-    )
-    group = ["cell", "ring"]
+
+
+def best_in_cells(
+    sent: DataFrame,
+    entries: DataFrame,
+    threshold: float,
+    earlier_only: bool = False,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """(query_id, entry_id, similarity): the best match per query and block of the cells it is sent to.
+
+    Large cells are cut into blocks of entries and of queries.
+    """
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
-        """Blocks per group: at most one row per pivot and ring, so always small."""
         n = F.ceil(F.count(F.lit(1)) / block_rows).cast("int")
-        return df.groupBy(*group).agg(n.alias(name))
+        return df.groupBy(*CELL).agg(n.alias(name))
 
-    plan = F.broadcast(blocks(placed, "store_blocks").join(blocks(sent, "query_blocks"), group))
+    # One row per cell.
+    plan = blocks(entries, "store_blocks").join(blocks(sent, "query_blocks"), CELL)
 
     def spread(id_column: str, n: str):
         return F.pmod(F.xxhash64(id_column), F.col(n)).cast("int")
@@ -129,34 +267,28 @@ def nearest(
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
     left = (
-        sent.join(plan, group)
+        sent.join(plan, CELL)
         .withColumn("q_block", spread("query_id", "query_blocks"))
         .withColumn("s_block", all_blocks("store_blocks"))
         .drop("store_blocks", "query_blocks")
     )
     right = (
-        placed.join(plan, group)
+        entries.join(plan, CELL)
         .withColumn("s_block", spread("entry_id", "store_blocks"))
         .withColumn("q_block", all_blocks("query_blocks"))
         .drop("store_blocks", "query_blocks")
     )
 
     def best_in_block(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        def unit(rows):
-            m = np.stack([np.asarray(v, dtype="float64") for v in rows])
-            return m / np.linalg.norm(m, axis=1, keepdims=True)
-
         if not len(q) or not len(s):
             return pd.DataFrame({"query_id": [], "entry_id": [], "similarity": []})
         s = s.sort_values("entry_id")
-        ids, stored = s["entry_id"].to_numpy(), unit(s["vector"]).T
+        ids, stored = s["entry_id"].to_numpy(), _unit(s["vector"]).T
         parts = []
         for start in range(0, len(q), 1024):
             some = q.iloc[start : start + 1024]
             asking = some["query_id"].to_numpy()
-            score = (1.0 + unit(some["embedding"]) @ stored) / 2.0
+            score = (1.0 + _unit(some["embedding"]) @ stored) / 2.0
             if earlier_only:
                 score[asking[:, None] <= ids[None, :]] = -1.0
             top = score.argmax(axis=1)
@@ -173,16 +305,78 @@ def nearest(
             )
         return pd.concat(parts)
 
-    keys = [*group, "q_block", "s_block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        best_in_block, out_schema
+    keys = [*CELL, "q_block", "s_block"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+        best_in_block, "query_id long, entry_id long, similarity double"
     )
+
+
+def _best(found: DataFrame) -> DataFrame:
     best = F.max_by(
         F.struct("entry_id", "similarity"), F.struct("similarity", -F.col("entry_id"))
     ).alias("_best")
     return found.groupBy("query_id").agg(best).select("query_id", "_best.*")
 
 
+def routes(
+    index: VectorIndex,
+    queries: DataFrame,
+    threshold: float = SIMILARITY_THRESHOLD,
+    earlier_only: bool = False,
+    block_rows: int = BLOCK_ROWS,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(home cells, matches found there, further cells): all that a search compares.
+
+    The further cells leave out each query's home.
+    """
+    home = materialise(home_cells(index, queries, block_rows), "vector-homes")
+    first = _best(best_in_cells(home, index.entries, threshold, earlier_only, block_rows))
+    first = materialise(first, "vector-first")
+    cos = 2.0 * F.greatest(F.coalesce("similarity", F.lit(threshold)), F.lit(threshold)) - 1.0
+    radius = F.sqrt(F.greatest(2.0 - 2.0 * cos, F.lit(0.0)))
+    # A slack of 1e-6 on the distance covers the rounding of products near one.
+    asking = home.join(first, "query_id", "left").select(
+        "query_id", "embedding", (radius + 1e-6).alias("radius"),
+        F.struct(*CELL).alias("_home"),
+    )
+    asking = materialise(asking, "vector-asking")
+    reached = reached_cells(index, asking.drop("_home"), block_rows)
+    homes = asking.select(F.col("query_id").alias("_query"), "_home")
+    further = reached.join(homes, F.col("query_id") == F.col("_query")).where(
+        F.struct(*CELL) != F.col("_home")
+    )
+    return home, first, further.select("query_id", "embedding", *CELL)
+
+
+def nearest(
+    queries: DataFrame,
+    store: DataFrame,
+    threshold: float = SIMILARITY_THRESHOLD,
+    earlier_only: bool = False,
+    cell_rows: int = CELL_ROWS,
+    top_pivots: int = TOP_PIVOTS,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """(query_id, entry_id, similarity) of the best match per query; no row without one.
+
+    `queries` has query_id and embedding, `store` entry_id and embedding; ids are numbers
+    and order the entries. similarity = (1 + cosine) / 2 >= threshold. Equal vectors count
+    as one entry, the one with the smallest id, which also wins ties. With `earlier_only`
+    an entry is visible only to queries with a larger id. Zero vectors never match.
+    """
+    asked = queries.where(F.exists("embedding", lambda x: x != 0)).select("query_id", "embedding")
+    index = build_index(store, cell_rows, top_pivots, block_rows)
+    if index is None:
+        return queries.sparkSession.createDataFrame([], "query_id long, entry_id long, similarity double")
+    if len(index.pivots) == 1:
+        home = home_cells(index, asked)
+        return _best(best_in_cells(home, index.entries, threshold, earlier_only, block_rows))
+    _, first, further = routes(index, asked, threshold, earlier_only, block_rows)
+    further = materialise(further, "vector-further")
+    later = best_in_cells(further, index.entries, threshold, earlier_only, block_rows)
+    return _best(first.unionByName(later))
+
+
 def reuse_semantic(
     queries: DataFrame,
     store: DataFrame,
