@@ -99,10 +99,9 @@ def test_runs_of_long_texts_take_little():
 
 
 @pytest.mark.parametrize("together", [1, 1 << 18])
-def test_runs_equal_brute_force(docs, rows, monkeypatch, together):
-    monkeypatch.setattr(periods, "TOGETHER", together)
+def test_runs_equal_brute_force(docs, rows, together):
     some = [r for r in rows if len(r[1] or "") < 12_000]
-    got = periods.digests(periods.collapse_runs(periods.with_planted_runs(docs.where("length(coalesce(text, '')) < 12000"))))
+    got = periods.digests(periods.collapse_runs(periods.with_planted_runs(docs.where("length(coalesce(text, '')) < 12000")), together))
     assert sorted(map(tuple, got.collect()), key=repr) == sorted((plain_periodic(r[0], r[1]) for r in some), key=repr)
 
 
@@ -166,8 +165,8 @@ def plain_manifest(rows):
     return out
 
 
-def manifest_of(docs):
-    return [tuple(r) for r in merkle.tampered_manifest(docs).drop("levels").collect()]
+def manifest_of(docs, height=merkle.LEVELS):
+    return [tuple(r) for r in merkle.tampered_manifest(docs, height).drop("levels").collect()]
 
 
 def langs_of(docs, name):
@@ -182,12 +181,10 @@ def langs_of(docs, name):
 
 
 @pytest.mark.parametrize("levels, langs", [(1, "some"), (1, "each"), (2, "one"), (3, "some")])
-def test_manifest_equals_brute_force(docs, monkeypatch, levels, langs):
-    monkeypatch.setattr(merkle, "LEVELS", levels)
-    monkeypatch.setattr(merkle, "BLOCK", 8**levels)
+def test_manifest_equals_brute_force(docs, levels, langs):
     docs = langs_of(docs, langs)
     rows = docs.collect()
-    got = manifest_of(docs)
+    got = manifest_of(docs, levels)
     assert sorted(got, key=repr) == sorted(plain_manifest(rows), key=repr)
     assert {r[6] for r in got} == {True, False}
 

@@ -4,12 +4,12 @@ Leaves are digests of whole rows, in order per language. Every FAN consecutive n
 digest of their digests as parent, until one is left: the language's subroot; the subroots in the
 order of the languages make the root in the same way.
 
-Leaves go by superblock, BLOCK consecutive ones of a language. On the way up each superblock is
+Leaves go by superblock, FAN**LEVELS consecutive ones of a language. On the way up each superblock is
 reduced to one node, the nodes of superblocks to superblocks again, and so on: a handful of passes,
-each over a BLOCKth of the one before. On the way down the nodes that a superblock lacks, the
+each over a small part of the one before. On the way down the nodes that a superblock lacks, the
 siblings on the way from its top to the root, are cogrouped with its own nodes, and one call finishes
 what remains: it reduces the nodes again, joins inner and outer siblings to a proof per node and
-folds it. Nothing but digests moves, a group has at most BLOCK rows and one row of outer nodes,
+folds it. Nothing but digests moves, a group has at most a superblock's rows and one row of outer nodes,
 and the driver sees one number per table (how many layers there are).
 
 Defined cases: a null value is `-`, so null and empty differ. Leaves with the same language and
@@ -30,8 +30,8 @@ from tideguard.llm.common import numbered
 from tideguard.session import materialise
 
 FAN = 8
+# Levels of a superblock, which so has up to FAN**LEVELS nodes.
 LEVELS = 3
-BLOCK = FAN**LEVELS
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 LEVEL = "struct<before:string,after:string>"
 
@@ -61,14 +61,14 @@ def _digest(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def _reduced(nodes: list[str], n: int) -> list[list[str]]:
-    """The levels of a superblock from its nodes up to its top.
+def _reduced(nodes: list[str], n: int, height: int) -> list[list[str]]:
+    """The levels of a superblock of `height` levels from its nodes up to its top.
 
-    The last level is one node. With other superblocks beside it (`n` nodes in all, more than
-    BLOCK), LEVELS levels are built however few nodes it has; alone, as many as it takes.
+    The last level is one node. With other superblocks beside it (more nodes in all, `n`, than it
+    holds), all levels are built however few nodes it has; alone, as many as it takes.
     """
     levels = [nodes]
-    while len(levels) <= LEVELS if n > BLOCK else len(levels[-1]) > 1:
+    while len(levels) <= height if n > FAN**height else len(levels[-1]) > 1:
         below = levels[-1]
         levels.append([_digest("".join(below[i : i + FAN])) for i in range(0, len(below), FAN)])
     return levels
@@ -90,35 +90,35 @@ def _folded(digest: str, siblings) -> str:
     return digest
 
 
-def _nodes(group: pd.DataFrame) -> tuple[pd.DataFrame, list[list[str]]]:
+def _nodes(group: pd.DataFrame, height: int) -> tuple[pd.DataFrame, list[list[str]]]:
     group = group.sort_values("idx")
-    return group, _reduced([bytes(d).hex() for d in group["digest"]], int(group["n"].iloc[0]))
+    return group, _reduced([bytes(d).hex() for d in group["digest"]], int(group["n"].iloc[0]), height)
 
 
-def _tops(nodes: DataFrame) -> DataFrame:
+def _tops(nodes: DataFrame, height: int) -> DataFrame:
     """One node per superblock: the next layer."""
 
     def top(group: pd.DataFrame) -> pd.DataFrame:
-        group, levels = _nodes(group)
+        group, levels = _nodes(group, height)
         first = group.iloc[0]
         return pd.DataFrame({
-            "grp": [first["grp"]], "idx": [int(first["idx"]) // BLOCK], "n": [-(-int(first["n"]) // BLOCK)],
+            "grp": [first["grp"]], "idx": [int(first["idx"]) // FAN**height], "n": [-(-int(first["n"]) // FAN**height)],
             "digest": [bytes.fromhex(levels[-1][0])],
         })
 
-    keys = [F.col("grp"), F.expr(f"idx div {BLOCK}").alias("_block")]
+    keys = [F.col("grp"), F.expr(f"idx div {FAN**height}").alias("_block")]
     read = nodes.select("grp", "idx", "n", "digest")
     return read.groupBy(*keys).applyInPandas(top, "grp string, idx long, n long, digest binary")
 
 
-def _exchanged(nodes: DataFrame, outer: DataFrame, finish, schema: str) -> DataFrame:
+def _exchanged(nodes: DataFrame, outer: DataFrame, height: int, finish, schema: str) -> DataFrame:
     """`finish(nodes of a superblock, its levels, its row of outer nodes)` for every superblock."""
 
     def call(inner: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
-        group, levels = _nodes(inner)
+        group, levels = _nodes(inner, height)
         return finish(group, levels, above.iloc[0])
 
-    block = F.expr(f"idx div {BLOCK}")
+    block = F.expr(f"idx div {FAN**height}")
     left = nodes.groupBy("grp", block.alias("_block"))
     return left.cogroup(outer.groupBy("grp", F.col("idx").alias("_block"))).applyInPandas(call, schema)
 
@@ -136,23 +136,23 @@ def _outer_of_each(group: pd.DataFrame, levels: list[list[str]], above: pd.Serie
     })
 
 
-def _layers(nodes: DataFrame, name: str) -> list[DataFrame]:
+def _layers(nodes: DataFrame, height: int) -> list[DataFrame]:
     """`nodes`, the tops of their superblocks, the tops of those, up to one node per group."""
     layers = [nodes]
     while (layers[-1].agg(F.max("n")).first()[0] or 1) > 1:
-        layers.append(materialise(_tops(layers[-1]), name))
+        layers.append(materialise(_tops(layers[-1], height), "merkle-up"))
     return layers
 
 
-def _outer(layers: list[DataFrame], top: DataFrame, down_to: int, name: str) -> DataFrame:
+def _outer(layers: list[DataFrame], top: DataFrame, down_to: int, height: int) -> DataFrame:
     """Outer nodes of the nodes of layer `down_to`, from the row(s) `top` above the last layer."""
     outer = top
     for nodes in reversed(layers[down_to:]):
-        outer = materialise(_exchanged(nodes, outer, _outer_of_each, OUTER), name)
+        outer = materialise(_exchanged(nodes, outer, height, _outer_of_each, OUTER), "merkle-down")
     return outer
 
 
-def manifest(rows: DataFrame) -> DataFrame:
+def manifest(rows: DataFrame, height: int = LEVELS) -> DataFrame:
     """Proofs of the stored table `rows` (doc_id, grp, leaf, other): one row per leaf.
 
     leaf, subroot, root, the siblings before and after on the way up (`levels`, lowest first),
@@ -160,22 +160,22 @@ def manifest(rows: DataFrame) -> DataFrame:
     original siblings) and verified.
     """
     ordered = materialise(numbered(rows, ["grp"], ["doc_id", "leaf"]), "merkle-leaves")
-    layers = _layers(ordered.withColumn("digest", F.col("leaf")), "merkle-up")
+    layers = _layers(ordered.withColumn("digest", F.col("leaf")), height)
     subroots = layers[-1].where("n = 1").select(F.col("grp").alias("lang"), "digest")
     subroots = materialise(subroots.withColumn("grp", F.lit("")), "merkle-subroots")
     langs = materialise(numbered(subroots, ["grp"], ["lang"]), "merkle-langs")
-    lang_layers = _layers(langs, "merkle-up")
+    lang_layers = _layers(langs, height)
     nothing = F.from_json(F.lit("[]"), f"array<{LEVEL}>")
     root = lang_layers[-1].select(
         "grp", F.lit(0).cast("long").alias("idx"), nothing.alias("levels"),
         F.lit(None).cast("string").alias("subroot"), F.lower(F.hex("digest")).alias("root"),
     )
-    above = _outer(lang_layers, root, 0, "merkle-down")
+    above = _outer(lang_layers, root, 0, height)
     per_lang = langs.join(above.drop("grp", "subroot"), "idx").select(
         F.col("lang").alias("grp"), F.lit(0).cast("long").alias("idx"), "levels",
         F.lower(F.hex("digest")).alias("subroot"), "root",
     )
-    outer = _outer(layers, per_lang, 1, "merkle-down")
+    outer = _outer(layers, per_lang, 1, height)
 
     def finish(group: pd.DataFrame, levels: list[list[str]], above: pd.Series) -> pd.DataFrame:
         outer, out = [dict(level) for level in above["levels"]], []
@@ -191,7 +191,7 @@ def manifest(rows: DataFrame) -> DataFrame:
     # As text: pandas would turn whole numbers with nulls among them into floating point.
     named = ordered.select("grp", "idx", "n", F.col("leaf").alias("digest"), "other", F.col("doc_id").cast("string").alias("doc"))
     schema = f"doc string, leaf string, subroot string, root string, levels array<{LEVEL}>, proof_sha256 string, folded_root string"
-    out = _exchanged(named, outer, finish, schema)
+    out = _exchanged(named, outer, height, finish, schema)
     return out.select(
         F.col("doc").cast(rows.schema["doc_id"].dataType).alias("doc_id"), "leaf", "subroot", "root",
         "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"), "levels",
@@ -203,11 +203,11 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def tampered_manifest(docs: DataFrame) -> DataFrame:
+def tampered_manifest(docs: DataFrame, height: int = LEVELS) -> DataFrame:
     """`manifest` of `docs`; every third (by CRC 32 of doc_id) is checked with its text in lower case.
 
     A null doc_id has no CRC: its row is not tampered with.
     """
     third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
     rows = leaves(docs, F.coalesce(third, F.lit(False)), lower_ascii(F.col("text")))
-    return manifest(materialise(rows, "merkle-digests"))
+    return manifest(materialise(rows, "merkle-digests"), height)

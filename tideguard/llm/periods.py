@@ -167,14 +167,14 @@ def find_runs(ids: np.ndarray, longest: int | None = None) -> list[tuple[int, in
     return runs
 
 
-def _together(texts: list[bytes]) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """(first text, words of each) of stretches of texts with about TOGETHER words."""
+def _together(texts: list[bytes], most: int) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """(first text, words of each) of stretches of texts with about `most` words."""
     first, held, n = 0, [], 0
     for i, text in enumerate(texts):
         # Split on ASCII white space, which is what parts words here.
         held.append((text or b"").split())
         n += len(held[-1])
-        if n >= TOGETHER:
+        if n >= most:
             yield first, held
             first, held, n = i + 1, [], 0
     if held:
@@ -204,7 +204,7 @@ def _judged(texts: list[list[bytes]]) -> Iterator[tuple[list, bytes]]:
         yield runs, b" ".join(words)
 
 
-def collapse_runs(docs: DataFrame) -> DataFrame:
+def collapse_runs(docs: DataFrame, together: int = TOGETHER) -> DataFrame:
     """doc_id, `runs` (start, length, period; by start, then period) and `collapsed`.
 
     `collapsed` is the text without the words that repeat: of every run only the first period
@@ -215,7 +215,7 @@ def collapse_runs(docs: DataFrame) -> DataFrame:
         run = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
         names = ["start", "length", "period"]
         for batch in batches:
-            for first, texts in _together(batch.column(1).to_pylist()):
+            for first, texts in _together(batch.column(1).to_pylist(), together):
                 runs, kept = zip(*_judged(texts), strict=True)
                 rows = [[dict(zip(names, r, strict=True)) for r in some] for some in runs]
                 yield pa.RecordBatch.from_arrays(
