@@ -587,6 +587,20 @@ def reuse_semantic(v: Views) -> DataFrame:
     )
 
 
+@query
+def reuse_semantic_near(v: Views) -> DataFrame:
+    """Every vector with a third of its components raised, at the threshold in use."""
+    raised = F.transform(
+        "embedding",
+        lambda x, i: x.cast("double") * F.when((i + F.col("vec_id")) % 3 == 0, 1.25).otherwise(1.0),
+    )
+    queries = v.table("embeddings").select(F.col("vec_id").alias("query_id"), raised.alias("embedding"))
+    store = v.vectors.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    return semantic.reuse_semantic(queries, store).select(
+        "query_id", "entry_id", F.round("similarity", 6).alias("similarity"), "decision", "reason"
+    )
+
+
 @query
 def batch_semantic(v: Views) -> DataFrame:
     """Documents with a vector reuse the nearest earlier one; copies of a text are one item."""

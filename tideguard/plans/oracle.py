@@ -594,6 +594,19 @@ SELECT q.vec_id AS query_id, -n.b.o AS entry_id, round(n.b.s, 6) AS similarity,
 FROM embeddings q LEFT JOIN v_near n ON n.query_id = q.vec_id
 LEFT JOIN v_vectors v ON v.entry_id = -n.b.o
 """)
+_view("raised", """
+SELECT vec_id AS query_id, list_transform(embedding, lambda x, i:
+  CAST(x AS DOUBLE) * CASE WHEN (i - 1 + vec_id) % 3 = 0 THEN 1.25 ELSE 1 END) AS e FROM embeddings
+""")
+_view("near_raised", """
+SELECT query_id, max(struct_pack(s := (1 + list_cosine_similarity(q.e, v.e)) / 2, o := -v.vec_id)) AS b
+FROM v_raised q JOIN v_vec v ON (1 + list_cosine_similarity(q.e, v.e)) / 2 >= 0.95 GROUP BY 1
+""")
+_oracle("reuse_semantic_near", """
+SELECT q.query_id, -n.b.o AS entry_id, round(n.b.s, 6) AS similarity, v.decision, v.reason
+FROM v_raised q LEFT JOIN v_near_raised n ON n.query_id = q.query_id
+LEFT JOIN v_vectors v ON v.entry_id = -n.b.o
+""")
 _oracle("batch_semantic", """
 SELECT q.vec_id AS query_id, -max(struct_pack(s := (1 + list_cosine_similarity(q.e, s.e)) / 2,
     o := -s.vec_id)).o AS entry_id,
