@@ -25,8 +25,8 @@ def test_as_of_reuse_equals_loop(spark):
         live = [(at, o, d) for k, at, o, d, *_ in entries if k == key and at <= ts < at + ttl]
         return max(live)[2] if live else None
 
-    for slices in (1, 4):
-        found = reuse.reuse_as_of(requests, {"a": (store, 1000), "b": (store, 2500)}, slices)
+    for seconds in (3600, 250, 1):
+        found = reuse.reuse_as_of(requests, {"a": (store, 1000), "b": (store, 2500)}, seconds)
         got = {
             r["content_id"]: (r["a"] and r["a"]["decision"], r["b"] and r["b"]["decision"])
             for r in found.collect()
@@ -34,6 +34,32 @@ def test_as_of_reuse_equals_loop(spark):
         assert got == {i: (best(k, t, 1000), best(k, t, 2500)) for i, k, t in asked}
 
 
+def test_a_hot_key_ends_in_many_tasks(spark, no_broadcast):
+    """200,000 requests of one key within an hour: no task has an eighth of them."""
+    asked = spark.range(200_000).select(
+        F.col("id").alias("content_id"), F.lit("hot").alias("key"), (F.col("id") % 3600 + 7200).alias("ts")
+    )
+    entries = spark.range(50_000).select(
+        F.lit("hot").alias("key"), (F.col("id") % 3000 + 7300).alias("decided_at"), F.col("id").alias("entry_ord"),
+        F.lit("pass").alias("decision"), F.lit(1.0).alias("confidence"), F.lit("").alias("reason"),
+        F.lit("").alias("tier"),
+    )
+    asked = asked.unionByName(asked.limit(20_000).withColumn("ts", F.lit(7500).cast("long")))
+    before = {n: spark.conf.get(n) for n in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = reuse.reuse_as_of(asked, {"a": (entries, 100)}).withColumn("task", F.spark_partition_id())
+        tasks = found.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.count("a").alias("hits")).collect()
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    assert sum(r["n"] for r in tasks) == 220_000
+    assert max(r["n"] for r in tasks) < 220_000 / 8
+    # Entries of seconds 7300 to 10299 hold for 100 seconds each.
+    assert sum(r["hits"] for r in tasks) == found.where("ts between 7300 and 10398").count()
+
+
 def test_salted_join_equals_join(spark, no_broadcast):
     left = spark.range(3000).select(
         F.col("id"), F.expr("case when id % 3 = 0 then 'hot' when id % 7 = 0 then null else 'k' || id % 50 end as k")

@@ -9,8 +9,8 @@ from tideguard.config import LOCAL_TTL_SECONDS, SHARED_TTL_SECONDS
 from tideguard.operators.skew import salted_join
 
 PAYLOAD = ["decision", "confidence", "reason", "tier"]
-# More slices spread a hot key further, at one carried entry per key and slice reached.
-SLICES_PER_TTL = 1
+# A block of a key's time line: as many seconds, so at most as many rows.
+BLOCK_SECONDS = 3600
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -32,72 +32,70 @@ def invalidate(store: DataFrame, keys_gone: DataFrame, keys: list[str]) -> DataF
 def reuse_as_of(
     requests: DataFrame,
     stores: dict[str, tuple[DataFrame, int]],
-    slices_per_ttl: int = SLICES_PER_TTL,
+    block_seconds: int = BLOCK_SECONDS,
 ) -> DataFrame:
     """For every request and store, the entry valid at the time of the request.
 
     `requests` has key, ts (epoch seconds) and any other columns, which are kept. A store is
     (entries, ttl); entries have key, decided_at, entry_ord and the payload, and hold for
     decided_at <= ts < decided_at + ttl, the newest entry winning. The result adds one
-    nullable struct per store, named after it.
-
-    Time is cut into slices of a fraction of the shortest ttl. Within a slice requests and
-    entries are merged in time order; the last entry of a slice is carried into the slices
-    its validity reaches. So one pass serves all stores, no pair of request and entry is
-    ever built, and a hot key is spread over as many tasks as there are slices.
+    nullable struct per store, named after it. A null key matches nothing.
+
+    Requests of one key and second have one answer, and of the entries of one key and second
+    only the newest of each store counts; so all stores and requests are reduced to one row per
+    key and second first, on the map side. A key's time line is cut into blocks. The last entries of
+    every block are carried over the blocks, one row each, and what reaches a block is put before its
+    first second; then the blocks are gone through in time order, in parallel. No pair of request
+    and entry is built, and no task has more rows of a key than a block has seconds, or the time
+    line blocks. The answers go back to the requests by key and second, spread where that is hot.
     """
-    width = max(1, min(ttl for _, ttl in stores.values()) // slices_per_ttl)
     names = list(stores)
-    payload = F.struct("decided_at", *PAYLOAD)
-    parts = []
-    for name, (entries, ttl) in stores.items():
-        sliced = entries.select(
-            "key",
-            F.floor(F.col("decided_at") / width).cast("long").alias("slice"),
-            F.col("decided_at").cast("long").alias("at"),
-            F.col("entry_ord").cast("long").alias("entry_ord"),
-            payload.alias("entry"),
-        )
-        reach = -(-ttl // width)
-        ends = F.struct("at", "entry_ord")
-        carried = (
-            sliced.groupBy("key", "slice")
-            .agg(F.max(ends).alias("_end"), F.max_by("entry", ends).alias("entry"))
-            .withColumn(
-                "slice",
-                F.explode(F.sequence(F.col("slice") + 1, F.col("slice") + F.lit(reach))),
+    kind = F.struct("decided_at", *PAYLOAD)
+    parts = [requests.select("key", F.col("ts").cast("long").alias("at"), F.lit(True).alias("asked"))]
+    for name, (entries, _) in stores.items():
+        parts.append(
+            entries.select(
+                "key", F.col("decided_at").cast("long").alias("at"),
+                kind.alias(name), F.col("entry_ord").cast("long").alias(f"_ord_{name}"),
             )
-            .select("key", "slice", "_end.at", "_end.entry_ord", "entry")
         )
-        parts.append(sliced.unionByName(carried).withColumn("_store", F.lit(name)))
-    lines = parts[0]
+    rows = parts[0]
     for more in parts[1:]:
-        lines = lines.unionByName(more)
-    asked = requests.select(
-        "key",
-        F.floor(F.col("ts") / width).cast("long").alias("slice"),
-        F.col("ts").cast("long").alias("at"),
-        F.struct(*requests.columns).alias("_request"),
-    ).withColumn("_asks", F.lit(1))
-    line = lines.withColumn("_asks", F.lit(0)).unionByName(asked, allowMissingColumns=True)
-    so_far = (
-        Window.partitionBy("key", "slice")
-        .orderBy("at", "_asks", "entry_ord")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    newest = [F.max_by(n, f"_ord_{n}").alias(n) for n in names]
+    line = (
+        rows.where(F.col("key").isNotNull())
+        .groupBy("key", "at")
+        .agg(F.max("asked").alias("asked"), *newest)
+        .withColumn("block", F.floor(F.col("at") / block_seconds))
     )
 
-    def newest(name: str) -> Column:
-        mine = F.when(F.col("_store") == name, F.col("entry"))
-        return F.last(mine, ignorenulls=True).over(so_far).alias(f"_last_{name}")
+    def last(name: str, window) -> Column:
+        return F.last(name, ignorenulls=True).over(window).alias(name)
 
-    found = line.select("*", *[newest(n) for n in names]).where(F.col("_asks") == 1)
+    ends = line.groupBy("key", "block").agg(
+        F.max("asked").alias("asked"),
+        *[F.max_by(n, F.when(F.col(n).isNotNull(), F.col("at"))).alias(n) for n in names],
+    )
+    earlier = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(
+        "key", (F.col("block") * block_seconds - 1).alias("at"), F.lit(None).cast("boolean").alias("asked"),
+        *[last(n, earlier) for n in names], "block", F.col("asked").alias("_wanted"),
+    ).where(F.col("_wanted"))
+    so_far = (
+        Window.partitionBy("key", "block")
+        .orderBy("at")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    seen = line.unionByName(carried.drop("_wanted")).select("key", "at", "asked", *[last(n, so_far) for n in names])
     valid = [
-        F.when(
-            F.col("at") < F.col(f"_last_{n}.decided_at") + F.lit(stores[n][1]), F.col(f"_last_{n}")
-        ).alias(n)
+        F.when(F.col("at") < F.col(f"{n}.decided_at") + F.lit(stores[n][1]), F.col(n)).alias(n)
         for n in names
     ]
-    return found.select("_request.*", *valid)
+    found = seen.where("asked").select("key", F.col("at").alias("_at"), *valid)
+    timed = requests.withColumn("_at", F.col("ts").cast("long"))
+    spread = F.struct(*requests.columns) if "content_id" not in requests.columns else F.col("content_id")
+    return salted_join(timed, found, ["key", "_at"], spread).select(*requests.columns, *names)
 
 
 def reuse_exact(
