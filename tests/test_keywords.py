@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tideguard.config import Combo, KeywordDictionary, overlaps_itself
+from tideguard.config import Combo, KeywordDictionary
 from tideguard.operators import keywords
 
 WORDS = KeywordDictionary(
@@ -64,12 +64,11 @@ def texts(spark):
     return rows, spark.createDataFrame(rows, "id long, text string").repartition(4)
 
 
-@pytest.mark.parametrize("strategy", ["columns", "automaton"])
-def test_verdict_equals_plain_scan(texts, strategy):
+def test_verdict_equals_plain_scan(texts):
     rows, df = texts
     got = {
         r["id"]: (r["label"], r["confidence"])
-        for r in keywords.with_verdict(df, WORDS, strategy=strategy)
+        for r in keywords.with_verdict(df, WORDS)
         .select("id", "kw.label", "kw.confidence")
         .collect()
     }
@@ -86,7 +85,36 @@ def test_every_occurrence_counts_overlaps_included(texts):
         if w in t.lower()
     }
     assert got == want
-    assert overlaps_itself("abab") and not overlaps_itself("abc")
+
+
+def test_many_words_of_any_script(spark):
+    """Thousands of words, some the start or a part of others: every occurrence, dictionary order."""
+    draw = random.Random(8)
+    letters = "abcd日本語中文字テ😀.*(é"
+    words = ["".join(draw.choice(letters) for _ in range(draw.randint(1, 7))) for _ in range(4000)]
+    words = sorted(set(words), key=words.index)
+    dictionary = KeywordDictionary({"toxic": words[::2], "porn": words[1::2]}, (), ())
+    texts = ["".join(draw.choice(letters + "XYZ ") for _ in range(draw.randint(0, 300))) for _ in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "id long, text string")
+    found = keywords.with_matches(df, dictionary).select("id", "kw_found").collect()
+    got = {r["id"]: [(m["word"], m["category"], m["n"]) for m in r["kw_found"]] for r in found}
+    want = {-1: []}
+    for i, t in enumerate(texts):
+        counts = {w: len(occurrences(t.lower(), w)) for w in dictionary.word_category}
+        want[i] = [(w, dictionary.word_category[w], n) for w, n in counts.items() if n]
+    assert got == want
+
+
+def test_pattern_depth_follows_the_words():
+    """Branches are halved, so a node of n characters costs about log n tries."""
+    words = [chr(c) + "x" for c in range(0x4E00, 0x5600)]
+    pattern = keywords.trie_pattern(words)
+    assert all(re.fullmatch(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), pattern), w) for w in words[::97])
+    depth = deepest = 0
+    for c in pattern:
+        depth += (c == "(") - (c == ")")
+        deepest = max(deepest, depth)
+    assert deepest < 16
 
 
 @pytest.mark.parametrize("word", ["ab", "aa", "abab"])

@@ -147,11 +147,6 @@ class DecisionConfig:
         return self.values[name]
 
 
-def overlaps_itself(word: str) -> bool:
-    """True if two occurrences of `word` can share characters ("aa", "abab")."""
-    return any(word.endswith(word[:n]) for n in range(1, len(word)))
-
-
 @dataclass(frozen=True)
 class Combo:
     words: tuple[str, ...]

@@ -1,25 +1,22 @@
 """Multi-keyword matching, whitelist, context, combinations and the confidence ladder.
 
-The dictionary travels as an array literal and every step works on arrays inside the row,
-so a verdict needs no shuffle, no join and no second look at the text: the plan is scan,
-project. Dictionaries too large for that are scanned by an automaton in Arrow batches and
-join the same plan at the match array.
+The dictionary travels as one pattern, a trie of its words, and as an array literal; every step
+works on arrays inside the row, so a verdict needs no shuffle, no join and no second look at the
+text: the plan is scan, project. The pattern is tried once per character and leaves at the first
+one that no word goes on with, so its cost hardly depends on the number of words.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideguard.config import SEVERITY_ORDER, KeywordDictionary, overlaps_itself
+from tideguard.config import SEVERITY_ORDER, KeywordDictionary
 from tideguard.operators.skew import rows_of
 
-# Beyond this many words one automaton pass beats one pass per word.
-COLUMN_WORDS = 400
 CJK = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{F900}-\x{FAFF}"
 TOKEN_MARK = "\u0001"
 
@@ -49,92 +46,84 @@ def joined_tokens(tokens: Column) -> Column:
     return F.concat(mark, F.array_join(F.transform(tokens, F.lower), TOKEN_MARK), mark)
 
 
-def _count(text: Column, word: Column) -> Column:
-    """Occurrences of a word that cannot overlap itself."""
-    left = F.octet_length(F.replace(text, word, F.lit("")))
-    return F.floor((F.octet_length(text) - left) / F.octet_length(word)).cast("int")
+# Branches of a trie node that are tried one after the other; more are halved by ranges first.
+BRANCHES = 4
+
+
+def _char(c: str) -> str:
+    return c if c.isascii() and c.isalnum() else f"\\x{{{ord(c):X}}}"
+
+
+def trie_pattern(words: list[str]) -> str:
+    """A pattern that matches the longest of `words` that starts where it is tried."""
+    root: dict = {}
+    for word in words:
+        node = root
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def choice(branches: list[tuple[str, str]]) -> str:
+        if len(branches) <= BRANCHES:
+            return "|".join(_char(c) + rest for c, rest in branches)
+        half = len(branches) // 2
+        sides = [branches[:half], branches[half:]]
+        return "|".join(f"(?=[{_char(s[0][0])}-{_char(s[-1][0])}])(?:{choice(s)})" for s in sides)
+
+    def build(node: dict) -> str:
+        branches = [(c, build(child)) for c, child in sorted(node.items()) if c]
+        if not branches:
+            return ""
+        if "" in node:
+            return f"(?:{choice(branches)})?"
+        return _char(branches[0][0]) + branches[0][1] if len(branches) == 1 else f"(?:{choice(branches)})"
+
+    return build(root)
 
 
 def _dictionary_literal(words: dict[str, str], mode: str) -> Column:
+    """Words, categories, severities and context patterns, in the order of the dictionary."""
     rank = {c: i for i, c in enumerate(SEVERITY_ORDER)}
-    return F.array(
-        *[
-            F.struct(
-                F.lit(w).alias("word"),
-                F.lit(c).alias("category"),
-                F.lit(rank.get(c, len(rank))).alias("severity"),
-                F.lit(boundary_pattern(w, mode)).alias("pattern"),
-            )
-            for w, c in words.items()
-        ]
-    )
+    rows = [
+        {"word": w, "category": c, "severity": rank.get(c, len(rank)), "pattern": boundary_pattern(w, mode)}
+        for w, c in words.items()
+    ]
+    # One literal: a column per entry would take the driver longer than the scan takes.
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<word:string,category:string,severity:int,pattern:string>>")
 
 
-MATCH_TYPE = "array<struct<word:string,category:string,severity:int,pattern:string,n:int>>"
+def found_words(lower_text: Column, words: list[str]) -> Column:
+    """The word at every place where one occurs, places in order; occurrences may overlap.
 
+    Where several words start, the longest comes, then those it starts with.
+    """
+    words = [w for w in words if w]
+    if not words:
+        return F.array().cast("array<string>")
+    longest = F.regexp_extract_all(lower_text, F.lit(f"(?=({trie_pattern(words)}))"), 1)
+    known = set(words)
+    shorter = {w: [w[:n] for n in range(len(w) - 1, 0, -1) if w[:n] in known] for w in words}
+    shorter = {w: [w, *s] for w, s in shorter.items() if s}
+    if not shorter:
+        return longest
+    table = F.from_json(F.lit(json.dumps(shorter)), "map<string,array<string>>")
+    return F.flatten(F.transform(longest, lambda w: F.coalesce(table[w], F.array(w))))
 
-def matches(lower_text: Column, dictionary: KeywordDictionary, mode: str = "word") -> Column:
-    """`array<struct<word, category, severity, pattern, n>>`, n counting every occurrence.
 
-    Occurrences may overlap, those of one word included.
-    """
-    words = dictionary.word_category
-    plain = {w: c for w, c in words.items() if not overlaps_itself(w)}
-    looping = {w: c for w, c in words.items() if overlaps_itself(w)}
-
-    def with_count(entry: Column, n: Column) -> Column:
-        kept = [entry[f].alias(f) for f in ("word", "category", "severity", "pattern")]
-        return F.struct(*kept, n.alias("n"))
-
-    parts = []
-    if plain:
-        counted = F.transform(
-            _dictionary_literal(plain, mode), lambda d: with_count(d, _count(lower_text, d["word"]))
-        )
-        parts.append(F.filter(counted, lambda m: m["n"] > 0))
-    if looping:
-        counted = F.array(
-            *[
-                with_count(
-                    _dictionary_literal({w: c}, mode)[0],
-                    F.size(F.regexp_extract_all(lower_text, F.lit(f"(?=({re.escape(w)}))"), 1)),
-                )
-                for w, c in looping.items()
-            ]
-        )
-        parts.append(F.filter(counted, lambda m: m["n"] > 0))
-    return (F.concat(*parts) if parts else F.array()).cast(MATCH_TYPE)
+MATCH_TYPE = "array<struct<word:string,category:string,severity:int,pattern:string,n:int>>"
 
 
-def automaton_matches(
-    lower_text: Column, dictionary: KeywordDictionary, mode: str = "word"
-) -> Column:
-    """`matches` for large dictionaries: one automaton pass per text, in Arrow batches."""
-    rank = {c: i for i, c in enumerate(SEVERITY_ORDER)}
-    entries = {
-        w: (w, c, rank.get(c, len(rank)), boundary_pattern(w, mode))
-        for w, c in dictionary.word_category.items()
-    }
-    columns = ["word", "category", "severity", "pattern", "n"]
-
-    @F.pandas_udf(MATCH_TYPE)
-    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from collections import Counter
-
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for word in entries:
-            automaton.add_word(word, word)
-        automaton.make_automaton()
-        for texts in batches:
-            found = (Counter(w for _, w in automaton.iter(t)) if t else {} for t in texts)
-            yield pd.Series(
-                [[dict(zip(columns, (*entries[w], n), strict=True)) for w, n in hits.items()]
-                 for hits in found]
-            )
+def _counted(found: Column, dictionary: KeywordDictionary, mode: str) -> Column:
+    """`array<struct<word, category, severity, pattern, n>>` in the order of the dictionary."""
+    entries = _dictionary_literal(dictionary.word_category, mode)
 
-    return scan(lower_text)
+    def with_count(d: Column) -> Column:
+        n = F.size(F.filter(found, lambda w: w == d["word"]))
+        return F.struct(*[d[f].alias(f) for f in ("word", "category", "severity", "pattern")], n.alias("n"))
+
+    mine = F.filter(entries, lambda d: F.array_contains(found, d["word"]))
+    counted = F.transform(mine, with_count).cast(MATCH_TYPE)
+    return F.when(F.size(found) > 0, counted).otherwise(F.array().cast(MATCH_TYPE))
 
 
 def _surviving(found: Column, spans: Column) -> Column:
@@ -199,19 +188,21 @@ def with_matches(
     text: str = "text",
     mode: str = "word",
     tokens: str | None = None,
-    strategy: str = "auto",
 ) -> DataFrame:
     """Adds `kw_found` (all matches), `kw_matches` (after the whitelist, with context).
 
-    Also adds `_lower`, the lower-case text: its own column, so that it is computed once per
-    row and not once per word inside the lambdas.
+    Matches are `array<struct<word, category, severity, pattern, n>>` in the order of the
+    dictionary, n counting every occurrence; occurrences may overlap, those of one word
+    included. Also adds `_lower`, the lower-case text: its own column, so that it is computed
+    once per row and not once per word inside the lambdas.
     """
-    many = len(dictionary.word_category) > COLUMN_WORDS
-    scan = automaton_matches if strategy == "automaton" or (strategy == "auto" and many) else matches
     lower = F.col("_lower")
     subject = joined_tokens(F.col(tokens)) if mode == "token" else lower
-    out = df.withColumn("_lower", F.lower(F.coalesce(F.col(text), F.lit("")))).withColumn(
-        "kw_found", scan(lower, dictionary, mode)
+    out = (
+        df.withColumn("_lower", F.lower(F.coalesce(F.col(text), F.lit(""))))
+        .withColumn("_words", found_words(lower, list(dictionary.word_category)))
+        .withColumn("kw_found", _counted(F.col("_words"), dictionary, mode))
+        .drop("_words")
     )
     hit = F.size("kw_found") > 0
     if dictionary.whitelist:
@@ -242,7 +233,6 @@ def with_verdict(
     text: str = "text",
     mode: str = "word",
     tokens: str | None = None,
-    strategy: str = "auto",
     distinct: bool = False,
 ) -> DataFrame:
     """Adds `kw`, the full verdict on `text`.
@@ -251,7 +241,7 @@ def with_verdict(
     whitelist_hit, combo_label, combo_note, matches, suppressed). `distinct` counts a word
     once per text instead of once per occurrence.
     """
-    out = with_matches(df, dictionary, text, mode, tokens, strategy)
+    out = with_matches(df, dictionary, text, mode, tokens)
     # Occurrences after the last dictionary category that is not ranked count as "toxic".
     ranks = F.array(*[F.lit(c) for c in [*SEVERITY_ORDER, "toxic"]])
     worst = F.array_min(F.transform("kw_matches", lambda m: m["severity"]))
@@ -294,25 +284,31 @@ def with_verdict(
 def positions(lower_text: Column, word: str) -> Column:
     """1-based start of every occurrence, overlaps included.
 
-    The text is cut at a look-ahead before each occurrence; the running length of the
-    pieces gives the positions, so the text is read once.
+    The text is cut into characters once; every place is looked at once, so the work grows
+    with the text and not with the number of occurrences before a place.
     """
-    at = F.lit(f"(?={re.escape(word)})")
-    pieces = F.split(lower_text, at, -1)
-    ends = F.aggregate(
-        pieces,
-        F.array(F.lit(1)),
-        lambda s, piece: F.concat(s, F.array(F.element_at(s, -1) + F.length(piece))),
-    )
-    is_start = F.contains(F.substring(lower_text, 1, len(word)), F.lit(word))
-    later = F.slice(ends, F.lit(2), F.greatest(F.size(ends) - 2, F.lit(0)))
-    return F.concat(F.when(is_start, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")), later)
+    size = len(word)
+
+    def places(chars: Column) -> Column:
+        def here(i: Column) -> Column:
+            first = F.get(chars, i - 1) == F.lit(word[0])
+            return first & (F.array_join(F.slice(chars, i, F.lit(size)), "") == F.lit(word))
+
+        last = F.size(chars) - (size - 1)
+        every = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1))))
+        return F.filter(F.coalesce(every, F.array().cast("array<int>")), here)
+
+    # Characters as one value of a lambda, so that they are not cut anew per place.
+    return F.transform(F.array(F.split(lower_text, "")), places)[0]
 
 
 def occurrences(df: DataFrame, dictionary: KeywordDictionary, text: str = "text") -> DataFrame:
     """One row per text and matched word with category and number of occurrences."""
-    found = df.withColumn("_lower", F.lower(F.col(text))).withColumn(
-        "_found", matches(F.col("_lower"), dictionary)
+    words = found_words(F.col("_lower"), list(dictionary.word_category))
+    found = (
+        df.withColumn("_lower", F.lower(F.col(text)))
+        .withColumn("_words", words)
+        .withColumn("_found", _counted(F.col("_words"), dictionary, "word"))
     )
     rows = found.select(*df.columns, rows_of(F.col("_found")).alias("_m"))
     return rows.where(F.col("_m").isNotNull()).select(

@@ -391,6 +391,14 @@ def kw_match(v: Views) -> DataFrame:
     )
 
 
+@query
+def kw_match_many(v: Views) -> DataFrame:
+    """A dictionary of 2,000 words, on the same path."""
+    return keywords.occurrences(v.content, v.large_dictionary).select(
+        "content_id", "word", "category", "n"
+    )
+
+
 @query
 def kw_match_distinct(v: Views) -> DataFrame:
     judged = keywords.with_verdict(v.content, DICTIONARY, distinct=True)

@@ -405,6 +405,20 @@ FROM v_results
 _oracle("kw_match", """
 SELECT content_id, word, category, CAST(n AS INTEGER) AS n FROM v_hits
 """)
+_view("large_dictionary", """
+SELECT w, CASE (row_number() OVER (ORDER BY md5(w)) - 1) % 5 WHEN 0 THEN 'politics' WHEN 1 THEN 'violence'
+  WHEN 2 THEN 'porn' WHEN 3 THEN 'gambling' ELSE 'toxic' END AS category
+FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{5,8}')) AS w FROM documents)
+ORDER BY md5(w) LIMIT 2000
+""")
+# Words that can overlap themselves are counted place by place, the others by what removing them takes.
+_oracle("kw_match_many", """
+SELECT doc_id AS content_id, w AS word, category, CAST(CASE
+  WHEN len(list_filter(range(1, length(w)), lambda k: starts_with(w, substr(w, length(w) - k + 1, k)))) = 0
+  THEN (length(t) - length(replace(t, w, ''))) // length(w)
+  ELSE len(list_filter(range(1, length(t) + 1), lambda i: substr(t, i, length(w)) = w)) END AS INTEGER) AS n
+FROM (SELECT doc_id, lower(text) AS t FROM documents) JOIN v_large_dictionary ON contains(t, w)
+""")
 _oracle("kw_match_distinct", """
 SELECT content_id, words AS n_matches, category_count, CAST(CASE
     WHEN combo_label IS NOT NULL THEN 1 WHEN words = 0 THEN 0 WHEN standalone THEN 1

@@ -139,6 +139,16 @@ class Views:
             F.concat(F.lit("category_"), (F.col("image_id") % 3).cast("string")).alias("category"),
         )
 
+    @cached_property
+    def large_dictionary(self) -> KeywordDictionary:
+        """A dictionary of 2,000 words: those of the documents that come first by their MD5."""
+        words = self.table("documents").select(
+            F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,8}"), 0)).alias("w")
+        )
+        some = words.distinct().orderBy(F.md5(F.col("w").cast("binary"))).limit(2000).collect()
+        labels = ["politics", "violence", "porn", "gambling", "toxic"]
+        return KeywordDictionary({c: [r["w"] for r in some[i::5]] for i, c in enumerate(labels)}, (), ())
+
     @cached_property
     def vectors(self) -> DataFrame:
         """Every embedding with a decision, as semantic reuse entries."""
