@@ -411,13 +411,18 @@ SELECT w, CASE (row_number() OVER (ORDER BY md5(w)) - 1) % 5 WHEN 0 THEN 'politi
 FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{5,8}')) AS w FROM documents)
 ORDER BY md5(w) LIMIT 2000
 """)
-# Words that can overlap themselves are counted place by place, the others by what removing them takes.
+# A word of a-z lies within one run of such letters; runs are few, so their words are found once.
+_view("letter_runs", """
+SELECT doc_id, run, count(*) AS times
+FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS run FROM documents) GROUP BY doc_id, run
+""")
+_view("words_of_runs", """
+SELECT run, w, category, len(list_filter(range(1, length(run) + 1), lambda i: substr(run, i, length(w)) = w)) AS n
+FROM (SELECT DISTINCT run FROM v_letter_runs) JOIN v_large_dictionary ON contains(run, w)
+""")
 _oracle("kw_match_many", """
-SELECT doc_id AS content_id, w AS word, category, CAST(CASE
-  WHEN len(list_filter(range(1, length(w)), lambda k: starts_with(w, substr(w, length(w) - k + 1, k)))) = 0
-  THEN (length(t) - length(replace(t, w, ''))) // length(w)
-  ELSE len(list_filter(range(1, length(t) + 1), lambda i: substr(t, i, length(w)) = w)) END AS INTEGER) AS n
-FROM (SELECT doc_id, lower(text) AS t FROM documents) JOIN v_large_dictionary ON contains(t, w)
+SELECT doc_id AS content_id, w AS word, category, CAST(sum(times * n) AS INTEGER) AS n
+FROM v_letter_runs r JOIN v_words_of_runs x ON x.run = r.run GROUP BY doc_id, w, category
 """)
 _oracle("kw_match_distinct", """
 SELECT content_id, words AS n_matches, category_count, CAST(CASE
