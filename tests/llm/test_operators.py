@@ -1,6 +1,7 @@
 """The corpus operators against plain versions, on copies, nulls, empty and long texts."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -69,6 +70,19 @@ def test_lines_leave_other_columns(docs, rows):
     assert lines.removed_lines(docs.limit(0)).count() == 0
 
 
+def test_lines_of_a_very_long_document(spark, tmp_path):
+    """100,000 lines in one text, half of them near copies of the one before."""
+    draw = random.Random(4)
+    lines_of = []
+    for i in range(50_000):
+        words = [f"w{draw.randrange(100_000)}" for _ in range(10)]
+        lines_of += [" ".join(words), " ".join(words + [f"x{i}"])]
+    spark.createDataFrame([(1, "\n".join(lines_of)), (2, "other words")], "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    out = {r["doc_id"]: r["text"] for r in lines.without_repeated_lines(docs).collect()}
+    assert out == {1: "\n".join(lines_of[::2]), 2: "other words"}
+
+
 def test_rows_stay_the_same_when_splits_change(spark, docs, rows, tmp_path):
     """Between the reads of a table Spark may cut its files anew, as after losing executors."""
     for i in range(4):

@@ -19,7 +19,8 @@ pairs in which a line is still unsettled go through the full join.
 Defined cases: lines without words are never removed; a null text has no lines and stays null. A
 document may lose all its lines and stays, with an empty text. Repeated rows lose the lines of
 the later row. An empty table gives an empty result. Columns other than doc_id and text are kept
-by `without_repeated_lines` as they are, but for `n_chars`, which is counted again.
+by `without_repeated_lines` as they are, but for `n_chars`, which is counted again. A text of very
+many lines is one row, split once where its lines are needed again.
 
 Everything is DataFrame functions; `docs` is read several times and must be a stored Parquet table.
 """
@@ -158,16 +159,26 @@ def _verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame) -> DataFrame:
     texts = docs.select("row", text_of().alias("text"))
     bits = F.get(table, F.floor(flag / 63).cast("int"))
     texts = texts.where(F.call_function("shiftright", bits, (flag % 63).cast("int")).bitwiseAND(1) == 1)
-    line = F.element_at(F.split("text", "\n"), F.col("line") + 1)
-    sets = wanted.join(texts, "row").select("id", "doc", F.array_distinct(words_of(line)).alias("words"))
+    # One row per document, its text split once as a value of a lambda, whatever the lines wanted.
+    by_row = wanted.groupBy("row").agg(F.collect_list(F.struct("id", "doc", "line")).alias("wanted"))
+
+    def picked(lines: Column) -> Column:
+        def one(w: Column) -> Column:
+            return F.struct(w["id"].alias("id"), w["doc"].alias("doc"), w["line"].alias("line"), F.get(lines, w["line"]).alias("text"))
+
+        return F.transform("wanted", one)
+
+    here = F.transform(F.array(F.split("text", "\n")), picked)[0]
+    cut = by_row.join(texts, "row").select("row", F.explode(here).alias("w"))
+    order = F.struct(F.coalesce("w.doc", F.lit((1 << 63) - 1)).alias("doc"), "row", "w.line")
+    sets = cut.select("w.id", order.alias("at"), F.array_distinct(words_of(F.col("w.text"))).alias("words"))
     sets = materialise(sets, "wanted-sets")
-    x = sets.select(F.col("id").alias("x"), F.col("doc").alias("dx"), F.col("words").alias("wx"))
-    y = sets.select(F.col("id").alias("y"), F.col("doc").alias("dy"), F.col("words").alias("wy"))
+    x = sets.select(F.col("id").alias("x"), F.col("at").alias("ax"), F.col("words").alias("wx"))
+    y = sets.select(F.col("id").alias("y"), F.col("at").alias("ay"), F.col("words").alias("wy"))
     both = pairs.join(x, "x").join(y, "y")
     shared = F.size(F.array_intersect("wx", "wy"))
     alike = both.where(9 * shared >= 4 * (F.size("wx") + F.size("wy")))
-    dx, dy = (F.coalesce(F.col(c), F.lit((1 << 63) - 1)) for c in ("dx", "dy"))
-    later = F.when((dx < dy) | ((dx == dy) & (F.col("x") < F.col("y"))), F.col("y")).otherwise(F.col("x"))
+    later = F.when(F.col("ax") < F.col("ay"), F.col("y")).otherwise(F.col("x"))
     return alike.select(later.alias("id")).distinct()
 
 
@@ -177,7 +188,7 @@ def repeated_lines(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     with _short_plan_texts(docs.sparkSession):
         lines = materialise(line_sets(docs, rarity_ranks(docs)), "lines").where("n > 0")
     same = ["key", "n", "s0", "s1"]
-    order = F.struct(F.coalesce("doc", F.lit((1 << 63) - 1)).alias("doc"), "id")
+    order = F.struct(F.coalesce("doc", F.lit((1 << 63) - 1)).alias("doc"), "row", "line", "id")
     sets = lines.groupBy(*same).agg(
         F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("prefix").alias("prefix")
     )
@@ -249,8 +260,13 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     gone = _by_row(repeated_lines(docs)).withColumnRenamed("row", "of_row")
     rows = wrapped(docs, place_of(docs).alias("row"))
     joined = rows.join(gone, F.col("row") == F.col("of_row"), "left")
-    lines = F.split(F.col("doc.text"), "\n")
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("gone", i))
+
+    def kept_of(lines: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.size(lines) - 1)
+        return F.transform(F.array_except(numbers, F.col("gone")), lambda i: F.get(lines, i))
+
+    # The lines as a value of a lambda: split once, not once per line.
+    kept = F.transform(F.array(F.split(F.col("doc.text"), "\n")), kept_of)[0]
     text = F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(F.concat_ws("\n", kept))
     named = joined.select("doc", text.alias("text"))
     columns = [

@@ -73,7 +73,7 @@ def op9_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_prefix_interval_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("removed")
+    return repeats.without_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("removed", "spans")
 
 
 def op11_online_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
