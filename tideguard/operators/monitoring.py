@@ -68,6 +68,39 @@ def retrain_trigger(
     )
 
 
+def running_trigger(
+    daily: DataFrame, before: int = 0, threshold: int = RETRAIN_LABELS, reset: bool = False
+) -> DataFrame:
+    """Daily counts (day, new_labels) with the running count of labels, `before` of them already there.
+
+    With `reset` a day on which they suffice starts training and the count begins again after it;
+    `left_over` is the count after the day. The days of one call are gone through in order, in one
+    row; there are as many as days, whatever the labels.
+    """
+    days = F.array_sort(F.collect_list(F.struct("day", F.col("new_labels").cast("long").alias("n"))))
+    kind = "array<struct<day:string,n:bigint,total:bigint,left:bigint>>"
+
+    def step(done: Column, d: Column) -> Column:
+        so_far = F.coalesce(F.element_at(done, -1)["left"], F.lit(before).cast("long"))
+        total = so_far + d["n"]
+        left = F.when(F.lit(reset) & (total >= threshold), F.lit(0).cast("long")).otherwise(total)
+        row = F.struct(d["day"].alias("day"), d["n"].alias("n"), total.alias("total"), left.alias("left"))
+        return F.concat(done, F.array(row))
+
+    empty = F.array(F.struct(F.lit("").alias("day"), *[F.lit(0 if c != "left" else before).cast("long").alias(c) for c in ("n", "total", "left")])).cast(kind)
+    rows = daily.agg(F.aggregate(days, empty, step).alias("rows"))
+    rows = rows.select(F.explode(F.expr("slice(rows, 2, greatest(size(rows) - 1, 0))")).alias("r"))
+    total = F.col("r.total")
+    return rows.select(
+        F.col("r.day").alias("day"),
+        F.col("r.n").alias("new_labels"),
+        total.alias("labels_since_reset"),
+        (total >= threshold).alias("should_retrain"),
+        _progress(total, threshold).alias("message"),
+        F.col("r.left").alias("left_over"),
+    )
+
+
 def _progress(count: Column, threshold: int) -> Column:
     ready = F.format_string(
         f"%d labels accumulated (threshold={threshold}) — ready for fine-tuning", count

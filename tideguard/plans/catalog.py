@@ -1285,20 +1285,59 @@ def _content_stream(v: Views) -> DataFrame:
     )
 
 
-@query
-def stream_moderate(v: Views) -> DataFrame:
+def _moderated_stream(v: Views) -> str:
+    """The folder of a moderated stream's outputs."""
     path, checkpoint = scratch_path(v.spark, "moderated"), scratch_path(v.spark, "checkpoint")
-    stores = {"local": v.decisions, "shared": v.decisions}
+    # Prepared before the stream starts, so no micro-batch computes them again.
+    decisions = materialise(v.decisions, "stream-decisions")
+    signals = materialise(v.signals, "stream-signals")
+    stores = {"local": decisions, "shared": decisions}
 
     def judge(rows: DataFrame) -> DataFrame:
-        return batch.moderate(rows, v.signals, DICTIONARY, stores).select(*MODERATED)
+        return batch.moderate(rows, signals, DICTIONARY, stores, cut=materialise).select(*MODERATED)
 
     jobs.moderate_stream(_content_stream(v), judge, path, checkpoint)
-    return v.spark.read.parquet(path).select(*MODERATED)
+    return path
+
+
+@query
+def stream_moderate(v: Views) -> DataFrame:
+    return v.spark.read.parquet(f"{_moderated_stream(v)}/decisions").select(*MODERATED)
+
+
+@query
+def stream_reviews(v: Views) -> DataFrame:
+    """The review records that a moderated stream leaves."""
+    return v.spark.read.parquet(f"{_moderated_stream(v)}/reviews").select(
+        "review_id", "content_id", "status", "enqueued_at", "priority", "ai_decision",
+        "ai_confidence", "ai_reason",
+    )
+
+
+@query
+def stream_outcomes(v: Views) -> DataFrame:
+    """The events that a moderated stream leaves."""
+    return v.spark.read.parquet(f"{_moderated_stream(v)}/events").select(
+        "timestamp", "timestamp_iso", "content_id", "source", "decision", "confidence", "reason",
+        "tier", "source_label",
+    )
 
 
 @query
 def stream_ttl_cache(v: Views) -> DataFrame:
+    """Requests answered from a cache that lives in the stream; each brings an answer of its own."""
+    path, checkpoint = scratch_path(v.spark, "answers"), scratch_path(v.spark, "checkpoint")
+    own = v.decisions.select(F.col("entry_ord").alias("content_id"), *jobs.ANSWER)
+    answers = jobs.cached_answers(_content_stream(v).join(own, "content_id"), ttl=36000)
+    jobs.run(answers.writeStream.outputMode("append").format("parquet").option("path", path), checkpoint)
+    return v.spark.read.parquet(path).select(
+        F.col("content_id").cast("long").alias("content_id"), "key", "hit",
+        F.col("answered_by").cast("long").alias("answered_by"), *jobs.ANSWER,
+    )
+
+
+@query
+def stream_cache_lives(v: Views) -> DataFrame:
     path, checkpoint = scratch_path(v.spark, "cache"), scratch_path(v.spark, "checkpoint")
     lives = jobs.ttl_cache(_content_stream(v), ttl=36000)
     jobs.upsert_sink(lives, path, checkpoint, mode="complete")
@@ -1335,11 +1374,7 @@ def stream_events(v: Views) -> DataFrame:
 
 @query
 def stream_trigger(v: Views) -> DataFrame:
-    """Daily labels counted by a stream, then the running total against 200 labels."""
+    """The running total of labels against 200, kept by a stream."""
     path, checkpoint = scratch_path(v.spark, "labels"), scratch_path(v.spark, "checkpoint")
-    jobs.upsert_sink(jobs.daily_labels(_content_stream(v)), path, checkpoint)
-    daily = jobs.read_upserts(v.spark, path, ["day"])
-    days = daily.select("day", F.explode(F.sequence(F.lit(1), F.col("new_labels").cast("int"))))
-    return monitoring.retrain_trigger(days.select("day"), threshold=200)
-
-
+    jobs.trigger_stream(jobs.daily_counts(_content_stream(v)), path, checkpoint, threshold=200)
+    return v.spark.read.parquet(f"{path}/triggers").drop("left_over", "batch")

@@ -1409,7 +1409,32 @@ _moderated_views("s_", "v_st_gw", "sha256(text)")
 _oracle("stream_moderate", """
 SELECT content_id, decision, confidence, reason, tier, path, resolved_by, shared FROM v_s_moderated
 """)
+_oracle("stream_reviews", """
+SELECT substr(sha256(m.content_id || ':' || c.ts), 1, 16) AS review_id, m.content_id, 'pending' AS status,
+  c.ts AS enqueued_at, CAST(0.5 AS DOUBLE) AS priority, decision AS ai_decision,
+  confidence AS ai_confidence, reason AS ai_reason
+FROM v_s_moderated m JOIN v_content c ON c.content_id = m.content_id WHERE decision = 'review'
+""")
+_oracle("stream_outcomes", """
+SELECT c.ts AS timestamp, strftime(make_timestamp(c.ts * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS timestamp_iso,
+  m.content_id, c.source, decision, confidence, reason, tier, 'ai' AS source_label
+FROM v_s_moderated m JOIN v_content c ON c.content_id = m.content_id
+""")
+_view("cache_lives", """
+SELECT content_id, key, ts, sum(fresh) OVER (PARTITION BY key ORDER BY ts) AS life
+FROM (SELECT content_id, key, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY key ORDER BY ts) < 36000
+  THEN 0 ELSE 1 END AS fresh FROM v_requests)
+""")
+_view("cache_answers", """
+SELECT content_id, key, first_value(content_id) OVER (PARTITION BY key, life ORDER BY ts) AS answered_by
+FROM v_cache_lives
+""")
 _oracle("stream_ttl_cache", """
+SELECT a.content_id, a.key, a.answered_by <> a.content_id AS hit, a.answered_by, d.decision, d.confidence,
+  d.reason, d.tier
+FROM v_cache_answers a JOIN v_decisions d ON d.entry_ord = a.answered_by
+""")
+_oracle("stream_cache_lives", """
 SELECT key, min(ts) AS started, count(*) AS requests, count(*) - 1 AS hits
 FROM (SELECT key, ts, sum(fresh) OVER (PARTITION BY key ORDER BY ts) AS life
   FROM (SELECT key, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY key ORDER BY ts) < 36000

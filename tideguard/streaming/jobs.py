@@ -6,14 +6,18 @@ the folder for its sink and its checkpoint; all use `availableNow` unless told o
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tideguard.config import LOCAL_TTL_SECONDS
+from tideguard.config import LOCAL_TTL_SECONDS, RETRAIN_LABELS
 from tideguard.functions.text import content_key
+from tideguard.operators import action
+from tideguard.operators.monitoring import running_trigger
 
 
 def event_time(stream: DataFrame, lateness: str = "1 hour") -> DataFrame:
@@ -44,14 +48,30 @@ def moderate_stream(
     checkpoint: str,
     available_now: bool = True,
 ):
-    """Runs the batch operator on every micro-batch and writes its rows once.
+    """Moderates every micro-batch and writes what follows from it under `path`.
 
-    `judge` closes over the static stores. A micro-batch repeated after a failure replaces
-    its own folder, so no row appears twice.
+    `judge` is the batch operator over stores prepared once, before the stream starts; it returns
+    a decision per content_id. A micro-batch is judged once: its decisions are written with the
+    text, time and source of their rows, and the other outputs are read off those files: `reviews`
+    (rows decided "review") and `events` (one per row). Every output has a folder per micro-batch; one
+    repeated after a failure replaces its own folders, so no row appears twice.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        judge(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        def store(df: DataFrame, output: str) -> str:
+            folder = f"{path}/{output}/batch={number}"
+            df.write.mode("overwrite").parquet(folder)
+            return folder
+
+        kept = [c for c in ("content_id", "text", "ts", "source", "user_id") if c in batch.columns]
+        # The batch is read twice, so it is stored first: a source may not give it again cheaply.
+        rows = batch.sparkSession.read.schema(batch.schema).parquet(store(batch, "input"))
+        judged = judge(rows)
+        folder = store(judged.join(rows.select(*kept), "content_id"), "decisions")
+        decided = batch.sparkSession.read.parquet(folder).withColumn("cache_hit", F.col("path") == "hot")
+        outputs = action.outputs(decided, F.col("ts"))
+        store(outputs["reviews"], "reviews")
+        store(outputs["events"], "events")
 
     return run(stream.writeStream.foreachBatch(write), checkpoint, available_now)
 
@@ -81,6 +101,47 @@ def windowed_counts(
     )
 
 
+def trigger_stream(
+    labels: DataFrame,
+    path: str,
+    checkpoint: str,
+    threshold: int = RETRAIN_LABELS,
+    reset: bool = False,
+    available_now: bool = True,
+):
+    """The running count of labels since the last reset, one row per micro-batch and day.
+
+    A micro-batch is counted per day before anything else. The count so far is the state; it is
+    kept with the output of each micro-batch, so one repeated after a failure starts again from
+    what the one before it left. With `reset` the count starts anew where it suffices.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        daily = batch.groupBy("day").agg(F.sum("new_labels").alias("new_labels"))
+        before = 0
+        if number > 0:
+            left = spark.read.parquet(f"{path}/state/batch={number - 1}").first()
+            before = left["labels_since_reset"]
+        # A few rows per day, computed once for the output and the state.
+        folder = f"{path}/triggers/batch={number}"
+        running_trigger(daily, before, threshold, reset).write.mode("overwrite").parquet(folder)
+        done = spark.read.parquet(folder)
+        last = done.agg(F.max_by("left_over", "day").alias("n")).select(
+            F.coalesce("n", F.lit(before)).cast("long").alias("labels_since_reset")
+        )
+        last.coalesce(1).write.mode("overwrite").parquet(f"{path}/state/batch={number}")
+
+    return run(labels.writeStream.foreachBatch(write), checkpoint, available_now)
+
+
+def daily_counts(stream: DataFrame, count: str | None = None) -> DataFrame:
+    """(day, new_labels) of a stream of labels, or of counts in column `count`."""
+    n = F.lit(1) if count is None else F.col(count)
+    day = F.to_date(F.timestamp_seconds("ts")).cast("string").alias("day")
+    return stream.select(day, n.cast("long").alias("new_labels"))
+
+
 def daily_labels(stream: DataFrame) -> DataFrame:
     """Labels per day, the running input of the retrain trigger."""
     day = F.to_date(F.timestamp_seconds("ts")).cast("string")
@@ -133,3 +194,53 @@ def ttl_cache(
         "requests",
         (F.col("requests") - 1).alias("hits"),
     )
+
+
+ANSWER = ["decision", "confidence", "reason", "tier"]
+ANSWER_TYPE = "decision string, confidence double, reason string, tier string"
+
+
+def cached_answers(
+    stream: DataFrame, ttl: int = LOCAL_TTL_SECONDS, lateness: str = "1 hour"
+) -> DataFrame:
+    """Every request with its answer: the cached one, or its own, which is then cached.
+
+    `stream` has content_id, text, ts and the answer computed for the request (decision,
+    confidence, reason, tier). Per text the state holds one entry: the first answer and the time up
+    to which it is valid, `ttl` seconds after the last request that used it. Requests of a micro-batch
+    are taken in the order of their times. Rows later than the watermark are dropped; once the
+    watermark passes the end of an entry, its state is freed. Rows come out once (append mode).
+    """
+    keyed = event_time(stream, lateness).withColumn("key", content_key(F.col("text"))).select(
+        "key", F.col("content_id").cast("string").alias("content_id"), F.col("ts").cast("double").alias("ts"), *ANSWER, "at"
+    )
+
+    def answer(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        # One text's requests of one micro-batch.
+        rows = pd.concat(batches).sort_values(["ts", "content_id"])
+        entry = state.get if state.exists else None
+        out = []
+        for r in rows.itertuples(index=False):
+            hit = entry is not None and entry[0] <= r.ts < entry[1]
+            if hit:
+                entry = (entry[0], max(entry[1], r.ts + ttl), *entry[2:])
+            elif entry is None or r.ts >= entry[1]:
+                entry = (r.ts, r.ts + ttl, r.content_id, *(getattr(r, c) for c in ANSWER))
+            used = entry if hit else (None, None, r.content_id, *(getattr(r, c) for c in ANSWER))
+            out.append((key[0], r.content_id, r.ts, hit, *used[2:]))
+        state.update(entry)
+        # A row may be as late as the watermark allows, but no entry ends before it.
+        ends = int(entry[1] * 1000)
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["key", "content_id", "ts", "hit", "answered_by", *ANSWER])
+
+    return keyed.groupBy("key").applyInPandasWithState(
+        answer,
+        f"key string, content_id string, ts double, hit boolean, answered_by string, {ANSWER_TYPE}",
+        f"started double, until double, answered_by string, {ANSWER_TYPE}",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )
