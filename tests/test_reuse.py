@@ -268,3 +268,16 @@ def test_few_hashes_meet_by_chance(spark):
     bands = hashes.plan_bands(56, 10, 200, 2000)
     assert hashes.meetings(left, right, bands).count() < 0.01 * 2000 * 200
     assert sum(b.share for b in hashes.plan_bands(64, 10, 10**6, 10**8)) < 0.002
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_distances_of_all_pairs_are_counted_by_blocks(spark, block):
+    draw = random.Random(2)
+    values = [signed(draw.getrandbits(64)) for _ in range(90)] + [5, 5]
+    want = {}
+    for i, x in enumerate(values):
+        for y in values[i + 1 :]:
+            d = ((x ^ y) & ((1 << 64) - 1)).bit_count()
+            want[d] = want.get(d, 0) + 1
+    df = spark.createDataFrame(list(enumerate(values)), "_ref_id long, reference long")
+    assert {r["d"]: r["n"] for r in hashes.pair_distances(df, block).collect()} == want

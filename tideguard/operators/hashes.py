@@ -6,16 +6,20 @@ from dataclasses import dataclass
 from itertools import combinations
 from math import comb
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideguard.config import HAMMING_THRESHOLD, HASH_SWEEP_THRESHOLDS
 from tideguard.functions.vectors import hamming
 from tideguard.operators.skew import rows_of, salted_join
+from tideguard.session import materialise
 
 # What a plan may put out: rows per hash, and its share of all pairs if any plan keeps to it.
 MOST_ROWS = 1 << 13
 CANDIDATE_SHARE = 0.0075
+# Hashes of a block of an all-pairs summary.
+BLOCK_ROWS = 4096
 
 
 @dataclass(frozen=True)
@@ -223,42 +227,76 @@ def references(images: DataFrame, group: str = "label", order: str = "image_id")
     )
 
 
-def _all_references(originals: DataFrame, group: str) -> Column:
-    """One array of every original; as long as there are groups (classes), not images."""
-    return originals.agg(
-        F.collect_list(F.struct(F.col(group).alias("g"), "_ref_id", F.col("reference").alias("h")))
-    ).scalar()
+def pair_distances(hashes: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(d, n): how many pairs of the rows of `hashes(reference)` are d bits apart, each pair once.
 
+    Rows are dealt into blocks and every pair of blocks is one group, so a group has two blocks
+    whatever the number of rows; it puts out counts per distance and no pairs.
+    """
+    blocks = max(1, -(-hashes.count() // block_rows))
+    at = F.pmod(F.xxhash64("_ref_id"), F.lit(blocks)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    dealt = hashes.select("reference", at.alias("at"), F.explode(every).alias("with"))
+    # A block meets each block once; within a group, `first` tells the two blocks apart.
+    meets = dealt.select(
+        "reference", F.least("at", "with").alias("a"), F.greatest("at", "with").alias("b"),
+        (F.col("at") <= F.col("with")).alias("first"),
+    )
 
-def distance_summary(
-    images: DataFrame, group: str = "label", order: str = "image_id"
+    def count(key, group: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        left = group.loc[group["first"], "reference"].to_numpy(dtype="int64")
+        counts = np.zeros(65, dtype="int64")
+        if key[0] == key[1]:
+            for i in range(len(left) - 1):
+                counts += np.bincount(np.bitwise_count((left[i + 1 :] ^ left[i]).view("uint64")), minlength=65)
+        else:
+            right = group.loc[~group["first"], "reference"].to_numpy(dtype="int64")
+            for h in left:
+                counts += np.bincount(np.bitwise_count((right ^ h).view("uint64")), minlength=65)
+        d = np.flatnonzero(counts)
+        return pd.DataFrame({"d": d.astype("int32"), "n": counts[d]})
+
+    found = meets.groupBy("a", "b").applyInPandas(count, "d int, n long")
+    return found.groupBy("d").agg(F.sum("n").alias("n"))
+
+
+def distance_counts(
+    images: DataFrame, group: str = "label", order: str = "image_id", block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Count, min, max and mean distance of similar and of different pairs.
+    """(pairs, d, n): how many similar and how many different pairs are d bits apart.
 
     Similar: an image and the original of its group. Different: two originals. Images are
     never paired with each other, so the work is linear in them.
     """
-    originals = references(images, group, order)
+    originals = materialise(references(images, group, order), "originals")
     hashed = images.where(F.col("image_hash").isNotNull())
     variants = salted_join(hashed, originals, [group], F.col(order), "inner").where(
         F.col(order) != F.col("_ref_id")
     )
-    similar = variants.select(
-        F.lit("similar").alias("pairs"), hamming(F.col("image_hash"), F.col("reference")).alias("d")
+    near = variants.groupBy(hamming(F.col("image_hash"), F.col("reference")).alias("d")).agg(
+        F.count(F.lit(1)).alias("n")
     )
-    later = F.filter("_refs", lambda r: r["g"] > F.col(group))
-    apart = originals.withColumn("_refs", _all_references(originals, group)).select(
-        F.lit("different").alias("pairs"),
-        F.explode(F.transform(later, lambda r: hamming(F.col("reference"), r["h"]))).alias("d"),
+    # A null group has an original too, but is no group to tell from the others.
+    apart = pair_distances(originals.where(F.col(group).isNotNull()), block_rows)
+    return near.select(F.lit("similar").alias("pairs"), "d", "n").unionByName(
+        apart.select(F.lit("different").alias("pairs"), "d", "n")
     )
+
+
+def distance_summary(
+    images: DataFrame, group: str = "label", order: str = "image_id"
+) -> DataFrame:
+    """Count, min, max and mean distance of similar and of different pairs (`distance_counts`)."""
     return (
-        similar.unionByName(apart)
+        distance_counts(images, group, order)
         .groupBy("pairs")
         .agg(
-            F.count(F.lit(1)).alias("n"),
+            F.sum("n").alias("n"),
             F.min("d").alias("min_distance"),
             F.max("d").alias("max_distance"),
-            F.round(F.avg("d"), 4).alias("avg_distance"),
+            F.round(F.sum(F.col("d") * F.col("n")) / F.sum("n"), 4).alias("avg_distance"),
         )
     )
 
@@ -272,56 +310,27 @@ def threshold_sweep(
     """Recovery and false-match rate per Hamming threshold.
 
     Recovery: images, the originals aside, within the threshold of their own original. False
-    match: pairs of two originals within it, as in `distance_summary`. Distances to the originals
-    are taken inside the row and summed up, no pairs are produced.
+    match: pairs of two originals within it. Both are sums over `distance_counts`.
     """
     thresholds = thresholds or HASH_SWEEP_THRESHOLDS
-    originals = references(images, group, order)
-    rows = images.where(F.col("image_hash").isNotNull()).select(
-        group, order, "image_hash", _all_references(originals, group).alias("_refs")
-    )
-    rows = rows.withColumn("_is_first", F.exists("_refs", lambda r: r["_ref_id"] == F.col(order)))
-    distances = F.transform(
-        F.filter(
-            "_refs",
-            lambda r: (r["_ref_id"] != F.col(order))
-            & ((r["g"] == F.col(group)) | (F.col("_is_first") & (r["g"] > F.col(group)))),
-        ),
-        lambda r: F.struct(
-            (r["g"] == F.col(group)).alias("own"), hamming(F.col("image_hash"), r["h"]).alias("d")
-        ),
-    )
-    rows = rows.select(distances.alias("_d"))
-
-    def pairs(own: bool, within: int | None) -> Column:
-        def wanted(x: Column) -> Column:
-            same = x["own"] if own else ~x["own"]
-            return same if within is None else same & (x["d"] <= within)
-
-        return F.sum(F.size(F.filter("_d", wanted)))
-
-    sums = rows.agg(
-        pairs(True, None).alias("own"),
-        pairs(False, None).alias("other"),
-        *[pairs(True, t).alias(f"own_{t}") for t in thresholds],
-        *[pairs(False, t).alias(f"other_{t}") for t in thresholds],
-    )
-    lines = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(t).alias("threshold"),
-                    F.col(f"own_{t}").alias("recovered"),
-                    F.col(f"other_{t}").alias("false_matches"),
-                )
-                for t in thresholds
-            ]
-        )
+    counts = distance_counts(images, group, order)
+
+    def pairs(kind: str, within: Column) -> Column:
+        return F.coalesce(F.sum(F.when((F.col("pairs") == kind) & within, F.col("n"))), F.lit(0))
+
+    every = F.array(*[F.lit(t) for t in thresholds])
+    rows = counts.select("*", F.explode(every).alias("threshold"))
+    inside = F.col("d") <= F.col("threshold")
+    sums = rows.groupBy("threshold").agg(
+        pairs("similar", F.lit(True)).alias("own"),
+        pairs("different", F.lit(True)).alias("other"),
+        pairs("similar", inside).alias("recovered"),
+        pairs("different", inside).alias("false_matches"),
     )
-    return sums.select("own", "other", lines.alias("_l")).select(
-        "_l.*",
-        F.round(F.col("_l.recovered") / F.col("own"), 4).alias("recovery_rate"),
-        F.round(F.col("_l.false_matches") / F.col("other"), 4).alias("false_match_rate"),
+    return sums.select(
+        "threshold", "recovered", "false_matches",
+        F.round(F.col("recovered") / F.nullif(F.col("own"), F.lit(0)), 4).alias("recovery_rate"),
+        F.round(F.col("false_matches") / F.nullif(F.col("other"), F.lit(0)), 4).alias("false_match_rate"),
     )
 
 
