@@ -1063,32 +1063,34 @@ def health_status(v: Views) -> DataFrame:
     )
 
 
+# The day of the run, after all days of the history.
+RUN_DATE = "2024-03-01"
+
+
+def _feedback_run(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return feedback.run(_events(v), v.daily_history, DICTIONARY, RUN_DATE)
+
+
 @query
 def feedback_run(v: Views) -> DataFrame:
     """The whole offline run as one list of figures."""
-    events = materialise(_events(v), "events")
-    summary = feedback.labelled_summary(events).groupBy("sample").agg(F.sum("n").alias("n"))
+    return _feedback_run(v)[0]
 
-    def figure(df: DataFrame, name: str, value: str) -> DataFrame:
-        return df.select(F.lit(name).alias("figure"), F.expr(value).cast("double").alias("value"))
 
-    report = feedback.report(events)
-    parts = [
-        summary.select(F.concat(F.lit("samples_"), "sample").alias("figure"), F.col("n").cast("double").alias("value")),
-        figure(feedback.discover_keywords(events, DICTIONARY).groupBy().count(), "terms", "count"),
-        figure(feedback.false_positives(events).groupBy().count(), "false_positives", "count"),
-        figure(feedback.hard_cases(events).groupBy().count(), "hard_cases", "count"),
-        figure(report, "human_review_rate", "human_review_rate"),
-        figure(report, "human_override_rate", "human_override_rate"),
-        figure(report, "bert_llm_agreement", "bert_llm_agreement"),
-        figure(_human_labels(v).groupBy().count(), "new_labels", "count"),
-        figure(monitoring.calibrate(report), "bert_high", "bert_high"),
-        figure(monitoring.drift(v.daily_history), "drop", "drop"),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+@query
+def feedback_history(v: Views) -> DataFrame:
+    """The accuracy records that a run leaves, its own included."""
+    return _feedback_run(v)[1]
+
+
+@query
+def labelled_recent(v: Views) -> DataFrame:
+    """Samples of the last half day, read off a log with a folder per day."""
+    path = scratch_path(v.spark, "log")
+    writers.append_events(v.mod_events, path)
+    now = F.lit(START + 86400)
+    log = v.spark.read.parquet(path)
+    return feedback.labelled_summary(feedback.since(log, 1, now).where(F.col("ts") < now))
 
 
 @query

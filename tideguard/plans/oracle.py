@@ -1157,8 +1157,25 @@ SELECT n AS labels_since_reset, d.drift, d.drop, c.bert_high, c.grey_high,
 FROM (SELECT count(*) AS n FROM v_human), v_drift d, v_calibrated c
 """)
 _oracle("health_status", "SELECT * FROM v_status")
+_view("run_history", """
+SELECT * FROM (SELECT date, accuracy, sample_size FROM v_history
+  UNION ALL SELECT '2024-03-01', round(1 - human_override_rate, 4), total_events FROM v_rates)
+ORDER BY date DESC LIMIT 60
+""")
+_view("run_drift", """
+SELECT round(b - r, 4) AS drop, b - r > 0.05 AS drift
+FROM (SELECT avg(accuracy) FILTER (k <= 7) AS r, avg(accuracy) FILTER (k > 7) AS b
+  FROM (SELECT *, row_number() OVER (ORDER BY date DESC) AS k FROM v_run_history))
+""")
+_view("bins", """
+SELECT CASE WHEN confidence < 0.3 THEN '0.0-0.3' WHEN confidence < 0.7 THEN '0.3-0.7'
+  WHEN confidence < 0.9 THEN '0.7-0.9' ELSE '0.9-1.0' END AS bin FROM v_events WHERE confidence <> 0
+""")
 _oracle("feedback_run", """
 SELECT 'samples_' || sample AS figure, CAST(count(*) AS DOUBLE) AS value FROM v_samples GROUP BY 1
+UNION ALL SELECT 'tier_' || tier, count(*) FROM v_events GROUP BY 1
+UNION ALL SELECT 'decision_' || decision, count(*) FROM v_events GROUP BY 1
+UNION ALL SELECT 'confidence_' || bin, count(*) FROM v_bins GROUP BY 1
 UNION ALL SELECT 'terms', least(count(*), 50) FROM v_terms
 UNION ALL SELECT 'false_positives', count(*) FROM v_events
   WHERE ai_decision = 'block' AND human_decision = 'pass'
@@ -1167,8 +1184,16 @@ UNION ALL SELECT 'human_review_rate', human_review_rate FROM v_rates
 UNION ALL SELECT 'human_override_rate', human_override_rate FROM v_rates
 UNION ALL SELECT 'bert_llm_agreement', bert_llm_agreement FROM v_agreement
 UNION ALL SELECT 'new_labels', count(*) FROM v_human
+UNION ALL SELECT 'should_retrain', CASE WHEN count(*) >= 5000 THEN 1 ELSE 0 END FROM v_human
+UNION ALL SELECT 'accuracy', round(1 - human_override_rate, 4) FROM v_rates
 UNION ALL SELECT 'bert_high', bert_high FROM v_calibrated
-UNION ALL SELECT 'drop', drop FROM v_drift
+UNION ALL SELECT 'drop', drop FROM v_run_drift
+UNION ALL SELECT 'drift', CASE WHEN drift THEN 1 ELSE 0 END FROM v_run_drift
+""")
+_oracle("feedback_history", "SELECT date, accuracy, sample_size FROM v_run_history")
+_oracle("labelled_recent", f"""
+SELECT sample, CASE WHEN sample <> 'skipped' THEN label END AS label, count(*) AS n
+FROM v_samples WHERE ts >= {START} AND ts < {START} + 86400 GROUP BY 1, 2
 """)
 _oracle("assets_write", """
 SELECT asset, '20240101_000000' AS run, n FROM (
