@@ -217,6 +217,16 @@ def test_patterns_are_the_two_words_before_whatever_they_hold(spark, tmp_path):
 # --- 4 ----------------------------------------------------------------------------------
 
 
+def test_ids_are_those_of_tokenizers():
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    slow, ours = Tokenizer.from_file(path("byte_bpe_50k.json")), packing.tokenizer(ranks_file())
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>  b ", "<|endoftext", "x  <|endoftext|>\n\n y", ""]
+    for text in texts:
+        assert ours.encode(text) == slow.encode(text, add_special_tokens=False).ids
+
+
 def test_pieces_round_trip(docs, rows):
     from public_tokenizers import path
     from tokenizers import Tokenizer
