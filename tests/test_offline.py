@@ -1,5 +1,6 @@
 """Feedback, monitoring, evaluation, classifier and streaming on small frames."""
 
+import os
 from types import SimpleNamespace
 
 import pandas as pd
@@ -7,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideguard.config import KeywordDictionary
-from tideguard.operators import classifier, evaluation, feedback, funnel, monitoring
+from tideguard.operators import classifier, evaluation, feedback, funnel, monitoring, scorers
 from tideguard.plans import catalog
 from tideguard.session import scratch_path
+from tideguard.sources import readers, writers
 from tideguard.streaming import jobs
 
 
@@ -103,7 +105,7 @@ def test_hard_cases_are_null_safe(spark):
         (4, 0.9, "pass", "block", "pass"),
     ]
     events = spark.createDataFrame(
-        rows, "content_id long, confidence double, decision string, ai_decision string, human_decision string"
+        rows, "content_id long, confidence double, decision string, ai_decision string, human_decision string, ts long"
     ).withColumn("text", F.lit("t"))
     got = {r["content_id"]: (r["difficulty"], r["label"]) for r in feedback.hard_cases(events).collect()}
     assert got == {1: ("grey_zone", "unsafe"), 2: ("ai_wrong", "safe"), 4: ("ai_wrong", "safe")}
@@ -191,3 +193,77 @@ def test_ttl_ends_an_entry_on_the_second(spark, tmp_path):
     jobs.upsert_sink(jobs.ttl_cache(stream, ttl=3600), out, scratch_path(spark, "cp"), mode="complete")
     lives = jobs.read_upserts(spark, out, ["key", "started"]).collect()
     assert sorted((r["started"], r["hits"]) for r in lives) == [(0, 1), (7199, 0)]
+
+
+def test_newest_run_is_found_by_its_folder(spark, tmp_path):
+    root = str(tmp_path / "runs")
+    for run, n in (("20240101_000000", 3), ("20240301_000000", 2), ("20240201_000000", 5)):
+        writers.write_assets({"a": spark.range(n)}, root, run)
+    found = readers.latest_run(spark, f"{root}/a")
+    assert found.count() == 2 and {r["run"] for r in found.collect()} == {"20240301_000000"}
+    # No other run's files are part of the plan.
+    assert all("run=20240301_000000" in f for f in found.inputFiles())
+    (tmp_path / "none").mkdir()
+    with pytest.raises(FileNotFoundError):
+        readers.latest_run(spark, str(tmp_path / "none"))
+
+
+def test_a_scorer_is_loaded_once_per_worker(spark, tmp_path):
+    log = str(tmp_path / "loads")
+
+    def load():
+        import os
+        import uuid
+
+        os.makedirs(log, exist_ok=True)
+        open(f"{log}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        return lambda texts: texts.str.len().astype("int64").to_frame("size")
+
+    scorers.register("size", load, "size long")
+    df = spark.range(4000).select(
+        F.col("id").alias("content_id"), F.concat(F.lit("t"), F.col("id") % 100).alias("text")
+    ).withColumn("key", F.col("text")).unionByName(spark.createDataFrame([(-1, " ", "k")], "content_id long, text string, key string"))
+    found = scorers.with_scores(df.repartition(16), "size")
+    rows = found.collect()
+    assert len(rows) == 4001 and all(r["size"] == (None if r["key"] == "k" else len(r["text"])) for r in rows)
+    pids = [f.split("-")[0] for f in os.listdir(log)]
+    assert len(pids) == len(set(pids))
+
+
+def test_run_counts_equal_the_single_reports(spark, tmp_path):
+    rows = [
+        (i, f"c{i}", "t" if i % 7 else "", ["pass", "block", "review", None][i % 4], (i % 11) / 10, ["L1", "L2", None][i % 3],
+         "says 'bad stuff'", "human" if i % 5 == 0 else "ai", "L3_llm" if i % 2 else "L2_bert", "unsafe",
+         "unsafe" if i % 3 else "safe", ["block", "review", "pass"][i % 3] if i % 5 == 0 else None,
+         ["pass", "block"][i % 2] if i % 5 == 0 else None, i)
+        for i in range(300)
+    ]
+    names = (
+        "event_id long, content_id string, text string, decision string, confidence double, tier string, reason string, "
+        "source_label string, text_tier string, text_label string, bert_preliminary string, ai_decision string, human_decision string, ts long"
+    )
+    path = str(tmp_path / "events")
+    spark.createDataFrame(rows, names).write.parquet(path)
+    events = spark.read.parquet(path)
+    history = spark.createDataFrame([(f"2024-01-{d:02d}", 0.9, 10) for d in range(1, 11)], "date string, accuracy double, sample_size long")
+    figures, recorded, terms = feedback.run(events, history, KeywordDictionary({"x": ["word"]}), "2024-02-01")
+    got = {r["figure"]: r["value"] for r in figures.collect()}
+    rates = feedback.report(events).first()
+    for name in ("human_review_rate", "human_override_rate", "bert_llm_agreement"):
+        assert got[name] == rates[name]
+    assert got["false_positives"] == events.where("ai_decision = 'block' and human_decision = 'pass'").count()
+    assert got["hard_cases"] == feedback.hard_cases(events).count()
+    for r in feedback.labelled_summary(events).groupBy("sample").agg(F.sum("n").alias("n")).collect():
+        assert got[f"samples_{r['sample']}"] == r["n"]
+    for r in feedback.distributions(events).collect():
+        assert got[f"{r['dimension']}_{r['value']}"] == r["n"]
+    assert {r["bin"]: float(r["n"]) for r in feedback.confidence_bins(events).collect()} == {
+        b: got.get(f"confidence_{b}", 0.0) for b in feedback.CONFIDENCE_BINS
+    }
+    assert got["terms"] == terms.count() == 1
+    # The record of the run is part of the drift it reports.
+    last = recorded.where("date = '2024-02-01'").first()
+    assert last["accuracy"] == got["accuracy"] == round(1 - rates["human_override_rate"], 4)
+    assert got["drop"] == round(0.9 - (0.9 * 6 + last["accuracy"]) / 7, 4)
+    plan = feedback.run_cells(events)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1

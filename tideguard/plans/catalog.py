@@ -26,6 +26,7 @@ from tideguard.operators import (
     monitoring,
     reuse,
     review,
+    scorers,
     semantic,
 )
 from tideguard.operators.skew import rows_of
@@ -163,12 +164,16 @@ def train_load(v: Views) -> DataFrame:
 
 @query
 def hash_db_load(v: Views) -> DataFrame:
-    loads = v.images.select(
-        F.lower(F.hex(F.col("image_hash").bitwiseAND(255))).alias("hash"),
+    """Whole hashes; every third image is loaded again, under another category."""
+    first = v.images.select(
+        F.lower(F.hex("image_hash")).alias("hash"),
         F.col("image_id").alias("load_ord"),
         F.concat(F.lit("category_"), F.col("label").cast("string")).alias("category"),
     )
-    return readers.load_known_hashes(loads)
+    again = first.where(F.col("load_ord") % 3 == 0).select(
+        "hash", (F.col("load_ord") + 10_000_000).alias("load_ord"), F.lit("again").alias("category")
+    )
+    return readers.load_known_hashes(first.unionByName(again))
 
 
 @query
@@ -290,7 +295,7 @@ def softmax_verdict(v: Views) -> DataFrame:
     scored = v.table("embeddings").select(
         "vec_id",
         S.softmax_verdict(
-            F.transform(F.slice("embedding", 1, 6), lambda x: x.cast("double") * 20)
+            F.transform("embedding", lambda x: x.cast("double") * 20)
         ).alias("_v"),
     )
     return scored.select("vec_id", "_v.*")
@@ -632,6 +637,13 @@ def cosine(v: Views) -> DataFrame:
     )
 
 
+@query
+def score_named(v: Views) -> DataFrame:
+    """A scorer by name: the share of capitals, once per distinct text."""
+    keyed = v.content.select("content_id", "text", X.content_key(F.col("text")).alias("key"))
+    return scorers.with_scores(keyed, "shouting").select("content_id", "key", "n_letters", "share")
+
+
 @query
 def dhash(v: Views) -> DataFrame:
     return v.images.select(

@@ -280,8 +280,10 @@ SELECT content_id, CASE WHEN content_id % 6 IN (3, 4) THEN 1 ELSE 0 END AS label
 FROM v_content WHERE content_id % 50 <> 7
 """)
 _oracle("hash_db_load", """
-SELECT hash, max(image_id) AS load_ord, 'category_' || arg_max(label, image_id) AS category
-FROM (SELECT *, lower(to_hex(image_hash & 255)) AS hash FROM v_images) GROUP BY hash
+SELECT hash, max(load_ord) AS load_ord, arg_max(category, load_ord) AS category
+FROM (SELECT lower(to_hex(image_hash)) AS hash, image_id AS load_ord, 'category_' || label AS category FROM v_images
+  UNION ALL SELECT lower(to_hex(image_hash)), image_id + 10000000, 'again' FROM v_images WHERE image_id % 3 = 0)
+GROUP BY hash
 """)
 _oracle("result_table", """
 SELECT content_id, substr(text, 1, 300) AS text, expected, decision,
@@ -357,7 +359,7 @@ _oracle("softmax_verdict", """
 SELECT vec_id, CASE WHEN top > 0.5 THEN 'unsafe' ELSE 'safe' END AS label,
   round(CASE WHEN top > 0.5 THEN top ELSE 1 - top END, 4) AS confidence
 FROM (SELECT vec_id, 1 / list_sum(list_transform(l, lambda x: exp(x - list_max(l)))) AS top
-  FROM (SELECT vec_id, list_transform(embedding[1:6], lambda x: CAST(x AS DOUBLE) * 20) AS l
+  FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 20) AS l
     FROM embeddings))
 """)
 _oracle("nsfw_verdict", """
@@ -643,6 +645,12 @@ SELECT a.vec_id, round(list_cosine_similarity(a.e, b.e), 6) AS cosine,
   round((1 + list_cosine_similarity(a.e, b.e)) / 2, 6) AS similarity, CAST(1 AS DOUBLE) AS norm
 FROM v_vec a JOIN v_vec b ON b.vec_id = a.vec_id + 1
 """)
+_oracle("score_named", """
+SELECT content_id, sha256(text) AS key, CASE WHEN regexp_matches(text, '\\S') THEN length(l) END AS n_letters,
+  CASE WHEN regexp_matches(text, '\\S') THEN round(length(b) / CAST(greatest(length(l), 1) AS DOUBLE), 6) END AS share
+FROM (SELECT content_id, text, regexp_replace(text, '[^A-Za-z]', '', 'g') AS l,
+  regexp_replace(text, '[^A-Z]', '', 'g') AS b FROM v_content)
+""")
 _oracle("dhash", """
 SELECT image_id, image_hash, lpad(lower(to_hex(image_hash)), 14, '0') AS hex FROM v_images
 """)

@@ -252,12 +252,25 @@ def expected_from_prompt_label(label: Column) -> Column:
     return F.lower(label)
 
 
+def newest_run(spark: SparkSession, root: str) -> str:
+    """The name of the last folder run=<time stamp> under `root`, from one listing of it.
+
+    Neither the files of the runs are listed nor any of them read, however many runs there are.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(folder) if s.isDirectory()]
+    runs = [n.removeprefix("run=") for n in names if n.startswith("run=")]
+    if not runs:
+        raise FileNotFoundError(f"no run under {root}")
+    return max(runs)
+
+
 def latest_run(spark: SparkSession, root: str) -> DataFrame:
-    """The data set of the newest run under `root` (folders run=<time stamp>)."""
+    """The data set of the newest run under `root` (folders run=<time stamp>), with its `run`."""
+    run = newest_run(spark, root)
     # A run stamp is a name, not a number: keep it as text.
-    all_runs = spark.read.option("recursiveFileLookup", "false").parquet(root)
-    newest = all_runs.agg(F.max(F.col("run").cast("string")).alias("run"))
-    return all_runs.where(F.col("run").cast("string") == newest.scalar())
+    return spark.read.parquet(f"{root}/run={run}").withColumn("run", F.lit(run))
 
 
 def training_rows(samples: DataFrame) -> DataFrame:
