@@ -1,6 +1,7 @@
 import pytest
 
 from tideguard.config import DEFAULT_DECISION_PARAMETERS, DecisionConfig, merge_parameters
+from tideguard.operators import decision
 from tideguard.operators.decision import config_table, with_decision
 
 # name, cached, keyword label, keyword confidence, text (label, conf), image (label, conf), expected
@@ -99,3 +100,23 @@ def test_tenant_maps_decide_like_the_config_given_directly(spark):
     assert {r["agg_label"] for r in got.collect()} != {
         r["agg_label"] for r in with_decision(df, base, placeholder_image=False).collect()
     }
+
+
+def test_third_signal_weighs_in(spark):
+    cfg = DecisionConfig()
+    rows = [
+        ("toxic", 0.8, "nsfw", 0.9, "violence", 0.7), ("safe", 0.9, None, None, "toxic", 0.6),
+        (None, None, None, None, "toxic", 1.0), (None, None, "normal", 0.9, "odd", 0.4), (None,) * 6,
+    ]
+    kinds = "text_label string, text_confidence double, image_label string, image_confidence double, multimodal_label string, multimodal_confidence double"
+    got = decision.aggregate_signals(spark.createDataFrame(rows, kinds), cfg, placeholder_image=False).collect()
+    severity, weights = cfg["label_severity"], cfg["agent_weights"]
+    for r, row in zip(got, rows, strict=True):
+        seen = [
+            (weights[name], severity.get(label, unknown) * conf, conf)
+            for name, unknown, label, conf in zip(("text", "image", "multimodal"), (0.5, 0.0, 0.5), row[::2], row[1::2], strict=True)
+            if label is not None
+        ]
+        total = sum(w for w, _, _ in seen) or 1.0
+        assert r["score"] == pytest.approx(sum(w * s for w, s, _ in seen) / total)
+        assert r["agg_confidence"] == min([1.0, *[c for _, _, c in seen]])

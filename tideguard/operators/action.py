@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideguard.functions.text import content_key, filled
+from tideguard.functions.traces import joined, trace_step
 from tideguard.operators.review import enqueue
 
 
@@ -56,6 +57,15 @@ def outputs(decided: DataFrame, at: Column) -> dict[str, DataFrame]:
     }
 
 
+def action_traces(shown: Column) -> Column:
+    """Trace steps of what follows a decision that was computed."""
+    outcome = F.struct("decision")
+    queued = F.when(
+        F.col("decision") == "review", trace_step("action", "human_review_queue", "review queue", shown, outcome)
+    )
+    return joined(F.array_compact(F.array(queued, trace_step("action", "execute", "none", shown, outcome))))
+
+
 def split_outcomes(decided: DataFrame) -> dict[str, DataFrame]:
     """Rows by decision, as the three handlers of a caller take them."""
     return {d: decided.where(F.col("decision") == d) for d in ("block", "review", "pass")}

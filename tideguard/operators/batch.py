@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from tideguard.config import DecisionConfig, KeywordDictionary
 from tideguard.functions.text import content_key
-from tideguard.functions.traces import joined, trace_step
+from tideguard.functions.traces import joined, no_steps, trace_step
 from tideguard.operators import gateway
-from tideguard.operators.decision import with_decision
-from tideguard.operators.funnel import with_text_signal
+from tideguard.operators.action import action_traces
+from tideguard.operators.decision import decision_traces, with_decision
+from tideguard.operators.funnel import funnel_traces, with_text_signal
 from tideguard.operators.reuse import first_of_copies
 from tideguard.operators.skew import salted_join
 
@@ -55,9 +56,20 @@ def cold_path(
     )
     decided = with_decision(ready.drop("keyword_label", "keyword_confidence"), config, placeholder_image)
     tier = F.when(F.col("has_text"), F.col("text_signal.tier")).otherwise("L3_llm")
+    # The gateway's steps hold the text as they show it.
+    shown = F.coalesce(F.get("traces", F.lit(0))["input"], F.lit(""))
+    image = F.struct(F.col("image_label").alias("label"), F.col("image_confidence").alias("confidence"))
+    image_step = trace_step("image_agent", "nsfw", "classifier", shown, image, "low")
+    steps = joined(
+        F.col("traces"),
+        F.when(F.col("has_text"), funnel_traces(shown, F.col("text_signal"))),
+        F.when(F.col("image_label").isNotNull(), F.array(image_step)),
+        decision_traces(shown),
+        action_traces(shown),
+    )
     return decided.select(
         "content_id", "decision", "confidence", "reason", tier.alias("tier"), "rule",
-        F.col("text_signal.cost").alias("cost"),
+        F.col("text_signal.cost").alias("cost"), steps.alias("traces"),
     )
 
 
@@ -71,7 +83,7 @@ def moderate(
     cut: Callable[[DataFrame], DataFrame] | None = None,
     share_copies: bool = True,
 ) -> DataFrame:
-    """Every row of `content` with decision, confidence, reason, tier, path, resolved_by.
+    """Every row of `content` with decision, confidence, reason, tier, path, resolved_by, traces.
 
     `content` has content_id, text, ts and optionally the image columns and embedding;
     `stores` are the keyword arguments of `gateway.check`. Copies of a text are judged once
@@ -98,7 +110,7 @@ def moderate(
     checked = cut(checked) if cut else checked
     hot = checked.where(F.col("ruling").isNotNull()).select(
         "content_id", "ruling.*", F.lit("gateway").alias("rule"), F.lit("zero").alias("cost"),
-        F.lit("hot").alias("path"), "resolved_by",
+        "traces", F.lit("hot").alias("path"), "resolved_by",
     )
     cold = (
         cold_path(checked.where(F.col("ruling").isNull()), signals, config)
@@ -110,7 +122,10 @@ def moderate(
         results = judged.withColumnRenamed("content_id", "first_id")
         judged = salted_join(members, results, ["first_id"], F.col("content_id"), "inner").withColumn(
             "shared", F.col("first_id") != F.col("content_id")
-        ).drop("first_id")
+        )
+        shown = F.coalesce(F.get("traces", F.lit(0))["input"], F.lit(""))
+        copied = F.when(F.col("shared"), dedup_step(F.col("first_id"), shown))
+        judged = judged.withColumn("traces", joined(F.col("traces"), copied)).drop("first_id")
     else:
         judged = judged.withColumn("shared", F.lit(False))
     errors = failed.select(
@@ -121,6 +136,7 @@ def moderate(
         F.lit("error").alias("tier"),
         F.lit("error").alias("rule"),
         F.lit("zero").alias("cost"),
+        no_steps().alias("traces"),
         F.lit("error").alias("path"),
         F.lit("error").alias("resolved_by"),
         F.lit(False).alias("shared"),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideguard.config import DecisionConfig
-
+from tideguard.functions.traces import joined, trace_step
 
 # Maps that a tenant may set; columns so named override the parameters row by row.
 MAPS = ["agent_weights", "label_severity", "score_thresholds"]
@@ -28,36 +30,21 @@ def _looked_up(table: Column, key: Column | str, unknown: float) -> Column:
     return F.coalesce(F.try_element_at(table, key), F.lit(unknown))
 
 
-def _weighed(
-    text_label: Column,
-    text_confidence: Column,
-    image_label: Column,
-    image_confidence: Column,
-    weights: Column,
-    severity: Column,
-) -> tuple[Column, Column]:
+def _weighed(signals: list[tuple[str, Column, Column, float]], weights: Column, severity: Column) -> tuple[Column, Column]:
     """(score, smallest confidence) over the signals that are present.
 
-    Weights are renormalised over the signals present.
+    A signal is its weight's name, label (null: absent), confidence and the severity of an
+    unknown label. Weights are renormalised over the signals present.
     """
-    w_text, w_image = (_looked_up(weights, k, 0.0) for k in ("text", "image"))
-    has_text, has_image = text_label.isNotNull(), image_label.isNotNull()
-    both = F.nullif(w_text + w_image, F.lit(0.0))
-    text_share, image_share = (F.coalesce(w / both, F.lit(0.0)) for w in (w_text, w_image))
-    text_score = _looked_up(severity, text_label, 0.5) * text_confidence
-    image_score = _looked_up(severity, image_label, 0.0) * image_confidence
-    score = (
-        F.when(has_text & has_image, text_score * text_share + image_score * image_share)
-        .when(has_text, text_score)
-        .when(has_image, image_score)
-        .otherwise(0.0)
-    )
-    least = F.least(
-        F.lit(1.0),
-        F.when(has_text, text_confidence),
-        F.when(has_image, image_confidence),
-    )
-    return score, least
+    present = [F.when(label.isNotNull(), _looked_up(weights, name, 0.0)) for name, label, _, _ in signals]
+    total = F.nullif(reduce(lambda a, b: a + b, [F.coalesce(w, F.lit(0.0)) for w in present]), F.lit(0.0))
+    parts = []
+    for weight, (_, label, confidence, unknown) in zip(present, signals, strict=True):
+        share = F.coalesce(weight / total, F.lit(0.0))
+        part = _looked_up(severity, label, unknown) * confidence * share
+        parts.append(F.when(label.isNotNull(), part).otherwise(0.0))
+    least = F.least(F.lit(1.0), *[F.when(label.isNotNull(), confidence) for _, label, confidence, _ in signals])
+    return reduce(lambda a, b: a + b, parts), least
 
 
 def score_label(score: Column, config: DecisionConfig, thresholds: Column | None = None) -> Column:
@@ -89,7 +76,8 @@ def aggregate_signals(
 ) -> DataFrame:
     """Adds `score`, `agg_label`, `agg_confidence` from the text and image signals.
 
-    Reads text_label, text_confidence, image_label, image_confidence (null = no signal).
+    Reads text_label, text_confidence, image_label, image_confidence and, where the frame has
+    them, multimodal_label and multimodal_confidence (null = no signal).
     With `placeholder_image` an absent image counts as a normal one at confidence 1, as on
     the full path; without, only signals that are present weigh in. Map columns named as in
     MAPS override the parameters row by row.
@@ -100,10 +88,13 @@ def aggregate_signals(
         absent = image_label.isNull()
         image_confidence = F.when(absent, 1.0).otherwise(image_confidence)
         image_label = F.when(absent, "normal").otherwise(image_label)
-    score, least = _weighed(
-        F.col("text_label"), F.col("text_confidence"), image_label, image_confidence,
-        _setting(df, "agent_weights", cfg), _setting(df, "label_severity", cfg),
-    )
+    signals = [
+        ("text", F.col("text_label"), F.col("text_confidence"), 0.5),
+        ("image", image_label, image_confidence, 0.0),
+    ]
+    if "multimodal_label" in df.columns:
+        signals.append(("multimodal", F.col("multimodal_label"), F.col("multimodal_confidence"), 0.5))
+    score, least = _weighed(signals, _setting(df, "agent_weights", cfg), _setting(df, "label_severity", cfg))
     thresholds = _setting(df, "score_thresholds", cfg) if "score_thresholds" in df.columns else None
     return (
         df.withColumn("score", score)
@@ -245,6 +236,28 @@ def with_decision(
     )
 
 
+def decision_traces(shown: Column) -> Column:
+    """Trace steps of `with_decision`: the weighing, where it came to that, and what decided."""
+    rule = F.col("rule")
+    weighed = rule.isin("zero_tolerance", "safe", "grey_zone", "low_confidence_pass", "block")
+    score = F.struct(F.col("agg_label").alias("label"), F.col("score").alias("score"))
+    outcome = F.struct("decision", "confidence", "rule")
+    last = (
+        F.when(rule.isin("zero_tolerance", "safe", "block"), "final")
+        .when(rule == "zero_tolerance_keyword", "zero_tolerance")
+        .when(rule.isin("image_nsfw", "image_normal"), "image_only")
+        .otherwise(rule)
+    )
+    return joined(
+        F.array_compact(
+            F.array(
+                F.when(weighed, trace_step("decision", "aggregate", "weighted_scoring", shown, score)),
+                trace_step("decision", last, "none", shown, outcome),
+            )
+        )
+    )
+
+
 def config_table(spark, configs: dict[str, DecisionConfig]) -> DataFrame:
     """Per-tenant overrides of the decision rules, one row per tenant.
 

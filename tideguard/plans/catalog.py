@@ -959,6 +959,34 @@ def moderate_batch(v: Views) -> DataFrame:
     return _moderated(v).select(*MODERATED)
 
 
+@query
+def moderate_traces(v: Views) -> DataFrame:
+    """The steps of every document through the whole service, copies with where they took it from."""
+    names = F.transform("traces", lambda s: s["step"])
+    return _moderated(v).select(
+        "content_id", F.size("traces").alias("n_steps"), F.array_join(names, ">").alias("steps")
+    )
+
+
+@query
+def moderate_outputs(v: Views) -> DataFrame:
+    """What a moderated batch leaves: entries for reuse, reviews, events, by decision."""
+    content = v.gateway_content.select("content_id", "text", "ts")
+    decided = materialise(
+        _moderated(v).withColumn("cache_hit", F.col("path") == "hot").join(content, "content_id"), "decided"
+    )
+    out = action.outputs(decided, F.col("ts"))
+    parts = [
+        df.groupBy(F.lit(name).alias("output"), F.col(what).alias("decision")).agg(F.count(F.lit(1)).alias("n"))
+        for name, what, df in (
+            ("entries", "decision", out["entries"]),
+            ("reviews", "ai_decision", out["reviews"]),
+            ("events", "decision", out["events"]),
+        )
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query
 def batch_summary(v: Views) -> DataFrame:
     return batch.summary(_moderated(v))

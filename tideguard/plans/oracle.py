@@ -1022,6 +1022,31 @@ _moderated_views("b_", "v_gw", "CASE WHEN img THEN '#' || content_id ELSE sha256
 _oracle("moderate_batch", """
 SELECT content_id, decision, confidence, reason, tier, path, resolved_by, shared FROM v_b_moderated
 """)
+_oracle("moderate_traces", """
+SELECT content_id, CAST(CASE WHEN steps = '' THEN 0 ELSE len(string_split(steps, '>')) END AS INTEGER) AS n_steps, steps
+FROM (SELECT m.content_id, concat_ws('>', s.s, CASE WHEN c.content_id IS NOT NULL THEN concat_ws('>',
+      CASE WHEN c.has_text THEN CASE c.f_tier WHEN 'L0_empty' THEN 'empty' WHEN 'L2_bert' THEN 'L1_keyword>L2_bert'
+        WHEN 'L3_llm' THEN 'L1_keyword>L2_bert>L3_llm' ELSE 'L1_keyword' END END,
+      CASE WHEN c.image_label IS NOT NULL THEN 'nsfw' END,
+      CASE WHEN c.rule IN ('zero_tolerance', 'safe', 'grey_zone', 'low_confidence_pass', 'block') THEN 'aggregate' END,
+      CASE WHEN c.rule IN ('zero_tolerance', 'safe', 'block') THEN 'final'
+        WHEN c.rule = 'zero_tolerance_keyword' THEN 'zero_tolerance'
+        WHEN c.rule IN ('image_nsfw', 'image_normal') THEN 'image_only' ELSE c.rule END,
+      CASE WHEN c.decision = 'review' THEN 'human_review_queue' END, 'execute') END,
+    CASE WHEN m.first_id <> m.content_id THEN 'inflight_dedup' END) AS steps
+  FROM (SELECT content_id, min(content_id) OVER (PARTITION BY CASE WHEN img THEN '#' || content_id
+      ELSE sha256(text) END) AS first_id FROM v_gw) m
+  JOIN v_steps s ON s.content_id = m.first_id LEFT JOIN v_b_cold_ruled c ON c.content_id = m.first_id)
+""")
+_view("left_behind", """
+SELECT m.decision, m.path, g.text FROM v_b_moderated m JOIN v_gateway_content g ON g.content_id = m.content_id
+""")
+_oracle("moderate_outputs", r"""
+SELECT 'entries' AS output, decision, count(*) AS n FROM v_left_behind
+WHERE path <> 'hot' AND regexp_matches(text, '\S') GROUP BY 2
+UNION ALL SELECT 'reviews', decision, count(*) FROM v_left_behind WHERE decision = 'review' GROUP BY 2
+UNION ALL SELECT 'events', decision, count(*) FROM v_left_behind GROUP BY 2
+""")
 _oracle("batch_summary", """
 SELECT count(*) AS total, count(*) FILTER (decision = 'pass') AS passed,
   count(*) FILTER (decision = 'block') AS blocked,
