@@ -6,6 +6,8 @@ by. Every figure is a conditional count, so partial sums are combined, never row
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from tideguard.config import (
 )
 from tideguard.functions.text import is_correct
 from tideguard.operators.skew import first_rows
+from tideguard.session import materialise
 
 # --- fixed values: acceptance criteria (metric, target, True if it must exceed it) -----
 ACCEPTANCE = [
@@ -317,6 +320,52 @@ def acceptance(results: DataFrame) -> DataFrame:
     return metrics(results).select(F.explode(F.array(*lines)).alias("_l")).select("_l.*")
 
 
+def run(
+    content: DataFrame,
+    cases: DataFrame,
+    judge: Callable[[DataFrame], DataFrame],
+    group: str = "source",
+    errors: int = 8,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """An evaluation run over labelled corpora: (figures, wrong results, results).
+
+    `cases` has content_id, corpus, expected and `group`; only the rows of `content` that have a
+    case are judged, in one call. `figures` (corpus, figure, value) holds per corpus and for `all`
+    of them together: quality, the share of each stage, whether each acceptance criterion holds
+    (1 or 0; without latencies that one is left out) and the wrong results per group, the most frequent
+    first. `wrong` are the first `errors` misclassified rows of each corpus.
+    """
+    labelled = content.join(cases.select("content_id"), "content_id", "left_semi")
+    judged = judge(labelled).join(cases, "content_id")
+    if "latency_ms" not in judged.columns:
+        judged = judged.withColumn("latency_ms", F.lit(None).cast("double"))
+    results = materialise(judged, "evaluated")
+    measured = results.rollup("corpus").agg(*_quality(), *_funnel(), F.round(F.avg("latency_ms"), 2).alias("avg_latency_ms"))
+    measured = materialise(measured.withColumn("corpus", F.coalesce("corpus", F.lit("all"))), "measured")
+
+    def listed(lines: list[Column]) -> DataFrame:
+        rows = measured.select("corpus", F.explode(F.array(*lines)).alias("_l")).select("corpus", "_l.*")
+        return rows.where(F.col("value").isNotNull())
+
+    def line(name: str, value: Column) -> Column:
+        return F.struct(F.lit(name).alias("figure"), value.cast("double").alias("value"))
+
+    figures = listed([line(c, F.col(c)) for c in measured.columns if c != "corpus"])
+    passed = listed([
+        line(f"accepted_{name}", ((F.col(name) > target) if above else (F.col(name) < target)).cast("int"))
+        for name, target, above in ACCEPTANCE
+    ])
+    missed = results.where(~is_correct(F.col("expected"), F.col("decision")))
+    per_group = missed.groupBy("corpus", group).agg(F.count(F.lit(1)).alias("n"))
+    place = Window.partitionBy("corpus").orderBy(F.col("n").desc(), group)
+    top = per_group.withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= 5)
+    worst = top.select("corpus", F.concat(F.lit("errors_"), group).alias("figure"), F.col("n").cast("double").alias("value"))
+    first = Window.partitionBy("corpus").orderBy("content_id")
+    wrong = missed.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= errors)
+    shown = ["corpus", "content_id", "expected", "decision", "confidence", "tier", "reason"]
+    return figures.unionByName(passed).unionByName(worst), wrong.select(*shown), results
+
+
 def sample_order(item: Column, seed: int) -> Column:
     """Pseudo-random order of items, the same on every engine."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), item.cast("string")))

@@ -992,15 +992,26 @@ def batch_summary(v: Views) -> DataFrame:
     return batch.summary(_moderated(v))
 
 
+def _evaluated(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
+    cases = v.eval_cases.select("content_id", F.col("lang").alias("corpus"), "expected", "source")
+
+    def judge(content: DataFrame) -> DataFrame:
+        judged = batch.moderate(content, v.signals, DICTIONARY, _stores(v), cut=materialise)
+        return judged.select("content_id", "decision", "confidence", "reason", "tier", "path")
+
+    return evaluation.run(v.gateway_content, cases, judge)
+
+
 @query
 def eval_run(v: Views) -> DataFrame:
-    """Labelled documents through the whole service, by expected label and decision."""
-    judged = _moderated(v).select("content_id", "decision", "tier", "path")
-    labels = v.table("labels").select(
-        F.col("doc_id").alias("content_id"),
-        readers.expected_from_toxicity(F.col("toxic")).alias("expected"),
-    )
-    return evaluation.confusion(judged.join(labels, "content_id"))
+    """Labelled documents through the whole service: figures per language as corpus, and in all."""
+    return _evaluated(v)[0]
+
+
+@query
+def eval_run_errors(v: Views) -> DataFrame:
+    """The first wrong results of each corpus of the run."""
+    return _evaluated(v)[1]
 
 
 # --- feedback and monitoring --------------------------------------------------------------

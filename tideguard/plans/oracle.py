@@ -1261,8 +1261,51 @@ FROM (SELECT *, CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) ELSE 0 E
 
 _view("confusion", _confusion("v_results"))
 _oracle("eval_confusion", "SELECT * FROM v_confusion")
-_oracle("eval_run", _confusion("""(SELECT m.decision, CASE WHEN l.toxic = 1 THEN 'unsafe'
-  ELSE 'safe' END AS expected FROM v_b_moderated m JOIN labels l ON l.doc_id = m.content_id)"""))
+_view("l_gw", "SELECT * FROM v_gw WHERE content_id IN (SELECT doc_id FROM labels)")
+_moderated_views("l_", "v_l_gw", "CASE WHEN img THEN '#' || content_id ELSE sha256(text) END")
+_view("judged_cases", """
+SELECT m.*, c.lang AS corpus, c.expected, c.source FROM v_l_moderated m JOIN v_cases c ON c.content_id = m.content_id
+""")
+_view("cases_twice", """
+SELECT * FROM v_judged_cases UNION ALL SELECT * REPLACE ('all' AS corpus) FROM v_judged_cases
+""")
+_view("run_counts", """
+SELECT corpus, count(*) AS total, count(*) FILTER (expected = 'unsafe' AND decision <> 'pass') AS tp,
+  count(*) FILTER (expected = 'safe' AND decision = 'pass') AS tn,
+  count(*) FILTER (expected = 'safe' AND decision <> 'pass') AS fp,
+  count(*) FILTER (expected = 'unsafe' AND decision = 'pass') AS fn,
+  round(count(*) FILTER (tier = 'L3_llm') / CAST(count(*) AS DOUBLE), 4) AS llm_call_rate,
+  round(count(*) FILTER (tier = 'L2_bert') / CAST(count(*) AS DOUBLE), 4) AS bert_intercept_rate,
+  round(count(*) FILTER (tier = 'L1_keyword') / CAST(count(*) AS DOUBLE), 4) AS keyword_intercept_rate,
+  round(count(*) FILTER (tier IN ('L0_memory', 'L0_redis', 'L0_phash', 'L0_empty', 'L0_whitelist',
+    'L1_chroma')) / CAST(count(*) AS DOUBLE), 4) AS cache_hit_rate,
+  round(count(*) FILTER (path = 'hot') / CAST(count(*) AS DOUBLE), 4) AS hot_path_rate
+FROM v_cases_twice GROUP BY corpus
+""")
+_view("run_measured", """
+SELECT *, round(a, 4) AS accuracy, round(p, 4) AS precision, round(r, 4) AS recall,
+  round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 4) AS f1
+FROM (SELECT *, (tp + tn) / CAST(total AS DOUBLE) AS a,
+    CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) ELSE 0 END AS p,
+    CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) ELSE 0 END AS r FROM v_run_counts)
+""")
+_RUN_FIGURES = (
+    "total tp tn fp fn accuracy precision recall f1 llm_call_rate bert_intercept_rate keyword_intercept_rate "
+    "cache_hit_rate hot_path_rate"
+).split()
+_RUN_LIMITS = {"llm_call_rate": "< 0.2", "bert_intercept_rate": "> 0.3", "f1": "> 0.9", "cache_hit_rate": "> 0.15"}
+_oracle("eval_run", "\nUNION ALL ".join(
+    [f"SELECT corpus, '{c}' AS figure, CAST({c} AS DOUBLE) AS value FROM v_run_measured" for c in _RUN_FIGURES]
+    + [f"SELECT corpus, 'accepted_{c}', CASE WHEN {c} {x} THEN 1 ELSE 0 END FROM v_run_measured" for c, x in _RUN_LIMITS.items()]
+    + ["""SELECT corpus, 'errors_' || source, n FROM (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY n DESC, source) AS k
+  FROM (SELECT corpus, source, count(*) AS n FROM v_judged_cases WHERE (expected = 'unsafe') <> (decision <> 'pass') GROUP BY 1, 2))
+WHERE k <= 5"""]
+))
+_oracle("eval_run_errors", """
+SELECT corpus, content_id, expected, decision, confidence, tier, reason
+FROM (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY content_id) AS k FROM v_judged_cases
+  WHERE (expected = 'unsafe') <> (decision <> 'pass')) WHERE k <= 8
+""")
 _view("rates_by_tier", """
 SELECT count(*) AS total,
   round(count(*) FILTER (tier = 'L3_llm') / CAST(count(*) AS DOUBLE), 4) AS llm_call_rate,
