@@ -406,7 +406,7 @@ def test_flow_moves_the_fewest_bytes():
 
 
 def test_reshard_and_rewrite(spark, docs, rows, tmp_path):
-    got = sharding.reshard_documents(docs, 3, 4).collect()
+    got = sharding.reshard_documents(docs, 3, 4, str(tmp_path / "all")).collect()
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter(
         (r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows
     )
@@ -417,10 +417,31 @@ def test_reshard_and_rewrite(spark, docs, rows, tmp_path):
         assert sorted(r["slot"] for r in own) == list(range(len(own)))
         held[shard] = sum(r["size"] for r in own)
     assert max(held.values()) - min(held.values()) <= largest
-    data = spark.createDataFrame([(i, i % 2, 0 if i % 2 == 0 else 1 + i % 4 // 2) for i in range(16)], "id long, old int, shard int")
-    alone = sharding.rewrite(data, "old", "", str(tmp_path / "new"))
-    assert alone == [0] and set(r["shard"] for r in spark.read.parquet(str(tmp_path / "new")).collect()) == {1, 2}
-    assert sharding.reshard_documents(docs.limit(0), 3, 4).count() == 0
+    # The files hold the documents, whole, each file in the order of its slots.
+    written = spark.read.parquet(str(tmp_path / "all"))
+    changed = {r["to_shard"] for r in written.select("to_shard").distinct().collect()}
+    assert changed
+    whole = Counter(map(repr, written.select(docs.columns).collect()))
+    assert not whole - Counter(map(repr, docs.collect()))
+    assert sorted(map(tuple, written.select("to_shard", "to_slot", F.crc32(F.coalesce("text", F.lit(""))).alias("c")).collect())) == sorted(
+        (r["shard"], r["slot"], r["text_crc32"]) for r in got if r["shard"] in changed
+    )
+    empty = sharding.reshard_documents(docs.limit(0), 3, 4, str(tmp_path / "none"))
+    assert empty.count() == 0
+
+
+def test_only_changed_shards_are_written(spark, tmp_path):
+    path = str(tmp_path / "new")
+    spark.range(16).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.col("id").alias("slot")).coalesce(1).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    old = F.col("doc_id") % 2
+    new = F.when(old == 0, 0).otherwise(1 + F.floor(F.col("doc_id") % 4 / 2)).cast("int")
+    placed = docs.select(sharding.place_of(docs).alias("row"), old.alias("old"), new.alias("shard"), F.col("doc_id").alias("slot"))
+    for _ in range(2):  # A repeated run replaces its files.
+        assert sharding.rewrite(docs, placed, "old", path) == [1, 2]
+        found = spark.read.parquet(path)
+        assert sorted((r["to_shard"], r["doc_id"]) for r in found.collect()) == sorted((1 + i % 4 // 2, i) for i in range(1, 16, 2))
+    assert sharding.changed_shards(placed.where("old = 0"), "old") == []
 
 
 # --- 10 ---------------------------------------------------------------------------------

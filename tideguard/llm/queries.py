@@ -23,6 +23,7 @@ from tideguard.llm import (
     vectors,
 )
 from tideguard.llm.common import table
+from tideguard.session import scratch_path
 
 SHARDS = 16
 OLD_SHARDS = 12
@@ -69,7 +70,8 @@ def op8_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.reshard_documents(table(spark, sf_dir, "documents"), OLD_SHARDS, SHARDS)
+    path = scratch_path(spark, "resharded")
+    return sharding.reshard_documents(table(spark, sf_dir, "documents"), OLD_SHARDS, SHARDS, path)
 
 
 def op10_prefix_interval_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

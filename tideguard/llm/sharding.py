@@ -3,11 +3,15 @@
 Old shards give, new shards have capacities; a flow of least cost says how many bytes of which
 old shard go where (a byte that stays costs nothing). Documents of a shard lie in blocks of
 falling size, then hash order, so a flow is a byte range of the shard: whole blocks, and a cut inside one. Only the
-per-shard sums reach the driver.
+per-shard sums reach the driver. Then the shards that gain or lose documents are written anew, whole,
+with their texts.
 
 Defined cases: a null text counts as empty (size 1, CRC 0). Equal rows are told apart only by
 their position, so any of them may be the one that moves. An empty table gives an empty result.
-Columns of the input keep their names; helper columns start with `_`. A document longer than a
+Columns of the input keep their names; helper columns of `reshard` start with `_`, and files
+written have `to_shard` and `to_slot` besides, which the input must not have. Law `bytes` asks for even
+sizes only: equal texts may lie in different shards. `docs` is read twice and must be a stored
+Parquet table. A document longer than a
 new shard's capacity still goes to one shard as a whole.
 """
 
@@ -17,8 +21,9 @@ from collections import deque
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tideguard.llm.common import hash_range, running_totals, shuffled_order, text_of
+from tideguard.llm.common import hash_range, place_of, running_totals, shuffled_order, text_of, wrapped
 from tideguard.session import materialise
 
 # Rows of one block of a shard: what one window task sorts.
@@ -125,46 +130,69 @@ def _target(old: Column, position: Column, flows: list[tuple[int, int, int]]) ->
     return choice.cast("int")
 
 
-def rewrite(docs: DataFrame, old: str, path_from: str, path_to: str) -> list[int]:
-    """Writes `docs` (with `old` and `shard`) under `path_to/shard=N`, changed shards only.
+def changed_shards(placed: DataFrame, old: str) -> list[int]:
+    """The shards that a document leaves or reaches: one number per shard at most."""
+    moved = placed.where(~F.col(old).eqNullSafe(F.col("shard")))
+    ends = moved.select(F.explode(F.array(F.col(old).cast("int"), "shard")).alias("shard"))
+    return sorted(r["shard"] for r in ends.distinct().collect())
 
-    Returns the shards that were left alone: nothing came or went, so their files under
-    `path_from` stay good.
+
+def rewrite(docs: DataFrame, placed: DataFrame, old: str, path: str) -> list[int]:
+    """Writes the changed shards with their documents under `path/to_shard=N` and returns their numbers.
+
+    `docs` is the stored table, `placed` has `row` (its `place_of`), `shard` and `slot`. Files have the
+    columns of `docs` and `to_slot`, each in the order of its slots. A repeated run replaces what is
+    there. Shards that nothing comes to or goes from are left as they are.
     """
-    moved = docs.where(F.col(old) != F.col("shard"))
-    ends = moved.select(F.explode(F.array(F.col(old).cast("int"), F.col("shard"))).alias("shard"))
-    changed = {r["shard"] for r in ends.distinct().collect()}
-    every = {r["shard"] for r in docs.select("shard").distinct().collect()}
-    touched = docs.where(F.col("shard").isin(sorted(changed & every)))
-    touched.drop(old).write.partitionBy("shard").mode("append").parquet(path_to)
-    return sorted(every - changed)
+    changed = changed_shards(placed, old)
+    wanted = placed.where(F.col("shard").isin(changed)).select(
+        "row", F.col("shard").alias("to_shard"), F.col("slot").alias("to_slot")
+    )
+    rows = wrapped(docs, place_of(docs).alias("row"))
+    moved = rows.join(wanted, "row").select("doc.*", "to_shard", "to_slot")
+    (
+        moved.sortWithinPartitions("to_shard", "to_slot")
+        .write.partitionBy("to_shard")
+        .option("compression", "zstd")
+        .mode("overwrite")
+        .parquet(path)
+    )
+    return changed
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, size (UTF-8 bytes and 1) and text_crc32 of every document."""
-    text = text_of()
-    return docs.select(
-        "doc_id",
-        (F.octet_length(text).cast("long") + 1).alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-    )
+    """row, doc_id, size (UTF-8 bytes and 1) and old shard of every document of a stored table."""
+    size = F.octet_length(text_of()).cast("long") + 1
+    return docs.select(place_of(docs).alias("row"), "doc_id", size.alias("size"))
 
 
-def reshard_documents(docs: DataFrame, old_shards: int, new_shards: int) -> DataFrame:
-    """The documents' digests with their new shards; law `bytes`.
+def reshard_documents(docs: DataFrame, old_shards: int, new_shards: int, path: str) -> DataFrame:
+    """The documents in their new shards, written under `path`; law `bytes`.
 
     The old layout is the one the corpus came in: `old_shards` shards by hash of the document
-    number. The new shards have equal capacities in bytes.
+    number. The new shards have equal capacities in bytes. The rows returned, with digests of the
+    texts, are read off the files written, and off `docs` for shards that did not change.
     """
     rows = sized(docs).withColumn(
         "old_shard", (shuffled_order(F.col("doc_id"), seed=1) % old_shards).cast("int")
     )
     rows = materialise(rows, "shard-sizes")
     placed = reshard(
-        rows, "old_shard", "size", ["doc_id", "text_crc32", "size"],
+        rows, "old_shard", "size", ["doc_id", "size", "row"],
         lambda total: even_capacities(total, new_shards),
     )
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"), "old_shard",
-    )
+    placed = materialise(placed, "shard-places")
+    changed = rewrite(docs, placed, "old_shard", path)
+    text = text_of()
+    digest = [
+        "doc_id", (F.octet_length(text).cast("long") + 1).alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"),
+    ]
+    kept = placed.where(~F.col("shard").isin(changed)).select("row", "shard", "slot")
+    same = docs.select("doc_id", "text", place_of(docs).alias("row")).join(kept, "row")
+    out = same.select(*digest, "shard", "slot")
+    if changed:
+        schema = T.StructType([*docs.schema.fields, T.StructField("to_slot", T.LongType()), T.StructField("to_shard", T.IntegerType())])
+        written = docs.sparkSession.read.schema(schema).parquet(path)
+        out = written.select(*digest, F.col("to_shard").alias("shard"), F.col("to_slot").alias("slot")).unionByName(out)
+    return out.withColumn("grown_shard", F.lit(None).cast("int"))
