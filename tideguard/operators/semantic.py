@@ -25,7 +25,7 @@ from tideguard.operators.skew import rows_of, salted_join
 from tideguard.session import materialise
 
 # Vectors per cell, pivots per level: two levels hold TOP_PIVOTS * SUB_PIVOTS cells.
-CELL_ROWS = 1024
+CELL_ROWS = 4096
 TOP_PIVOTS = 512
 SUB_PIVOTS = 512
 BLOCK_ROWS = 8192

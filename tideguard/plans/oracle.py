@@ -126,7 +126,7 @@ SELECT 'rev' || c.content_id AS review_id, c.content_id, c.text,
   s.score_confidence AS ai_confidence,
   CASE WHEN c.content_id % 3 = 1 THEN CASE WHEN c.content_id % 5 < 2 THEN 'pass' ELSE 'block' END
     END AS human_decision,
-  CASE WHEN c.content_id % 3 = 1 THEN 'checked' END AS human_reason
+  CASE WHEN c.content_id % 3 = 1 THEN 'checked, says "abuse of ' || c.source || '"' END AS human_reason
 FROM v_content c JOIN v_signals s ON s.content_id = c.content_id
 WHERE s.score_confidence BETWEEN 0.3 AND 0.7
 """)
@@ -1091,10 +1091,10 @@ _view("terms", """
 SELECT term, count(*) AS frequency, min(first_seen) AS first_seen,
   arg_min(substr(text, 1, 100), first_seen) AS example_text,
   arg_min(reason, first_seen) AS example_reason
-FROM (SELECT text, reason, unnest(terms) AS term, event_id * 100 + unnest(range(len(terms)))
-    AS first_seen
+FROM (SELECT text, reason, unnest(terms) AS term, place * 100 + unnest(range(len(terms))) AS first_seen
   FROM (SELECT *, regexp_extract_all(reason, '[''"「『](.+?)[''"」』]', 1) AS terms
-    FROM v_mod_events WHERE decision = 'block'))
+    FROM (SELECT text, reason, event_id AS place FROM v_mod_events WHERE decision = 'block'
+      UNION ALL SELECT text, reason, 1000000000000 + content_id FROM v_human WHERE decision = 'block')))
 WHERE length(term) >= 2 AND term NOT IN (SELECT word FROM v_kw_dict)
 GROUP BY term
 """)

@@ -249,7 +249,8 @@ class Views:
             "'grey zone' as ai_reason",
             "case when content_id % 3 = 1 then case when content_id % 5 < 2 then 'pass' "
             "else 'block' end end as human_decision",
-            "case when content_id % 3 = 1 then 'checked' end as human_reason",
+            "case when content_id % 3 = 1 then concat('checked, says \"abuse of ', source, '\"') end "
+            "as human_reason",
             "case when content_id % 3 = 1 then concat('mod', source) end as reviewed_by",
         )
 
