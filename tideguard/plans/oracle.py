@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 
+from tideguard.config import AUDIT_LABELS, AUDIT_UNSAFE_WORDS, GUARD_CATEGORIES
+
 VIEWS: dict[str, str] = {}
 ORACLE: dict[str, str] = {}
 START = 1704067200
@@ -468,41 +470,65 @@ SELECT content_id, audit_label, '{"label": "' || coalesce(audit_label, 'none')
   CASE WHEN content_id % 5 = 0 THEN '' ELSE coalesce(audit_reason, '') END AS reason
 FROM v_signals
 """)
-_oracle("audit_parse", """
-SELECT content_id, CASE WHEN content_id % 4 < 3 THEN label
-    WHEN audit_label IN ('toxic', 'violence', 'politics', 'porn', 'gambling', 'spam')
-    THEN 'unsafe' ELSE 'safe' END AS label,
-  CASE WHEN content_id % 4 < 3 THEN confidence ELSE CAST(0.5 AS DOUBLE) END AS confidence,
-  CASE WHEN content_id % 4 < 3 THEN reason ELSE
-    'JSON parse failed, heuristic fallback. Raw: I think this is '
-    || coalesce(audit_label, 'fine') || ' content' END AS reason,
-  CASE content_id % 4 WHEN 0 THEN 'direct' WHEN 1 THEN 'fenced' WHEN 2 THEN 'braces'
-    ELSE 'heuristic' END AS parsed_as
-FROM v_audit_bodies
-""")
-_oracle("guard_parse", """
-SELECT content_id, CASE content_id % 5 WHEN 0 THEN 'unsafe' WHEN 1 THEN 'safe'
-    WHEN 2 THEN 'controversial' END AS safety,
-  CASE WHEN content_id % 5 IN (0, 2, 3) THEN 'unsafe' ELSE 'safe' END AS label,
-  CAST(CASE WHEN content_id % 5 < 2 THEN 0.99 WHEN content_id % 5 < 4 THEN 0.7 ELSE 0.5 END
-    AS DOUBLE) AS confidence,
-  CASE content_id % 5 WHEN 0 THEN 'Qwen3Guard: unsafe — PII, Violent' WHEN 1 THEN 'Qwen3Guard: safe'
-    WHEN 2 THEN 'Qwen3Guard: controversial — Jailbreak' ELSE 'Qwen3Guard: unknown' END AS reason
+_view("audit_answers", """
+SELECT content_id, CASE content_id % 4 WHEN 0 THEN body WHEN 1 THEN '```json' || chr(10) || body || chr(10) || '```'
+  WHEN 2 THEN 'The answer is ' || body || ' as asked.'
+  ELSE 'I think this is ' || coalesce(audit_label, 'fine') || ' content' END AS raw
+FROM (SELECT *, '{"label": "' || coalesce(audit_label, 'none') || '", "confidence": '
+    || CAST(coalesce(audit_confidence, 7) AS VARCHAR) || CASE WHEN content_id % 5 = 0 THEN ''
+    ELSE ', "reason": "' || coalesce(audit_reason, '') || '"' END || '}' AS body FROM v_signals)
+""")
+_view("audit_objects", r"""
+SELECT content_id, raw, CASE WHEN direct THEN raw WHEN fenced THEN fence WHEN braced THEN braces END AS obj,
+  CASE WHEN direct THEN 'direct' WHEN fenced THEN 'fenced' WHEN braced THEN 'braces' ELSE 'heuristic' END AS parsed_as
+FROM (SELECT *, starts_with(ltrim(raw), '{') AND json_valid(raw) AS direct,
+    starts_with(ltrim(fence), '{') AND json_valid(fence) AS fenced, braces <> '' AND json_valid(braces) AS braced
+  FROM (SELECT *, regexp_extract(raw, '(?s)```(?:json)?\s*\n?(.*?)\n?```', 1) AS fence,
+      regexp_extract(raw, '(?s)\{.*\}', 0) AS braces FROM v_audit_answers))
+""")
+_oracle("audit_parse", f"""
+SELECT content_id, CASE WHEN obj IS NOT NULL THEN coalesce(json_extract_string(obj, '$.label'), 'safe')
+    WHEN regexp_matches(lower(raw), '{"|".join(AUDIT_UNSAFE_WORDS)}') THEN 'unsafe' ELSE 'safe' END AS label,
+  CASE WHEN obj IS NULL THEN CAST(0.5 AS DOUBLE)
+    ELSE coalesce(CAST(json_extract_string(obj, '$.confidence') AS DOUBLE), 0.8) END AS confidence,
+  CASE WHEN obj IS NULL THEN 'JSON parse failed, heuristic fallback. Raw: ' || substr(raw, 1, 200)
+    ELSE coalesce(json_extract_string(obj, '$.reason'), '') END AS reason, parsed_as
+FROM v_audit_objects
+""")
+_view("guard_answers", """
+SELECT content_id, CASE content_id % 5 WHEN 0 THEN 'Safety: Unsafe' || chr(10) || 'Categories: PII, Violent ' || source
+  WHEN 1 THEN 'safety:  SAFE' || chr(10) || 'Categories: None'
+  WHEN 2 THEN 'Safety: Controversial' || chr(10) || 'Categories: Jailbreak'
+  WHEN 3 THEN 'this is unsafe ' || source ELSE 'it is ' || lang END AS answer
 FROM v_content
 """)
+_oracle("guard_parse", rf"""
+SELECT content_id, safety, CASE WHEN safety IN ('unsafe', 'controversial')
+    OR (safety IS NULL AND contains(lower(answer), 'unsafe')) THEN 'unsafe' ELSE 'safe' END AS label,
+  CAST(CASE WHEN safety IN ('safe', 'unsafe') THEN 0.99 WHEN safety = 'controversial' OR contains(lower(answer), 'safe')
+    THEN 0.7 ELSE 0.5 END AS DOUBLE) AS confidence,
+  'Qwen3Guard: ' || coalesce(safety, 'unknown') || CASE WHEN listed <> '' THEN ' — ' || listed ELSE '' END AS reason
+FROM (SELECT *, nullif(lower(regexp_extract(answer, '(?i)Safety:\s*(Safe|Unsafe|Controversial)', 1)), '') AS safety,
+    array_to_string(list_filter(regexp_extract_all(answer, '({"|".join(re.escape(c).replace(chr(92) + " ", " ") for c in GUARD_CATEGORIES)})'),
+      lambda c: c <> 'None'), ', ') AS listed FROM v_guard_answers)
+""")
 _oracle("match_ratio", """
 SELECT content_id, round(CASE WHEN content_id % 9 = 0 THEN 0 ELSE
   (length(want) - length(regexp_replace(want, '[' || source || ']', '', 'g')))
   / CAST(length(want) AS DOUBLE) END, 6) AS ratio
 FROM (SELECT *, lower(replace(text, ' ', '')) AS want FROM v_content)
 """)
-_oracle("audit_validate", """
+_oracle("audit_validate", f"""
 SELECT content_id, problems = '' AS valid, problems FROM (
-  SELECT content_id, CASE WHEN content_id % 4 > 0 THEN 'not an object' ELSE concat_ws(', ',
-    CASE WHEN label = 'none' THEN 'label unknown' END,
-    CASE WHEN confidence > 1 THEN 'confidence out of range' END,
-    CASE WHEN content_id % 5 = 0 THEN 'reason missing' END) END AS problems
-  FROM v_audit_bodies)
+  SELECT content_id, CASE WHEN obj IS NULL THEN 'not an object'
+    ELSE concat_ws(', ',
+      CASE WHEN json_extract_string(obj, '$.label') IS NULL THEN 'label missing' END,
+      CASE WHEN json_extract_string(obj, '$.label') NOT IN ({", ".join(f"'{x}'" for x in AUDIT_LABELS)}) THEN 'label unknown' END,
+      CASE WHEN json_extract_string(obj, '$.confidence') IS NULL THEN 'confidence missing' END,
+      CASE WHEN CAST(json_extract_string(obj, '$.confidence') AS DOUBLE) NOT BETWEEN 0 AND 1
+        THEN 'confidence out of range' END,
+      CASE WHEN json_extract_string(obj, '$.reason') IS NULL THEN 'reason missing' END) END AS problems
+  FROM (SELECT content_id, CASE WHEN parsed_as = 'direct' THEN obj END AS obj FROM v_audit_objects))
 """)
 
 # --- reuse ----------------------------------------------------------------------------------
