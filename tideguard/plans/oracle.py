@@ -680,6 +680,27 @@ FROM (SELECT content_id, text, regexp_replace(text, '[^A-Za-z]', '', 'g') AS l,
 _oracle("dhash", """
 SELECT image_id, image_hash, lpad(lower(to_hex(image_hash)), 14, '0') AS hex FROM v_images
 """)
+# A cosine transform of 32 x 32 points, of which the image of 8 x 8 repeats each four times.
+_view("cosines", """
+SELECT u, k, sqrt(2 / CAST(32 AS DOUBLE)) * CASE WHEN u = 0 THEN 1 / sqrt(CAST(2 AS DOUBLE)) ELSE 1 END
+  * sum(cos((2 * (4 * k + i) + 1) * u * pi() / 64)) AS w
+FROM (SELECT unnest(range(8)) AS u) a, (SELECT unnest(range(8)) AS k) b, (SELECT unnest(range(4)) AS i) c
+GROUP BY u, k
+""")
+_view("frequencies", """
+SELECT vec_id, r.u AS u, c.u AS v, sum(x * r.w * c.w) AS f
+FROM (SELECT vec_id, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) e
+JOIN v_cosines r ON r.k = e.i // 8 JOIN v_cosines c ON c.k = e.i % 8 GROUP BY vec_id, r.u, c.u
+""")
+_oracle("phash", """
+SELECT vec_id, string_agg(digit, '' ORDER BY g) AS phash
+FROM (SELECT vec_id, g, substr('0123456789abcdef', CAST(sum(bit) AS INTEGER) + 1, 1) AS digit
+  FROM (SELECT f.vec_id, (u * 8 + v) // 4 AS g, CASE WHEN f > m THEN CASE (u * 8 + v) % 4 WHEN 0 THEN 8
+      WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 1 END ELSE 0 END AS bit
+    FROM v_frequencies f JOIN (SELECT vec_id, median(f) AS m FROM v_frequencies GROUP BY vec_id) q
+    ON q.vec_id = f.vec_id) GROUP BY vec_id, g)
+GROUP BY vec_id
+""")
 _oracle("hamming", """
 SELECT a.image_id, CAST(bit_count(xor(a.image_hash, b.image_hash)) AS INTEGER) AS distance,
   CASE WHEN b.image_id % 5 = 0 THEN 999
