@@ -157,6 +157,13 @@ def test_classifier_learns_and_embeds(spark):
     assert vectors[1] == vectors[2] != vectors[3] and not any(vectors[4])
 
 
+def test_texts_shorter_than_a_gram_have_unit_vectors(spark):
+    rows = [(1, "A."), (2, "x"), (3, "abc"), (4, " "), (5, None), (6, "a.")]
+    vectors = {r[0]: r[1] for r in classifier.embed(spark.createDataFrame(rows, "content_id long, text string")).collect()}
+    assert [round(sum(x * x for x in vectors[i]), 4) for i in range(1, 7)] == [1, 1, 1, 0, 0, 1]
+    assert vectors[1] == vectors[6] != vectors[2]
+
+
 def test_streams_equal_batch(spark):
     source = scratch_path(spark, "in")
     rows = [(i, f"t{i % 7}", "s", 1000 + i * 400) for i in range(40)]

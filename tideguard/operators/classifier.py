@@ -71,7 +71,8 @@ def embed(
 ) -> DataFrame:
     """(id, embedding): unit vectors of hashed character n-grams over the whole text.
 
-    Each distinct text is embedded once; blank texts get the zero vector.
+    Each distinct text is embedded once; blank texts get the zero vector. A text of fewer than `n`
+    characters is one gram.
     """
     keyed = content.select(
         id_column, F.coalesce("text", F.lit("")).alias("text"), 
@@ -83,6 +84,8 @@ def embed(
     grams = NGram(n=n, inputCol="_chars", outputCol="_grams").transform(
         distinct.withColumn("_chars", chars)
     )
+    short = F.array(F.array_join("_chars", ""))
+    grams = grams.withColumn("_grams", F.when(F.size("_chars").between(1, n - 1), short).otherwise(F.col("_grams")))
     counted = HashingTF(inputCol="_grams", outputCol="_tf", numFeatures=size).transform(grams)
     unit = Normalizer(inputCol="_tf", outputCol="_unit").transform(counted)
     vectors = unit.select("key", vector_to_array("_unit", "float32").alias("embedding"))
