@@ -188,6 +188,16 @@ def test_neighbouring_cjk_characters_embed_a_word(spark):
     assert all(r["c"] and not r["l"] for r in flags.collect())
 
 
+def test_a_filter_on_the_verdict_does_not_match_the_text_again(spark):
+    df = spark.createDataFrame([("接口交换",), ("傻逼",), ("好",)], "text string").repartition(2)
+    judged = keywords.with_verdict(df, CHINESE, mode="cjk").select("text", "kw.*")
+    hit = judged.where((F.size("matches") > 0) & F.col("combo_label").isNull())
+    plan = hit._jdf.queryExecution().optimizedPlan().toString()
+    # Once for the words, once for the whitelist.
+    assert plan.count("regexp_extract_all") == 2
+    assert [r["text"] for r in hit.collect()] == ["傻逼"]
+
+
 def test_whitelist_reports_what_it_suppressed(spark):
     df = spark.createDataFrame([("接口交换",), ("接口交换 口交",)], "text string")
     rows = keywords.with_verdict(df, CHINESE, mode="cjk").select("kw.*").collect()

@@ -276,7 +276,9 @@ def with_verdict(
         F.col("kw_matches").alias("matches"),
         F.when(whitelisted, F.transform("kw_found", lambda m: m["word"])).alias("suppressed"),
     )
-    return out.withColumn("kw", verdict).drop(
+    # As a generated row: Spark would push a filter on `kw` down to the text, where every use of a
+    # column stands for its whole expression, and match each text many times over.
+    return out.withColumn("kw", rows_of(F.array(verdict))).drop(
         "_lower", "_combo", "_n", "_cats", "_alone", "kw_found", "kw_matches"
     )
 
