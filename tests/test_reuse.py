@@ -206,6 +206,17 @@ def test_nearest_equals_full_comparison(spark, no_broadcast, threshold, earlier,
     assert got == want
 
 
+def test_vectors_without_spread_move_per_bundle_of_cells(spark):
+    v = unit(np.random.default_rng(4), 600, 64)
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, embedding array<float>")
+    index = semantic.build_index(df.withColumnRenamed("id", "entry_id"), cell_rows=15)
+    asked = df.withColumnRenamed("id", "query_id")
+    _, _, moved = semantic._bundled_routes(index, asked, 0.7, True, 64)
+    _, _, compared = semantic.routes(index, asked, 0.7, True, 64)
+    # 40 cells, of which nearly every query reaches nearly all.
+    assert compared.count() > 600 * 30 and moved.count() <= 600 * 40 / semantic.BUNDLE
+
+
 def on_a_manifold(rng, n, dims=48, inner=6):
     """Vectors with few degrees of freedom and a little noise, as texts of a few themes have."""
     base = np.random.default_rng(0).normal(size=(inner, dims))

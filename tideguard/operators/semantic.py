@@ -8,7 +8,9 @@ A query first asks the cell it would lie in itself. What it finds there, or else
 is the radius within which a better match can only lie. A cell may hold one if the ball of that
 radius reaches over the planes that part its pivot from the others (the hyperplane bound), and
 into the ring between its nearest and its furthest vector. Only (query, cell) pairs that pass
-both are sent, and a block task multiplies two matrices and returns the best match per query.
+both are compared. A query is sent once to each bundle of BUNDLE cells, with a bit for each cell of
+the bundle that it asks: without spread, where queries reach most cells, vectors move per bundle
+and not per cell. A block task multiplies matrices cell by cell and returns the best match per query.
 """
 
 from __future__ import annotations
@@ -29,6 +31,10 @@ CELL_ROWS = 4096
 TOP_PIVOTS = 512
 SUB_PIVOTS = 512
 BLOCK_ROWS = 8192
+# Cells that a query is sent to at once; SUB_PIVOTS is a multiple of it.
+BUNDLE = 8
+# As many blocks of a bundle's rows meet in a task.
+BLOCKS_TOGETHER = 4
 # Of a query's pivots this many of the nearest are held against every cell.
 RIVALS = 4
 SLACK = 1e-6
@@ -80,6 +86,35 @@ def _reached(vectors, radius, pivots, near, far):
     return reach
 
 
+def _masks(reach):
+    """For each row of reached places (columns) a row of masks, one per bundle."""
+    import numpy as np
+
+    n, places = reach.shape
+    bits = np.zeros((n, -(-places // BUNDLE) * BUNDLE), "int32")
+    bits[:, :places] = reach
+    bits = bits.reshape(n, -1, BUNDLE) << np.arange(BUNDLE, dtype="int32")
+    return bits.sum(axis=2, dtype="int32")
+
+
+def _bundled(rows: DataFrame, deep: bool) -> DataFrame:
+    """`rows` with `bundle` and the `place` in it instead of their cell; `deep`: two levels."""
+    at = F.col("cell") * SUB_PIVOTS + F.col("sub") if deep else F.col("cell")
+    return rows.withColumn("bundle", F.floor(at / BUNDLE).cast("int")).withColumn(
+        "place", (at % BUNDLE).cast("int")
+    ).drop(*CELL)
+
+
+def _cells(sent: DataFrame, deep: bool) -> DataFrame:
+    """A row per cell of `sent`, which has a row per bundle."""
+    at = F.col("bundle") * BUNDLE + F.col("_place")
+    cell, sub = (F.floor(at / SUB_PIVOTS), at % SUB_PIVOTS) if deep else (at, F.lit(0))
+    every = F.explode(F.array(*[F.lit(i) for i in range(BUNDLE)]))
+    return sent.withColumn("_place", every).where("shiftright(mask, _place) % 2 = 1").select(
+        "query_id", "embedding", cell.cast("int").alias("cell"), sub.cast("int").alias("sub")
+    )
+
+
 def _sample(vectors: DataFrame, n: int) -> list[list[float]]:
     """`n` stored vectors in hash order: a sample of fixed size, the same on every run."""
     rows = vectors.select("vector", F.xxhash64("vector").alias("_h")).orderBy("_h").limit(n)
@@ -199,66 +234,91 @@ def home_cells(index: VectorIndex, queries: DataFrame, block_rows: int = BLOCK_R
     return _with_sub(at, "query_id", "embedding", pivots, block_rows).drop("distance")
 
 
-def reached_cells(index: VectorIndex, queries: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(query_id, embedding, cell, sub) of all cells that may hold a match.
+def reached_bundles(index: VectorIndex, queries: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query_id, embedding, bundle, mask) of all cells but the home that may hold a match.
 
-    `queries` has query_id, embedding and `radius`, the distance of unit vectors that a match
-    must not exceed.
+    `queries` has query_id, embedding, the home's cell and sub, and `radius`, the distance of unit
+    vectors that a match must not exceed.
     """
-    pivots, rings = index.pivots, index.rings
+    pivots, rings, deep = index.pivots, index.rings, index.subs is not None
 
-    @F.pandas_udf("array<int>")
-    def top_cells(vectors: pd.Series, radius: pd.Series) -> pd.Series:
+    def at_top(vectors: pd.Series, radius: pd.Series):
         import numpy as np
 
         near, far = np.array(rings).T
-        reach = _reached(_unit(vectors), radius.to_numpy() + SLACK, _unit(pivots), near, far)
-        return pd.Series([np.flatnonzero(r).astype("int32") for r in reach])
+        return _reached(_unit(vectors), radius.to_numpy() + SLACK, _unit(pivots), near, far)
 
-    sent = queries.withColumn("cell", rows_of(top_cells("embedding", "radius"))).where("cell is not null")
-    if index.subs is None:
-        return sent.select("query_id", "embedding", "cell", F.lit(0).alias("sub"))
+    if not deep:
+
+        @F.pandas_udf("array<int>")
+        def masks(vectors: pd.Series, radius: pd.Series, home: pd.Series) -> pd.Series:
+            reach = at_top(vectors, radius)
+            reach[range(len(home)), home.to_numpy()] = False
+            return pd.Series(list(_masks(reach)))
+
+        per_bundle = F.posexplode_outer(masks("embedding", "radius", "cell")).alias("bundle", "mask")
+        return queries.select("query_id", "embedding", per_bundle).where("mask <> 0")
+
+    @F.pandas_udf("array<int>")
+    def top_cells(vectors: pd.Series, radius: pd.Series) -> pd.Series:
+        import numpy as np
+
+        return pd.Series([np.flatnonzero(r).astype("int32") for r in at_top(vectors, radius)])
 
     def sub_cells(some: pd.DataFrame, subs: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        out = some[["query_id", "embedding", "cell"]]
+        out = some[["query_id", "embedding"]]
         if not len(some) or not len(subs):
-            return out.assign(sub=0).head(0)
+            return out.assign(bundle=0, mask=0).head(0)
         reach = _reached(
             _unit(some["embedding"]), some["radius"].to_numpy() + SLACK, _unit(subs["pivot"]),
             subs["near"].to_numpy(), subs["far"].to_numpy(),
         )
-        q, s = np.nonzero(reach)
-        return out.iloc[q].assign(sub=subs["sub"].to_numpy()[s])
+        cell = some["cell"].iloc[0]
+        at_home = some["home_cell"].to_numpy() == cell
+        reach &= ~(at_home[:, None] & (some["home_sub"].to_numpy()[:, None] == subs["sub"].to_numpy()))
+        placed = np.zeros((len(some), SUB_PIVOTS), bool)
+        placed[:, subs["sub"].to_numpy()] = reach
+        masks = _masks(placed)
+        q, b = np.nonzero(masks)
+        return out.iloc[q].assign(bundle=cell * (SUB_PIVOTS // BUNDLE) + b, mask=masks[q, b])
 
     kinds = {f.name: f.dataType.simpleString() for f in queries.schema}
-    sent = materialise(sent.select("query_id", "embedding", "radius", "cell"), "vector-sent")
+    homes = [F.col("cell").alias("home_cell"), F.col("sub").alias("home_sub")]
+    sent = queries.select(
+        "query_id", "embedding", "radius", *homes, rows_of(top_cells("embedding", "radius")).alias("cell")
+    ).where("cell is not null")
+    sent = materialise(sent, "vector-sent")
     chunked, counts = _in_chunks(sent, "query_id", block_rows)
     right = _per_chunk(index.subs, counts).groupBy("cell", "at_chunk")
     return chunked.groupBy("cell", "chunk").cogroup(right).applyInPandas(
-        sub_cells, f"query_id {kinds['query_id']}, embedding {kinds['embedding']}, cell int, sub int"
+        sub_cells, f"query_id {kinds['query_id']}, embedding {kinds['embedding']}, bundle int, mask int"
     )
 
 
-def best_in_cells(
+def best_in_bundles(
     sent: DataFrame,
     entries: DataFrame,
     threshold: float,
     earlier_only: bool = False,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """(query_id, entry_id, similarity): the best match per query and block of the cells it is sent to.
+    """(query_id, entry_id, similarity): the best match per query and block of the cells it asks.
 
-    Large cells are cut into blocks of entries and of queries.
+    `sent` has query_id, embedding, bundle and mask, `entries` entry_id, vector, bundle and place.
+    Large bundles are cut into blocks of entries and of queries.
     """
+    most = block_rows * BLOCKS_TOGETHER
+    n = F.count(F.lit(1))
+    # Few queries are cut smaller, so that they keep more than a task or two busy.
+    some = F.least(F.greatest(n / 8, F.lit(block_rows)), F.lit(most))
 
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        n = F.ceil(F.count(F.lit(1)) / block_rows).cast("int")
-        return df.groupBy(*CELL).agg(n.alias(name))
+    def blocks(df: DataFrame, rows, name: str) -> DataFrame:
+        return df.groupBy("bundle").agg(F.ceil(n / rows).cast("int").alias(name))
 
-    # One row per cell.
-    plan = blocks(entries, "store_blocks").join(blocks(sent, "query_blocks"), CELL)
+    # One row per bundle.
+    plan = blocks(entries, most, "store_blocks").join(blocks(sent, some, "query_blocks"), "bundle")
 
     def spread(id_column: str, n: str):
         return F.pmod(F.xxhash64(id_column), F.col(n)).cast("int")
@@ -267,50 +327,57 @@ def best_in_cells(
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
     left = (
-        sent.join(plan, CELL)
+        sent.join(plan, "bundle")
         .withColumn("q_block", spread("query_id", "query_blocks"))
         .withColumn("s_block", all_blocks("store_blocks"))
         .drop("store_blocks", "query_blocks")
     )
     right = (
-        entries.join(plan, CELL)
+        entries.join(plan, "bundle")
         .withColumn("s_block", spread("entry_id", "store_blocks"))
         .withColumn("q_block", all_blocks("query_blocks"))
         .drop("store_blocks", "query_blocks")
     )
 
     def best_in_block(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
         if not len(q) or not len(s):
             return pd.DataFrame({"query_id": [], "entry_id": [], "similarity": []})
-        s = s.sort_values("entry_id")
-        ids, stored = s["entry_id"].to_numpy(), _unit(s["vector"]).T
-        parts = []
-        for start in range(0, len(q), 1024):
-            some = q.iloc[start : start + 1024]
-            asking = some["query_id"].to_numpy()
-            score = (1.0 + _unit(some["embedding"]) @ stored) / 2.0
-            if earlier_only:
-                score[asking[:, None] <= ids[None, :]] = -1.0
-            top = score.argmax(axis=1)
-            value = score[range(len(some)), top]
-            good = value >= threshold
-            parts.append(
-                pd.DataFrame(
-                    {
-                        "query_id": asking[good],
-                        "entry_id": ids[top][good],
-                        "similarity": value[good],
-                    }
-                )
-            )
-        return pd.concat(parts)
-
-    keys = [*CELL, "q_block", "s_block"]
+        asking, mask, vectors = q["query_id"].to_numpy(), q["mask"].to_numpy(), _unit(q["embedding"])
+        order = np.argsort(asking, kind="stable")
+        asking, mask, vectors = asking[order], mask[order], vectors[order]
+        value, entry = np.full(len(q), -1.0), np.zeros(len(q), "int64")
+        for place, cell in s.groupby("place"):
+            cell = cell.sort_values("entry_id")
+            ids, stored = cell["entry_id"].to_numpy(), _unit(cell["vector"]).T
+            here = np.flatnonzero(mask >> place & 1)
+            for start in range(0, len(here), 1024):
+                rows = here[start : start + 1024]
+                # The ids ascend: what no query of these may see is left out.
+                seen = np.searchsorted(ids, asking[rows[-1]]) if earlier_only else len(ids)
+                if not seen:
+                    continue
+                score = (1.0 + vectors[rows] @ stored[:, :seen]) / 2.0
+                if earlier_only:
+                    score[asking[rows][:, None] <= ids[None, :seen]] = -1.0
+                top = score.argmax(axis=1)
+                best, found = score[range(len(rows)), top], ids[top]
+                better = (best > value[rows]) | ((best == value[rows]) & (found < entry[rows]))
+                value[rows[better]], entry[rows[better]] = best[better], found[better]
+        good = value >= threshold
+        return pd.DataFrame({"query_id": asking[good], "entry_id": entry[good], "similarity": value[good]})
+
+    keys = ["bundle", "q_block", "s_block"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
         best_in_block, "query_id long, entry_id long, similarity double"
     )
 
 
+def _at_home(home: DataFrame, deep: bool) -> DataFrame:
+    return _bundled(home, deep).withColumn("mask", F.expr("shiftleft(1, place)")).drop("place")
+
+
 def _best(found: DataFrame) -> DataFrame:
     best = F.max_by(
         F.struct("entry_id", "similarity"), F.struct("similarity", -F.col("entry_id"))
@@ -318,6 +385,25 @@ def _best(found: DataFrame) -> DataFrame:
     return found.groupBy("query_id").agg(best).select("query_id", "_best.*")
 
 
+def _bundled_routes(
+    index: VectorIndex, queries: DataFrame, threshold: float, earlier_only: bool, block_rows: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """`routes` with the further cells by bundle."""
+    deep = index.subs is not None
+    home = materialise(home_cells(index, queries, block_rows), "vector-homes")
+    entries = _bundled(index.entries, deep)
+    first = _best(best_in_bundles(_at_home(home, deep), entries, threshold, earlier_only, block_rows))
+    first = materialise(first, "vector-first")
+    cos = 2.0 * F.greatest(F.coalesce("similarity", F.lit(threshold)), F.lit(threshold)) - 1.0
+    radius = F.sqrt(F.greatest(2.0 - 2.0 * cos, F.lit(0.0)))
+    # A slack of 1e-6 on the distance covers the rounding of products near one.
+    asking = home.join(first, "query_id", "left").select(
+        "query_id", "embedding", *CELL, (radius + 1e-6).alias("radius")
+    )
+    asking = materialise(asking, "vector-asking")
+    return home, first, reached_bundles(index, asking, block_rows)
+
+
 def routes(
     index: VectorIndex,
     queries: DataFrame,
@@ -329,23 +415,8 @@ def routes(
 
     The further cells leave out each query's home.
     """
-    home = materialise(home_cells(index, queries, block_rows), "vector-homes")
-    first = _best(best_in_cells(home, index.entries, threshold, earlier_only, block_rows))
-    first = materialise(first, "vector-first")
-    cos = 2.0 * F.greatest(F.coalesce("similarity", F.lit(threshold)), F.lit(threshold)) - 1.0
-    radius = F.sqrt(F.greatest(2.0 - 2.0 * cos, F.lit(0.0)))
-    # A slack of 1e-6 on the distance covers the rounding of products near one.
-    asking = home.join(first, "query_id", "left").select(
-        "query_id", "embedding", (radius + 1e-6).alias("radius"),
-        F.struct(*CELL).alias("_home"),
-    )
-    asking = materialise(asking, "vector-asking")
-    reached = reached_cells(index, asking.drop("_home"), block_rows)
-    homes = asking.select(F.col("query_id").alias("_query"), "_home")
-    further = reached.join(homes, F.col("query_id") == F.col("_query")).where(
-        F.struct(*CELL) != F.col("_home")
-    )
-    return home, first, further.select("query_id", "embedding", *CELL)
+    home, first, further = _bundled_routes(index, queries, threshold, earlier_only, block_rows)
+    return home, first, _cells(further, index.subs is not None)
 
 
 def nearest(
@@ -368,12 +439,13 @@ def nearest(
     index = build_index(store, cell_rows, top_pivots, block_rows)
     if index is None:
         return queries.sparkSession.createDataFrame([], "query_id long, entry_id long, similarity double")
+    entries = _bundled(index.entries, index.subs is not None)
     if len(index.pivots) == 1:
-        home = home_cells(index, asked)
-        return _best(best_in_cells(home, index.entries, threshold, earlier_only, block_rows))
-    _, first, further = routes(index, asked, threshold, earlier_only, block_rows)
+        home = _at_home(home_cells(index, asked), False)
+        return _best(best_in_bundles(home, entries, threshold, earlier_only, block_rows))
+    _, first, further = _bundled_routes(index, asked, threshold, earlier_only, block_rows)
     further = materialise(further, "vector-further")
-    later = best_in_cells(further, index.entries, threshold, earlier_only, block_rows)
+    later = best_in_bundles(further, entries, threshold, earlier_only, block_rows)
     return _best(first.unionByName(later))
 
 
