@@ -50,6 +50,23 @@ def test_cache_answers_and_frees_its_state(spark, tmp_path):
     assert kept <= 2
 
 
+def test_texts_of_a_group_share_a_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "CACHE_GROUPS", 4)
+
+    def row(i, text, ts):
+        return (i, text, ts, f"d{i}", 0.5, "", "t")
+
+    parts = [[row(i, f"t{i}", 1000 + i) for i in range(60)], [row(100 + i, f"t{i}", 1040 + i * 3) for i in range(60)]]
+    answers = jobs.cached_answers(feed(spark, str(tmp_path), ANSWERED, parts), ttl=100, lateness="30 minutes")
+    out = scratch_path(spark, "answers")
+    query = jobs.run(answers.writeStream.outputMode("append").format("parquet").option("path", out), scratch_path(spark, "cp"))
+    got = {int(r["content_id"]): r["decision"] for r in spark.read.parquet(out).collect()}
+    # The second request of text i comes 40 + 2 i seconds after the first.
+    again = {100 + i: f"d{i}" if 40 + 2 * i < 100 else f"d{100 + i}" for i in range(60)}
+    assert got == {i: f"d{i}" for i in range(60)} | again
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
+
+
 def test_trigger_counts_over_micro_batches(spark, tmp_path):
     day = 86400
     parts = [

@@ -198,6 +198,8 @@ def ttl_cache(
 
 ANSWER = ["decision", "confidence", "reason", "tier"]
 ANSWER_TYPE = "decision string, confidence double, reason string, tier string"
+# Groups of keys that share a state: calling Python costs more per group than per request.
+CACHE_GROUPS = 1 << 12
 
 
 def cached_answers(
@@ -210,37 +212,47 @@ def cached_answers(
     to which it is valid, `ttl` seconds after the last request that used it. Requests of a micro-batch
     are taken in the order of their times. Rows later than the watermark are dropped; once the
     watermark passes the end of an entry, its state is freed. Rows come out once (append mode).
+
+    Texts lie in CACHE_GROUPS groups by the hash of their key, and the entries of a group are one
+    state: Python is called once per group and micro-batch, however many texts there are.
     """
     keyed = event_time(stream, lateness).withColumn("key", content_key(F.col("text"))).select(
-        "key", F.col("content_id").cast("string").alias("content_id"), F.col("ts").cast("double").alias("ts"), *ANSWER, "at"
+        "key", F.col("content_id").cast("string").alias("content_id"), F.col("ts").cast("double").alias("ts"), *ANSWER, "at",
+        F.pmod(F.xxhash64("key"), F.lit(CACHE_GROUPS)).alias("group"),
     )
 
-    def answer(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        # One text's requests of one micro-batch.
-        rows = pd.concat(batches).sort_values(["ts", "content_id"])
-        entry = state.get if state.exists else None
+    def answer(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        entries = {e[0]: tuple(e) for e in state.get[0]} if state.exists else {}
         out = []
-        for r in rows.itertuples(index=False):
-            hit = entry is not None and entry[0] <= r.ts < entry[1]
-            if hit:
-                entry = (entry[0], max(entry[1], r.ts + ttl), *entry[2:])
-            elif entry is None or r.ts >= entry[1]:
-                entry = (r.ts, r.ts + ttl, r.content_id, *(getattr(r, c) for c in ANSWER))
-            used = entry if hit else (None, None, r.content_id, *(getattr(r, c) for c in ANSWER))
-            out.append((key[0], r.content_id, r.ts, hit, *used[2:]))
-        state.update(entry)
+        if not state.hasTimedOut:
+            # One group's requests of one micro-batch.
+            rows = pd.concat(batches).sort_values(["ts", "content_id"])
+            columns = [rows[c].tolist() for c in ("key", "content_id", "ts", *ANSWER)]
+            for key, content_id, ts, *own in zip(*columns, strict=True):
+                entry = entries.get(key)
+                hit = entry is not None and entry[1] <= ts < entry[2]
+                if hit:
+                    entries[key] = (key, entry[1], max(entry[2], ts + ttl), *entry[3:])
+                elif entry is None or ts >= entry[2]:
+                    entries[key] = (key, ts, ts + ttl, content_id, *own)
+                used = entry[3:] if hit else (content_id, *own)
+                out.append((key, content_id, ts, hit, *used))
         # A row may be as late as the watermark allows, but no entry ends before it.
-        ends = int(entry[1] * 1000)
-        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["key", "content_id", "ts", "hit", "answered_by", *ANSWER])
+        now = state.getCurrentWatermarkMs()
+        entries = [e for e in entries.values() if not e[2] * 1000 <= now]
+        if entries:
+            state.update((entries,))
+            state.setTimeoutTimestamp(max(min(int(e[2] * 1000) for e in entries), now + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["key", "content_id", "ts", "hit", "answered_by", *ANSWER])
 
-    return keyed.groupBy("key").applyInPandasWithState(
+    return keyed.groupBy("group").applyInPandasWithState(
         answer,
         f"key string, content_id string, ts double, hit boolean, answered_by string, {ANSWER_TYPE}",
-        f"started double, until double, answered_by string, {ANSWER_TYPE}",
+        "entries array<struct<key:string,started:double,until:double,answered_by:string,"
+        "decision:string,confidence:double,reason:string,tier:string>>",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )
