@@ -271,6 +271,21 @@ def test_hash_candidates_equal_full_comparison(spark, no_broadcast, bits, thresh
         assert sorted(tuple(r) for r in got.collect()) == want
 
 
+def test_flipped_hashes_are_made_in_many_tasks(spark, monkeypatch):
+    """Few bytes of hashes, many rows of flips: no task makes more than its share."""
+    monkeypatch.setattr(hashes, "TASK_ROWS", 1 << 14)
+    known = spark.createDataFrame([(i * 7919,) for i in range(400)], "known_hash long").distinct()
+    bands = hashes.plan_bands(56, 10, 400, 4000)
+    each = sum(b.stored_rows for b in bands)
+    made = hashes.stored_entries(hashes.spread_out(known, 400, each), bands)
+    per_task = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per_task) == 400 * each
+    assert max(per_task) < 2 * (1 << 14)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    # No function that is called per row of flips.
+    assert "lambda" not in plan
+
+
 def test_few_hashes_meet_by_chance(spark):
     """Under one percent of all pairs of 56-bit hashes come out of the join for 10 bits."""
     draw = random.Random(1)

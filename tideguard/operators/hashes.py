@@ -18,6 +18,8 @@ from tideguard.session import materialise
 # What a plan may put out: rows per hash, and its share of all pairs if any plan keeps to it.
 MOST_ROWS = 1 << 13
 CANDIDATE_SHARE = 0.0075
+# Rows that a task makes of hashes and their flips.
+TASK_ROWS = 1 << 20
 # Hashes of a block of an all-pairs summary.
 BLOCK_ROWS = 4096
 
@@ -112,6 +114,41 @@ def _varying(images: DataFrame, known: DataFrame) -> tuple[int, int, int]:
     return max(bits.bit_length(), 1), *counts
 
 
+def _entered(df: DataFrame, column: str, lists: list[tuple], flip: str) -> DataFrame:
+    """A row per hash and flip: (`column`, band, part, `flip`).
+
+    `lists` has (number of the band, band, far, least, most): as many bits are flipped. A first row
+    per list holds its flips as a constant and a second step makes rows of them, so Spark compiles the
+    work per flip.
+    """
+
+    def per_list(number: int, band: Band, far: int, least: int, most: int) -> Column:
+        return F.struct(
+            F.lit(number * 64 + far).alias("band"),
+            _part(F.col(column), band).alias("part"),
+            _longs(_flips(band.width, least, most)).alias("flips"),
+        )
+
+    rows = df.select(column, rows_of(F.array(*[per_list(*one) for one in lists])).alias("_p"))
+    rows = rows.select(column, "_p.band", "_p.part", rows_of(F.col("_p.flips")).alias(flip))
+    return rows.withColumn("part", F.col("part").bitwiseXOR(F.col(flip)))
+
+
+def stored_entries(known: DataFrame, bands: list[Band]) -> DataFrame:
+    """(known_hash, band, part, _stored): the stored hashes under their parts, bits flipped."""
+    near = [(i, b, 0, 0, b.stored) for i, b in enumerate(bands)]
+    far = [(i, b, n, b.stored, b.stored) for i, b in enumerate(bands) for n in range(1, b.asked + 1)]
+    return _entered(known.select("known_hash"), "known_hash", near + far, "_stored")
+
+
+def spread_out(df: DataFrame, hashes: int, rows_each: int) -> DataFrame:
+    """`df` in as many tasks as its rows will need once each has become `rows_each`.
+
+    Hashes are a few bytes, so Spark would put very many of them together in one task.
+    """
+    return df.repartition(max(1, -(-hashes * rows_each // TASK_ROWS)))
+
+
 def meetings(images: DataFrame, known: DataFrame, bands: list[Band]) -> DataFrame:
     """(image_hash, known_hash, band, _asked, _stored): the pairs that share a part of a band.
 
@@ -121,39 +158,11 @@ def meetings(images: DataFrame, known: DataFrame, bands: list[Band]) -> DataFram
     differing bits flipped. Parts shared by many hashes are salted.
     """
 
-    def rows(value: Column, masks: Column, number: int, band: Band, far: int) -> Column:
-        part = _part(value, band)
-        return F.transform(
-            masks,
-            lambda m: F.struct(
-                F.lit(number * 64 + far).alias("band"), part.bitwiseXOR(m).alias("part"), m.alias("flipped")
-            ),
-        )
-
-    def asked_rows(number: int, band: Band) -> list[Column]:
-        value = F.col("image_hash")
-        return [
-            rows(value, _longs(_flips(band.width, n, n)), number, band, n) for n in range(band.asked + 1)
-        ]
-
-    def stored_rows(number: int, band: Band) -> list[Column]:
-        value = F.col("known_hash")
-        near = rows(value, _longs(_flips(band.width, 0, band.stored)), number, band, 0)
-        full = _longs(_flips(band.width, band.stored, band.stored)) if band.asked else None
-        return [near, *[rows(value, full, number, band, n) for n in range(1, band.asked + 1)]]
-
-    def entered(df: DataFrame, column: str, lists: list[Column], flip: str) -> DataFrame:
-        out = df.select(column, rows_of(F.concat(*lists)).alias("_p"))
-        return out.select(column, "_p.band", "_p.part", F.col("_p.flipped").alias(flip))
-
-    probes = entered(
+    probes = _entered(
         images.select("image_hash"), "image_hash",
-        [c for i, b in enumerate(bands) for c in asked_rows(i, b)], "_asked",
-    )
-    entries = entered(
-        known.select("known_hash"), "known_hash",
-        [c for i, b in enumerate(bands) for c in stored_rows(i, b)], "_stored",
+        [(i, b, n, n, n) for i, b in enumerate(bands) for n in range(b.asked + 1)], "_asked",
     )
+    entries = stored_entries(known, bands)
     met = salted_join(
         probes, entries, ["band", "part"], F.col("image_hash"), "inner",
         expansion=sum(b.stored_rows for b in bands),
@@ -172,6 +181,8 @@ def candidates_within(
     if bands is None:
         width, asked, stored = _varying(images, known)
         bands = plan_bands(width, threshold, stored, asked)
+        images = spread_out(images, asked, sum(b.asked_rows for b in bands))
+        known = spread_out(known, stored, sum(b.stored_rows for b in bands))
     met = meetings(images, known, bands)
     # The probe's flips are the lowest of the differing bits.
     lowest = F.col("_stored").bitwiseAND(-F.col("_stored"))
