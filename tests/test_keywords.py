@@ -105,6 +105,25 @@ def test_many_words_of_any_script(spark):
     assert got == want
 
 
+@pytest.mark.parametrize(
+    "words", [["a"], ["ab", "cab", "abca"], ["abc", "bca", "cabb", "abcab"], ["]a", "^b-", "a\\c", "-"], ["😀a", "a😀b", "b😀"]]
+)
+def test_words_are_found_behind_their_first_characters(spark, words):
+    """The trie is tried only where the next characters are those of a word."""
+    draw = random.Random(7)
+    chars = sorted({c for w in words for c in w} | {"x"})
+    texts = ["", *words, *["".join(draw.choices(chars, k=60)) for _ in range(40)]]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = df.select("text", keywords.found_words(F.col("text"), words).alias("f"))
+    for r in found.collect():
+        t = r["text"]
+        at = [[w for w in sorted(words, key=len, reverse=True) if t.startswith(w, i)] for i in range(len(t))]
+        assert r["f"] == [w for ws in at for w in ws]
+    classes = keywords.first_chars_pattern(words)
+    assert f"(?={classes})(?=(" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"\[[^\]]+\]", classes)) == min(3, *map(len, words))
+
+
 def test_pattern_depth_follows_the_words():
     """Branches are halved, so a node of n characters costs about log n tries."""
     words = [chr(c) + "x" for c in range(0x4E00, 0x5600)]

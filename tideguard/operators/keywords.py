@@ -2,8 +2,9 @@
 
 The dictionary travels as one pattern, a trie of its words, and as an array literal; every step
 works on arrays inside the row, so a verdict needs no shuffle, no join and no second look at the
-text: the plan is scan, project. The pattern is tried once per character and leaves at the first
-one that no word goes on with, so its cost hardly depends on the number of words.
+text: the plan is scan, project. The pattern is tried once per character, and only where the next
+characters are such that words have at their first places; it leaves at the first character that no
+word goes on with, so its cost hardly depends on the number of words.
 """
 
 from __future__ import annotations
@@ -47,7 +48,9 @@ def joined_tokens(tokens: Column) -> Column:
 
 
 # Branches of a trie node that are tried one after the other; more are halved by ranges first.
-BRANCHES = 4
+BRANCHES = 16
+# As many characters are looked at before the trie is tried.
+FIRST_CHARS = 3
 
 
 def _char(c: str) -> str:
@@ -81,6 +84,13 @@ def trie_pattern(words: list[str]) -> str:
     return build(root)
 
 
+def first_chars_pattern(words: list[str]) -> str:
+    """A pattern of the first characters of `words`: a class per place, as long as every word has it."""
+    places = min(FIRST_CHARS, min(map(len, words)))
+    classes = [sorted({w[i] for w in words}) for i in range(places)]
+    return "".join(f"[{''.join(map(_char, chars))}]" for chars in classes)
+
+
 def _dictionary_literal(words: dict[str, str], mode: str) -> Column:
     """Words, categories, severities and context patterns, in the order of the dictionary."""
     rank = {c: i for i, c in enumerate(SEVERITY_ORDER)}
@@ -100,7 +110,8 @@ def found_words(lower_text: Column, words: list[str]) -> Column:
     words = [w for w in words if w]
     if not words:
         return F.array().cast("array<string>")
-    longest = F.regexp_extract_all(lower_text, F.lit(f"(?=({trie_pattern(words)}))"), 1)
+    pattern = f"(?={first_chars_pattern(words)})(?=({trie_pattern(words)}))"
+    longest = F.regexp_extract_all(lower_text, F.lit(pattern), 1)
     known = set(words)
     shorter = {w: [w[:n] for n in range(len(w) - 1, 0, -1) if w[:n] in known] for w in words}
     shorter = {w: [w, *s] for w, s in shorter.items() if s}
