@@ -286,6 +286,15 @@ def test_flipped_hashes_are_made_in_many_tasks(spark, monkeypatch):
     assert "lambda" not in plan
 
 
+def test_first_ids_read_nothing_else(spark):
+    df = spark.createDataFrame([("a", 3, "x"), ("a", 1, "y"), ("b", 2, "z")], "key string, ord int, more string")
+    first, firsts = reuse.first_of_copies(df)
+    assert sorted(map(tuple, first.collect())) == [("a", 1, "y", 2), ("b", 2, "z", 1)]
+    assert sorted(map(tuple, firsts.collect())) == [("a", 1), ("b", 2)]
+    plan = firsts._jdf.queryExecution().optimizedPlan().toString()
+    assert "more" not in plan.split("LogicalRDD")[0]
+
+
 def test_few_hashes_meet_by_chance(spark):
     """Under one percent of all pairs of 56-bit hashes come out of the join for 10 bits."""
     draw = random.Random(1)

@@ -152,10 +152,9 @@ def first_of_copies(
     first = df.groupBy(key).agg(
         F.min_by(F.struct(*rest), F.col(order)).alias("_row"), F.count(F.lit(1)).alias("copies")
     )
-    return (
-        first.select(key, *[f"_row.{c}" for c in rest], "copies"),
-        first.select(key, F.col(f"_row.{order}").alias("first_ord")),
-    )
+    # The ids are counted by themselves: no other column is read, sorted or moved for them.
+    firsts = df.groupBy(key).agg(F.min(order).alias("first_ord"))
+    return first.select(key, *[f"_row.{c}" for c in rest], "copies"), firsts
 
 
 def share_results(
