@@ -286,6 +286,15 @@ def test_flipped_hashes_are_made_in_many_tasks(spark, monkeypatch):
     assert "lambda" not in plan
 
 
+def test_hash_join_sorts_by_part_first(spark, no_broadcast):
+    """The band has a few values only; led by it, the sort compares whole rows."""
+    left = spark.createDataFrame([(1,), (2,)], "image_hash long")
+    right = spark.createDataFrame([(3,)], "known_hash long")
+    met = hashes.meetings(left, right, hashes.plan_bands(56, 10, 1, 2))
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [part#") >= 2 and "Sort [band#" not in plan
+
+
 def test_first_ids_read_nothing_else(spark):
     df = spark.createDataFrame([("a", 3, "x"), ("a", 1, "y"), ("b", 2, "z")], "key string, ord int, more string")
     first, firsts = reuse.first_of_copies(df)

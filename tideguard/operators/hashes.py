@@ -164,7 +164,7 @@ def meetings(images: DataFrame, known: DataFrame, bands: list[Band]) -> DataFram
     )
     entries = stored_entries(known, bands)
     met = salted_join(
-        probes, entries, ["band", "part"], F.col("image_hash"), "inner",
+        probes, entries, ["part", "band"], F.col("image_hash"), "inner",
         expansion=sum(b.stored_rows for b in bands),
     )
     return met.withColumn("band", F.expr("band div 64"))
