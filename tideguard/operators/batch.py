@@ -82,17 +82,19 @@ def moderate(
     mode: str = "word",
     cut: Callable[[DataFrame], DataFrame] | None = None,
     share_copies: bool = True,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
     """Every row of `content` with decision, confidence, reason, tier, path, resolved_by, traces.
 
-    `content` has content_id, text, ts and optionally the image columns and embedding;
+    `content` has content_id, text, ts and optionally the image columns and embedding, which may
+    also come apart as `vectors` (`gateway.prepare`);
     `stores` are the keyword arguments of `gateway.check`. Copies of a text are judged once
     (their first row) unless an image comes with them. Rows without an id or time cannot be
     processed and come back with decision "error".
     """
     broken = F.col("content_id").isNull() | F.col("ts").isNull()
     usable, failed = content.where(~broken), content.where(broken)
-    prepared = gateway.prepare(usable, dictionary, mode)
+    prepared = gateway.prepare(usable, dictionary, mode, vectors)
     prepared = cut(prepared) if cut else prepared
     if share_copies:
         # The key of an image is its own row: only texts are shared.
