@@ -83,6 +83,29 @@ def test_lines_of_a_very_long_document(spark, tmp_path):
     assert out == {1: "\n".join(lines_of[::2]), 2: "other words"}
 
 
+def test_shorter_line_meets_longer_by_half_its_prefix(spark, tmp_path):
+    """Lines just at and just below 4/5, short and over LONG words; the shorter ones bring fewer rows to the join."""
+    draw = random.Random(11)
+    texts = []
+    for n in [*range(4, 40), 64, 65, lines.LONG, lines.LONG + 1, lines.LONG + 25]:
+        words = [f"w{n}x{i}" if draw.random() < 0.5 else f"c{i}" for i in range(n)]
+        for dropped in (n // 5, n // 5 + 1):
+            texts.append(" ".join(draw.sample(words, n - dropped)))
+        for other in (n // 9, n // 9 + 1):
+            texts.append(" ".join(draw.sample(words, n - other) + [f"z{n}y{other}v{i}" for i in range(other)]))
+        texts.append(" ".join(words))
+    draw.shuffle(texts)
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    for crowd in (3, 500):
+        got = {(r["row"]["at"], r["line"]) for r in lines.repeated_lines(docs, crowd).collect()}
+        assert got == plain_removed(rows)
+    sets = lines.line_sets(docs.select("doc_id", "text", F.col("doc_id").alias("row")), lines.rarity_ranks(docs))
+    words = sets.select("n", F.posexplode("prefix").alias("at", "word")).withColumn("place", F.col("at") + 1)
+    assert words.where(lines._in_short_prefix()).count() < 0.7 * words.count()
+
+
 def test_rows_stay_the_same_when_splits_change(spark, docs, rows, tmp_path):
     """Between the reads of a table Spark may cut its files anew, as after losing executors."""
     for i in range(4):

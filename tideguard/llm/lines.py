@@ -2,7 +2,8 @@
 
 A line is the set of its words. The words of a line are ordered by rarity in the corpus, rarest
 first. Two lines whose Jaccard similarity reaches 0.8 share a word within their first words (the
-prefix), so prefixes are joined by word; pairs are dropped where the lengths, the places of the
+prefix), so prefixes are joined by word; of the shorter line half the prefix is enough, as it
+shares eight ninths of its words. Pairs are dropped where the lengths, the places of the
 shared word, or a parity sketch of the sets rule the similarity out. What is left is verified on
 the words themselves, and the later line of each match is removed. Later means by document
 number (null last), then by row and place in the text. Rows are told apart by their place in
@@ -12,7 +13,7 @@ Rarity comes from counts of all words in a table of fixed size. It only has to b
 all lines, so words that share a counter cost time, never results.
 
 Lines with equal sets are one line in the join: the first stays, the others are removed. A word
-in the prefixes of more than CROWD lines (a crowd of near copies) first compares each line with
+in the half prefixes of more than CROWD lines (a crowd of near copies) first compares each line with
 the word's first line only, which settles nearly all of a crowd in proportion to its size; only
 pairs in which a line is still unsettled go through the full join.
 
@@ -28,6 +29,7 @@ Everything is DataFrame functions; `docs` is read several times and must be a st
 from __future__ import annotations
 
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,7 +52,8 @@ def _words(text: Column) -> Column:
 
     Nearly all lines have single spaces only, for which Spark's split needs no pattern.
     """
-    return F.when(F.rlike(text, F.lit(r"[\x09-\x0D]")), F.split(text, SPACE)).otherwise(F.split(text, " "))
+    other = [F.contains(text, F.lit(c)) for c in "\t\n\x0b\x0c\r"]
+    return F.when(reduce(Column.__or__, other), F.split(text, SPACE)).otherwise(F.split(text, " "))
 
 
 def rarity_ranks(docs: DataFrame) -> str:
@@ -88,6 +91,12 @@ def _prefix_length(n: Column) -> Column:
     return F.least(n, n - F.ceil(n * 4 / 5) + F.when(n > LONG, SHARED).otherwise(1)).cast("int")
 
 
+def _in_short_prefix() -> Column:
+    """Whether the word at `place` counts for the shorter line of a pair, which shares 8/9 of its words."""
+    n = F.col("n")
+    return F.col("place") <= n - F.ceil(n * 8 / 9) + F.when(n > LONG, SHARED).otherwise(1)
+
+
 def line_sets(docs: DataFrame, ranks: str) -> DataFrame:
     """Of `docs(row, doc_id, text)`: id, row, doc, line, n (words), key, s0, s1 (sketch) and prefix of every line with words."""
     lines = docs.select(
@@ -97,19 +106,21 @@ def line_sets(docs: DataFrame, ranks: str) -> DataFrame:
     hashes = F.array_remove(
         F.array_distinct(F.transform(_words(F.col("text")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit(""))
     )
+
+    def rank(h: Column) -> Column:
+        # Never null, so that Spark sorts the packed words as plain numbers.
+        return F.coalesce(F.get(table, h.bitwiseAND(COUNTERS - 1).cast("int")), F.lit(0).cast("long"))
+
     # Rank in the high bits, hash below: sorted numbers are in order of rarity.
-    packed = F.transform(
-        hashes,
-        lambda h: F.shiftleft(F.get(table, h.bitwiseAND(COUNTERS - 1).cast("int")), 58).bitwiseOR(F.shiftrightunsigned(h, 6)),
-    )
+    packed = F.transform(hashes, lambda h: F.shiftleft(rank(h), 58).bitwiseOR(F.shiftrightunsigned(h, 6)))
     sets = lines.select("row", "doc", "line", F.sort_array(packed).alias("words"))
 
-    def parity(half: int | None) -> Column:
-        """Bits by the last six digits, of the words whose seventh is `half`, or of all."""
+    def parity(half: bool) -> Column:
+        """Bits by the last six digits, of all words or of those whose seventh digit is set."""
         one = F.lit(1).cast("long")
 
         def flipped(s: Column, t: Column) -> Column:
-            bit = one if half is None else F.shiftright(t, 6).bitwiseAND(1).bitwiseXOR(1 - half)
+            bit = F.shiftright(t, 6).bitwiseAND(1) if half else one
             return s.bitwiseXOR(F.call_function("shiftleft", bit, t.bitwiseAND(63).cast("int")))
 
         return F.aggregate("words", F.lit(0).cast("long"), flipped)
@@ -117,8 +128,7 @@ def line_sets(docs: DataFrame, ranks: str) -> DataFrame:
     n = F.size("words")
     return sets.select(
         F.monotonically_increasing_id().alias("id"), "row", "doc", "line", n.alias("n"), F.xxhash64("words").alias("key"),
-        F.when(n <= SHORT, parity(None)).otherwise(parity(0)).alias("s0"),
-        F.when(n <= SHORT, 0).otherwise(parity(1)).cast("long").alias("s1"),
+        parity(False).alias("s0"), F.when(n <= SHORT, 0).otherwise(parity(True)).cast("long").alias("s1"),
         F.transform(F.slice("words", F.lit(1), _prefix_length(n)), lambda t: t.bitwiseAND(0x7FFFFFFF).cast("int")).alias("prefix"),
     )
 
@@ -130,7 +140,7 @@ def may_match(x: str, y: str) -> Column:
     fits = 5 * F.least(nx, ny) >= 4 * F.greatest(nx, ny)
     reachable = F.least(px, py) + F.least(nx - px, ny - py)
     s0, s1 = (F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}")) for c in ("s0", "s1"))
-    folded, full = F.bit_count(s0.bitwiseXOR(s1)), F.bit_count(s0) + F.bit_count(s1)
+    folded, full = F.bit_count(s0), F.bit_count(s0.bitwiseXOR(s1)) + F.bit_count(s1)
     differing = F.when(F.least(nx, ny) <= SHORT, folded).otherwise(full)
     return fits & (9 * reachable >= 4 * total) & (9 * differing <= total)
 
@@ -142,7 +152,7 @@ def _enough(pairs: DataFrame) -> DataFrame:
 
 
 def _verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id): the later line of each of `pairs(x, y)` that reaches the similarity."""
+    """(id, row, line): the later line of each of `pairs(x, y)` that reaches the similarity."""
     ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
     wanted = materialise(lines.select("id", "row", "doc", "line").join(ids, "id"), "wanted")
     # Which rows may be wanted, as bits: only their texts are moved.
@@ -178,8 +188,12 @@ def _verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame) -> DataFrame:
     both = pairs.join(x, "x").join(y, "y")
     shared = F.size(F.array_intersect("wx", "wy"))
     alike = both.where(9 * shared >= 4 * (F.size("wx") + F.size("wy")))
-    later = F.when(F.col("ax") < F.col("ay"), F.col("y")).otherwise(F.col("x"))
-    return alike.select(later.alias("id")).distinct()
+
+    def line(end: str) -> Column:
+        return F.struct(F.col(end).alias("id"), F.col(f"a{end}.row").alias("row"), F.col(f"a{end}.line").alias("line"))
+
+    later = F.when(F.col("ax") < F.col("ay"), line("y")).otherwise(line("x"))
+    return alike.select(later.alias("later")).select("later.*").distinct()
 
 
 def repeated_lines(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -203,32 +217,36 @@ def repeated_lines(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     slim = words.drop("doc")
     if settled is None:
         unsettled, x, y = F.lit(True), slim, slim
-        settled_ids = None
     else:
-        marked = slim.join(settled.withColumn("settled", F.lit(True)), "id", "left")
+        marked = slim.join(settled.select("id", F.lit(True).alias("settled")), "id", "left")
         slim = marked.withColumn("settled", F.coalesce("settled", F.lit(False)))
         unsettled, x, y = ~(F.col("x.settled") & F.col("y.settled")), slim, slim
-        settled_ids = settled
+    x = x.where(_in_short_prefix())
+    shorter = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id")))
     pairs = (
         x.alias("x").join(y.alias("y"), F.col("x.word") == F.col("y.word"))
-        .where((F.col("x.id") < F.col("y.id")) & unsettled & may_match("x", "y"))
-        .select(F.col("x.id").alias("x"), F.col("y.id").alias("y"), F.least("x.n", "y.n").alias("n"))
+        .where(shorter & unsettled & may_match("x", "y"))
+        .select(F.col("x.id").alias("x"), F.col("y.id").alias("y"), F.col("x.n").alias("n"))
     )
     pairs = materialise(_enough(pairs), "pairs")
     later = _verified(docs, lines, pairs)
-    if settled_ids is not None:
-        later = later.unionByName(settled_ids).distinct()
-    near = lines.select("id", "row", "line").join(later, "id").select("row", "line")
-    return copies.unionByName(near)
+    if settled is not None:
+        later = later.unionByName(settled).distinct()
+    return copies.unionByName(later.select("row", "line"))
 
 
 def _settle_crowds(docs: DataFrame, lines: DataFrame, words: DataFrame, crowd: int) -> DataFrame | None:
     """(id): lines that match the first line of a crowded word; None if no word is crowded."""
-    order = F.struct(F.coalesce("doc", F.lit((1 << 63) - 1)).alias("doc"), "id", "n", "place", "s0", "s1")
-    crowded = words.groupBy("word").agg(F.count(F.lit(1)).alias("lines"), F.min(order).alias("first"))
-    crowded = materialise(crowded.where(F.col("lines") > crowd).select("word", "first.*"), "crowded")
-    if not crowded.take(1):
+    doc = F.coalesce("doc", F.lit((1 << 63) - 1))
+    # Numbers only, which Spark counts without sorting; the first line is then looked up for these words.
+    short = words.where(_in_short_prefix())
+    counted = short.groupBy("word").agg(F.count(F.lit(1)).alias("lines"), F.min(doc).alias("least"))
+    counted = materialise(counted.where(F.col("lines") > crowd).select("word", "least"), "crowded-words")
+    if not counted.take(1):
         return None
+    order = F.struct("id", "n", "place", "s0", "s1")
+    of_least = short.join(counted, "word").where(doc == F.col("least"))
+    crowded = materialise(of_least.groupBy("word").agg(F.min(order).alias("first")).select("word", "first.*"), "crowded")
     pairs = (
         crowded.alias("x").join(words.alias("y"), F.col("x.word") == F.col("y.word"))
         .where((F.col("x.id") != F.col("y.id")) & may_match("x", "y"))
