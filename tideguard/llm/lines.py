@@ -196,6 +196,22 @@ def _verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame) -> DataFrame:
     return alike.select(later.alias("later")).select("later.*").distinct()
 
 
+def _packed(words: DataFrame) -> DataFrame:
+    """n, place and settled of `words` as one number: rows of the join are moved and sorted, and made short."""
+    n, place = F.col("n").cast("long"), F.col("place").cast("long")
+    sizes = F.shiftleft(n, 32).bitwiseOR(F.shiftleft(place, 1)).bitwiseOR(F.col("settled").cast("long"))
+    return words.select("id", "word", "s0", "s1", sizes.alias("sizes"))
+
+
+def _unpacked(end: str) -> Column:
+    sizes = F.col(f"{end}.sizes")
+    return F.struct(
+        F.col(f"{end}.id").alias("id"), F.col(f"{end}.s0").alias("s0"), F.col(f"{end}.s1").alias("s1"),
+        F.shiftright(sizes, 32).alias("n"), F.shiftright(sizes.bitwiseAND(0xFFFFFFFF), 1).alias("place"),
+        (sizes.bitwiseAND(1) == 1).alias("settled"),
+    ).alias(end)
+
+
 def repeated_lines(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(row, line): the lines to remove; `row` is place_of `docs`."""
     docs = docs.select(place_of(docs).alias("row"), "doc_id", "text")
@@ -214,18 +230,17 @@ def repeated_lines(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
         "id", "doc", "n", "s0", "s1", F.posexplode("prefix").alias("place", "word")
     ).withColumn("place", F.col("place") + 1)
     settled = _settle_crowds(docs, lines, words, crowd)
-    slim = words.drop("doc")
     if settled is None:
-        unsettled, x, y = F.lit(True), slim, slim
+        marked = words.withColumn("settled", F.lit(False))
     else:
-        marked = slim.join(settled.select("id", F.lit(True).alias("settled")), "id", "left")
-        slim = marked.withColumn("settled", F.coalesce("settled", F.lit(False)))
-        unsettled, x, y = ~(F.col("x.settled") & F.col("y.settled")), slim, slim
-    x = x.where(_in_short_prefix())
+        marks = settled.select("id", F.lit(True).alias("settled"))
+        marked = words.join(marks, "id", "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+    x, y = _packed(marked.where(_in_short_prefix())), _packed(marked)
     shorter = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id")))
     pairs = (
         x.alias("x").join(y.alias("y"), F.col("x.word") == F.col("y.word"))
-        .where(shorter & unsettled & may_match("x", "y"))
+        .select(_unpacked("x"), _unpacked("y"))
+        .where(shorter & ~(F.col("x.settled") & F.col("y.settled")) & may_match("x", "y"))
         .select(F.col("x.id").alias("x"), F.col("y.id").alias("y"), F.col("x.n").alias("n"))
     )
     pairs = materialise(_enough(pairs), "pairs")
