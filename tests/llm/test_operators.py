@@ -1,10 +1,14 @@
 """The corpus operators against plain versions, on copies, nulls, empty and long texts."""
 
+import contextlib
 import hashlib
+import os
 import random
 import re
+import threading
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -161,6 +165,79 @@ def test_vectors_equal_brute_force(spark, monkeypatch, strip):
     assert vectors.near_vectors(table.limit(0)).count() == 0
 
 
+def test_vectors_without_spread_are_not_sent_to_every_pair_of_tiles(spark, monkeypatch):
+    """Shuffles and scratch together stay at some times the vectors; tasks compare blocks apart."""
+    monkeypatch.setattr(vectors, "STRIP", 160)
+    draw = np.random.default_rng(4)
+    base = draw.normal(size=(2560, 64))
+    data = [list(map(float, v)) for v in np.concatenate([base, base + draw.normal(size=base.shape) * 0.01])]
+    table = spark.createDataFrame(list(enumerate(data)), "vec_id long, embedding array<double>")
+    local = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    folders = [*(d.getPath() for d in local), spark.conf.get("spark.checkpoint.dir")]
+    before, seen, over = set(), {}, threading.Event()
+
+    def look():
+        """Spark removes shuffles when a job is done, so files are noted while they are there."""
+        for at, _, names in (x for f in folders for x in os.walk(f)):
+            # Not under the names that files have while they are written.
+            for path in (os.path.join(at, n) for n in names if "_temporary" not in at and not n.startswith("temp_")):
+                with contextlib.suppress(OSError):
+                    seen[path] = os.path.getsize(path)
+
+    def watch():
+        while not over.wait(0.02):
+            look()
+
+    look()
+    before.update(seen)
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        got = vectors.near_vectors(table).collect()
+    finally:
+        over.set()
+        watcher.join()
+    look()
+    new = {path: n for path, n in seen.items() if path not in before}
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(i, 1, i % 2560) for i in range(5120)]
+    assert sum(new.values()) < 8 * 5120 * 64 * 8
+    assert sum("/links-" in path and path.endswith(".parquet") for path in new) >= 3
+
+
+def test_vectors_whose_numbers_take_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "STRIP", 8)
+    draw = np.random.default_rng(5)
+    some = [list(map(float, v)) for v in draw.normal(size=(5, 12))]
+    data = [(None if i % 9 == 0 else 1000 - i, some[0] if i < 90 else [-0.0 if c == 0 else c for c in [0.0] * 11 + [float(i % 2 or -1)]]) for i in range(130)]
+    data += [(5, some[1]), (5, [c * 3 for c in some[1]]), (None, some[2]), (None, some[2])]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    try:
+        got = vectors.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(3)).collect()
+    finally:
+        spark.conf.set(name, before)
+    expected = Counter((data[i][0], 89, 911, data[i][0] in (None, 911)) for i in range(90))
+    expected += Counter((data[i][0], 19, 871 + 1 - i % 2, data[i][0] in (None, 871 + 1 - i % 2)) for i in range(90, 130))
+    expected += Counter({(5, 1, 5, True): 2, (None, 1, None, True): 2})
+    assert Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == expected
+
+
+def test_bounds_in_single_precision_lose_no_pair():
+    draw = np.random.default_rng(6)
+    x, y = (vectors.unit(draw.normal(size=(500, 64))) for _ in range(2))
+    for i in range(400):
+        # Cosines around the threshold, some within the rounding of single precision.
+        side = y[i] - (y[i] @ x[i]) * x[i]
+        cosine = 0.9 + (i % 3 - 1) * 10.0 ** -(3 + i % 8)
+        y[i] = cosine * x[i] + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side)
+    for start in (8, 32, 64):
+        rows, cols, _ = vectors.linked(vectors.Tile(x), vectors.Tile(y), 0.9, start)
+        clear = [i for i in range(400) if i % 3 == 2]
+        assert {(i, i) for i in clear} <= set(zip(rows.tolist(), cols.tolist(), strict=True))
+        assert not {(i, i) for i in range(400) if i % 3 == 0} & set(zip(rows.tolist(), cols.tolist(), strict=True))
+
+
 # --- 3 ----------------------------------------------------------------------------------
 
 FORMS = {
