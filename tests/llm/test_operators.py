@@ -223,6 +223,22 @@ def test_vectors_whose_numbers_take_many_rows(spark, monkeypatch):
     assert Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == expected
 
 
+def test_vectors_of_a_leaf_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "STRIP", 64)
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 8 * 8 * 25)
+    monkeypatch.setattr(vectors, "JOB", 10)
+    draw = np.random.default_rng(8)
+    data = np.concatenate([np.eye(8)[0] + draw.normal(size=(90, 8)) * 0.12, draw.normal(size=(30, 8))])
+    near = vectors.unit(data) @ vectors.unit(data).T >= 0.9
+    np.fill_diagonal(near, False)
+    root = roots(len(data), np.argwhere(near).tolist())
+    table = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    got = vectors.near_vectors(table).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(i, near[i].sum(), root[i]) for i in range(120)]
+    first, parts = vectors.deal(np.array([10, 60, 10, 10]), 25)
+    assert (first.tolist(), parts.tolist()) == ([0, 1, 4, 4], [1, 3, 1, 1])
+
+
 def test_bounds_in_single_precision_lose_no_pair():
     draw = np.random.default_rng(6)
     x, y = (vectors.unit(draw.normal(size=(500, 64))) for _ in range(2))
